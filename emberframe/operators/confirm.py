@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from emberframe import codes as k
 from emberframe.functions.nulls import holds
+from emberframe.functions.settle import settle
 from emberframe.operators.gates import day_offset
 
 POLICIES = ("atbd", "conservative")
@@ -100,4 +101,4 @@ def finalise(cand: DataFrame) -> DataFrame:
 
 
 def confirm(cand: DataFrame, policy: str = "atbd") -> DataFrame:
-    return finalise(apply_policy(categorise(reassign_edges(eliminate(cand))), policy))
+    return settle(finalise(apply_policy(categorise(reassign_edges(eliminate(cand))), policy)))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from emberframe import codes as k
 from emberframe.functions.nulls import clip, holds
+from emberframe.functions.settle import settle
 from emberframe.functions.radiometry import BandCoefficients, radiance_of, temperature_of
 from emberframe.operators.gates import day_offset
 
@@ -21,8 +22,12 @@ def lut_bins(px: DataFrame) -> DataFrame:
 
 
 def attach_lut(px: DataFrame, lut: DataFrame) -> DataFrame:
-    """The table has 35 rows by contract, so it is broadcast."""
-    return lut_bins(px).join(F.broadcast(lut), ["tpw_bin", "zenith_bin"], "left")
+    """The table has 35 rows by contract, so it is broadcast. Rows with `use_lut` false take the neutral values."""
+    joined = lut_bins(px).join(F.broadcast(lut), ["tpw_bin", "zenith_bin"], "left")
+    if "use_lut" not in px.columns:
+        return joined
+    neutral = {"trans_4um": 1.0, "trans_11um": 1.0, "offset_4um": 0.0, "offset_11um": 0.0}
+    return joined.withColumns({n: F.when(F.col("use_lut"), F.col(n)).otherwise(v) for n, v in neutral.items()})
 
 
 def vapour_corrected(rad: Column, band: str) -> Column:
@@ -121,10 +126,11 @@ def correct(px: DataFrame, lut: DataFrame) -> DataFrame:
     px = px.withColumn("path", F.when(F.col("_failed_at").isNotNull(), "stopped").otherwise(F.col("path")))
     opened = F.col("path") == "open"
     corrected = ("bt7_corr", "bt14_corr", "bt7_bkg_corr", "bt14_bkg_corr")
-    return px.withColumns({
+    px = px.withColumns({
         **{n: F.when(opened, F.col(n)) for n in corrected},
         "code": F.when(F.col("_failed_at").isNotNull(), 180).otherwise(F.col("code")).cast("int"),
         "stage": F.when(opened, 17).otherwise(F.coalesce(F.col("_failed_at"), F.col("stage"))).cast("int"),
         "fail_char": F.when(opened, F.col("fail_post")).otherwise(F.col("fail_char")),
         "skip_retrieval": F.col("skip_retrieval") & opened,
     }).drop("fail_post", "_failed_at", "tpw_failed", "bkg_failed", "diff_failed")
+    return settle(px)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from emberframe import codes as k
 from emberframe.functions.nulls import holds
+from emberframe.functions.settle import settle
 from emberframe.functions.radiometry import BandCoefficients, native_to_si, radiance_of, temperature_of
 from emberframe.operators.corrections import long_coefficients
 
@@ -59,7 +60,7 @@ def bisect_fraction(px: DataFrame, steps: int, where: Column | None = None) -> D
         .when(F.col("_lo") != F.col("_hi"), folded)
     )
     px = px.withColumn(f"p_{steps}", p)
-    return px.withColumn(f"t_{steps}", hot(F.col(f"p_{steps}"))).drop("_b7", "_b14", "_lo", "_hi")
+    return settle(px.withColumn(f"t_{steps}", hot(F.col(f"p_{steps}"))).drop("_b7", "_b14", "_lo", "_hi"))
 
 
 def retrieve(px: DataFrame, steps: int = k.REFINED_STEPS) -> DataFrame:
@@ -118,7 +119,8 @@ def size_and_power(px: DataFrame) -> DataFrame:
         radiative_power(c("area_km2"), c("r7_diff"), background)
     )
     found = lambda value: F.when(c("candidate"), value)
-    return px.withColumns({
+    px = px.withColumns({
         "fire_area": found(F.when(c("path") == "quick", 0.0).otherwise(c("fire_frac") * c("area_km2"))),
         "frp": found(power), "fire_temp": found(c("fire_temp")), "fire_frac": found(c("fire_frac")),
     })
+    return settle(px)

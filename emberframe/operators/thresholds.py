@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from emberframe import codes as k
 from emberframe.functions.nulls import clip, holds
+from emberframe.functions.settle import settle
 from emberframe.operators.gates import day_offset
 
 
@@ -48,10 +49,11 @@ def classify_survivors(bkg: DataFrame) -> DataFrame:
     )
     bkg = bkg.withColumn("step", step)
     is_step = lambda name: c("step") == name
-    return bkg.withColumns({
+    bkg = bkg.withColumns({
         "code": F.when(is_step("none"), 170).otherwise(c("code")).cast("int"),
         "stage": F.when(is_step("none"), 9).when(is_step("quick"), 22).when(is_step("non_fire"), 11)
         .when(is_step("flag_1"), 12).when(is_step("flag_2"), 13).otherwise(14).cast("int"),
         "fail_char": F.when(is_step("flag_1"), 1).when(is_step("flag_2"), 2).otherwise(c("fail_char")),
         "path": F.when(is_step("none") | is_step("quick") | is_step("open"), c("step")).otherwise("stopped"),
     }).drop("step")
+    return settle(bkg)

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberframe.functions.nulls import recover_unsigned
-from emberframe.functions.settle import settle
 from emberframe.operators import background, confirm, corrections, gates, retrieval, temporal, thresholds
 
 KEY = ("region", "scene", "scene_epoch", "i", "j")
@@ -21,7 +20,7 @@ def gated_pixels(px: DataFrame) -> DataFrame:
 def survivors(px: DataFrame) -> DataFrame:
     """Gate survivors with background, thresholds and the path they take."""
     found = background.choose_approach(background.expanding_background(gated_pixels(px)))
-    return settle(thresholds.classify_survivors(thresholds.contextual_thresholds(found)))
+    return thresholds.classify_survivors(thresholds.contextual_thresholds(found))
 
 
 def part_one(px: DataFrame, lut: DataFrame) -> DataFrame:
@@ -30,8 +29,8 @@ def part_one(px: DataFrame, lut: DataFrame) -> DataFrame:
     The paths are told apart by conditions on the same rows, so the background is computed once. `area_km2` is part of
     the static pixel geometry and comes with the pixels.
     """
-    rows = settle(corrections.correct(survivors(px), lut))
-    return settle(retrieval.size_and_power(retrieval.last_chance(retrieval.retrieve(rows))))
+    rows = corrections.correct(survivors(px), lut)
+    return retrieval.size_and_power(retrieval.last_chance(retrieval.retrieve(rows)))
 
 
 def detections(px: DataFrame, lut: DataFrame, policy: str = "atbd", fires: DataFrame | None = None) -> DataFrame:
@@ -40,14 +39,20 @@ def detections(px: DataFrame, lut: DataFrame, policy: str = "atbd", fires: DataF
     return temporal.temporal_filter(found, fires)
 
 
-def scene_masks(px: DataFrame, lut: DataFrame, policy: str = "atbd", fires: DataFrame | None = None) -> DataFrame:
-    """Every pixel with its part I code, stage and flag, and its final code."""
+def full_trace(px: DataFrame, lut: DataFrame, policy: str = "atbd", fires: DataFrame | None = None) -> DataFrame:
+    """Every pixel: what stopped it or, for survivors, the trace of both parts and the final code."""
     stopped = gated_pixels(px).where(~F.col("survivor"))
+    stopped = stopped.withColumns({"candidate": F.lit(False), "confirmed": F.lit(False)})
     rest = temporal.temporal_filter(confirm.confirm(part_one(px, lut), policy), fires)
-    none = lambda kind: F.lit(None).cast(kind)
-    columns = [*KEY, "stage", "fail_char", F.col("code").alias("p1_code")]
-    stopped = stopped.select(*columns, F.lit(False).alias("candidate"), F.lit(False).alias("confirmed"),
-                             F.col("code").alias("final_code"), F.col("fail_char").alias("flag"))
-    rest = rest.select(*columns, "candidate", "confirmed", F.coalesce("final_code", "code").alias("final_code"),
-                       F.when(F.col("candidate"), F.col("flag")).otherwise(F.col("fail_char")).alias("flag"))
-    return stopped.unionByName(rest)
+    rows = stopped.unionByName(rest, allowMissingColumns=True)
+    return rows.withColumns({
+        "p1_code": F.col("code"),
+        "final_code": F.coalesce("final_code", "code"),
+        "flag": F.when(F.col("candidate"), F.col("flag")).otherwise(F.col("fail_char")),
+    }).drop("code")
+
+
+def scene_masks(px: DataFrame, lut: DataFrame, policy: str = "atbd", fires: DataFrame | None = None) -> DataFrame:
+    """Every pixel with its part I code, stage and flag, and its final code."""
+    columns = [*KEY, "stage", "fail_char", "p1_code", "candidate", "confirmed", "final_code", "flag"]
+    return full_trace(px, lut, policy, fires).select(*columns)
