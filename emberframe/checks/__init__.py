@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("detector", "scoring")
+AREAS = ("detector", "scoring", "geo", "stock")
 
 
 def everything() -> tuple[dict, dict]:

@@ -44,17 +44,21 @@ def connect(sf_dir: str):
 
 
 def compare(spark, con, sf_dir, query, sql) -> tuple[bool, str]:
+    start = time.time()
     got = query(spark, sf_dir)
+    built = time.time() - start
     rows = rows_of(got.columns, [tuple(r) for r in got.collect()])
+    ran = time.time() - start - built
     if sql is None:
-        return True, f"{len(rows)} rows"
+        return True, f"{len(rows)} rows, built {built:.1f}s, ran {ran:.1f}s"
     want = con.execute(sql)
     names = [d[0] for d in want.description]
     if sorted(names) != sorted(got.columns):
         return False, f"columns {sorted(got.columns)} against {sorted(names)}"
     expected = rows_of(names, want.fetchall())
     if rows == expected:
-        return True, f"{len(rows)} rows"
+        sql_time = time.time() - start - built - ran
+        return True, f"{len(rows)} rows, built {built:.1f}s, ran {ran:.1f}s, sql {sql_time:.1f}s"
     extra = [r for r in rows if r not in set(expected)][:3]
     missing = [r for r in expected if r not in set(rows)][:3]
     return False, f"{len(rows)} against {len(expected)} rows in {sorted(names)}; spark only {extra}; sql only {missing}"

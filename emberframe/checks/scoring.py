@@ -51,16 +51,16 @@ def _(spark, sf):
 
 
 @add("e3_one_vs_rest", upto("mask", f"""
-    select code, {_FINISH} from (select code, {_score_sql('ref_code = code', 'final_code = code')} from mask,
-      (select unnest([{", ".join(map(str, k.FIRE_CODES))}]) code) group by code)"""))
+    select fc as code, {_FINISH} from (select fc, {_score_sql('ref_code = fc', 'final_code = fc')} from mask,
+      (select unnest([{", ".join(map(str, k.FIRE_CODES))}]) fc) group by fc)"""))
 def _(spark, sf):
     return scored(audit.one_vs_rest(trace(spark, sf), F.col("ref_code"), F.col("final_code"), k.FIRE_CODES), "code")
 
 
 @add("e4_recall_by_code", upto("mask", f"""
-    select code ref_code, count(ref_code) n_ref, count(*) filter (where candidate) n_found,
+    select fc ref_code, count(ref_code) n_ref, count(*) filter (where candidate) n_found,
       {srd('coalesce(count(*) filter (where candidate) / nullif(count(ref_code), 0), 0)')} recall
-    from (select unnest([{", ".join(map(str, k.FIRE_CODES))}]) code) left join mask on ref_code = code group by code"""))
+    from (select unnest([{", ".join(map(str, k.FIRE_CODES))}]) fc) left join mask on ref_code = fc group by fc"""))
 def _(spark, sf):
     return audit.recall_by_code(trace(spark, sf)).select("ref_code", "n_ref", "n_found", *rds("recall"))
 
