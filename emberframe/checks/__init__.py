@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("detector", "scoring", "geo", "stock")
+AREAS = ("detector", "scoring", "geo", "stock", "learning", "moving", "files")
 
 
 def everything() -> tuple[dict, dict]:

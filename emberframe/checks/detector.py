@@ -262,7 +262,7 @@ def on_states(step: str, body: str, first: str = "thr0") -> str:
 
 
 def classified(spark, sf):
-    return thresholds.classify_survivors(thresholds.contextual_thresholds(states(spark, sf).withColumn("fail_char", F.when(F.col("sat_flag"), 7).otherwise(-1))))
+    return settle(thresholds.classify_survivors(thresholds.contextual_thresholds(states(spark, sf).withColumn("fail_char", F.when(F.col("sat_flag"), 7).otherwise(-1)))))
 
 
 _STEP_OF = "case step0 when 'quick' then 'quick' when 'open' then 'open' when 'none' then 'none' else 'stopped' end"
@@ -403,7 +403,7 @@ def _mix_sql(steps: int, body: str) -> str:
 
 @add("c2_bisection", _mix_sql(15, f"select scene, i, j, {srd('ln(p)', 6)} log_p, {srd('t', 3)} t from root where p is not null"))
 def _(spark, sf):
-    rows = retrieval.bisect_fraction(spark.sql(_MIX, px=views.pixels(spark, sf)), 15)
+    rows = settle(retrieval.bisect_fraction(spark.sql(_MIX, px=views.pixels(spark, sf)), 15))
     return rows.where("p_15 is not null").select(*IJ, rd(F.ln("p_15"), 6).alias("log_p"), rd("t_15", 3).alias("t"))
 
 
@@ -415,7 +415,7 @@ def _(spark, sf):
 
 @add("c4_retrieval_classes", on_states("ret1", "select fail_char, good valid, count(*) n from ret1 group by all"))
 def _(spark, sf):
-    rows = corrections.correct(classified(spark, sf), views.lut(spark)).where("path = 'open'")
+    rows = settle(corrections.correct(classified(spark, sf), views.lut(spark))).where("path = 'open'")
     rows = settle(retrieval.retrieve(rows))
     return rows.groupBy("fail_char", F.col("retrieval_valid").alias("valid")).agg(F.count("*").alias("n"))
 

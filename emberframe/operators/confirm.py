@@ -103,7 +103,6 @@ def finalise(cand: DataFrame) -> DataFrame:
 def confirm(cand: DataFrame, policy: str = "atbd") -> DataFrame:
     """Part II; its columns stay NULL for rows that are no candidates."""
     before = set(cand.columns)
-    sorted_out = settle(reassign_edges(eliminate(cand)))
-    done = settle(finalise(apply_policy(settle(categorise(sorted_out)), policy)))
+    done = finalise(apply_policy(categorise(reassign_edges(eliminate(cand))), policy))
     only = {n: F.when(F.col("candidate"), F.col(n)) for n in done.columns if n not in before and n != "confirmed"}
-    return done.withColumns(only)
+    return settle(done.withColumns(only))

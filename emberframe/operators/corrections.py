@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from emberframe import codes as k
 from emberframe.functions.nulls import clip, holds
-from emberframe.functions.settle import settle
 from emberframe.functions.radiometry import BandCoefficients, radiance_of, temperature_of
 from emberframe.operators.gates import day_offset
 
@@ -133,4 +132,4 @@ def correct(px: DataFrame, lut: DataFrame) -> DataFrame:
         "fail_char": F.when(opened, F.col("fail_post")).otherwise(F.col("fail_char")),
         "skip_retrieval": F.col("skip_retrieval") & opened,
     }).drop("fail_post", "_failed_at", "tpw_failed", "bkg_failed", "diff_failed")
-    return settle(px)
+    return px

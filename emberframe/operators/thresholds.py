@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from emberframe import codes as k
 from emberframe.functions.nulls import clip, holds
-from emberframe.functions.settle import settle
 from emberframe.operators.gates import day_offset
 
 
@@ -56,4 +55,4 @@ def classify_survivors(bkg: DataFrame) -> DataFrame:
         "fail_char": F.when(is_step("flag_1"), 1).when(is_step("flag_2"), 2).otherwise(c("fail_char")),
         "path": F.when(is_step("none") | is_step("quick") | is_step("open"), c("step")).otherwise("stopped"),
     }).drop("step")
-    return settle(bkg)
+    return bkg
