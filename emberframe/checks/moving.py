@@ -75,7 +75,7 @@ def _(spark, sf):
 
 def event_stream(spark, sf):
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 @add("t7_streaming_filter", px_sql(f"""
@@ -102,8 +102,8 @@ def _(spark, sf):
 
 
 @add("t8_fire_episodes", """
-    select epoch(min(ts))::double // 1 from_epoch, n, user_id from (select user_id, min(ts) ts, count(*) n from (select *, sum(brk) over (partition by user_id order by ts) g from
-      (select *, case when ts - lag(ts) over (partition by user_id order by ts) <= interval 6 hours then 0 else 1 end brk from events)) group by user_id, g) group by all""".replace("epoch(min(ts))::double // 1", "floor(epoch(min(ts)))::bigint"))
+    select floor(epoch(ts))::bigint from_epoch, n, user_id from (select user_id, min(ts) ts, count(*) n from (select *, sum(brk) over (partition by user_id order by ts) g from
+      (select *, case when ts - lag(ts) over (partition by user_id order by ts) <= interval 6 hours then 0 else 1 end brk from events)) group by user_id, g)""")
 def _(spark, sf):
     # A window ends one gap after its last event, so an event exactly one gap later opens a new one; the data has none.
     table = windows.bounds(windows.episodes(views.events(spark, sf), "user_id", gap="6 hours"))
