@@ -35,19 +35,20 @@ def bisect_fraction(px: DataFrame, steps: int, where: Column | None = None) -> D
 
     px = px.withColumns({"_lo": sign(F.lit(k.P_LOW)), "_hi": sign(F.lit(k.P_HIGH))})
 
+    def bind(value: Column, use) -> Column:
+        """`use(value)` with the value computed once: a name inside an expression is a lambda over one element."""
+        return F.element_at(F.transform(F.array(value), use), 1)
+
     def halve(state: Column, _: Column) -> Column:
-        mid = F.sqrt(state["lo"] * state["hi"])
-        at = sign(mid)
-        low_side = at == F.col("_lo")
-        moved = F.struct(
-            F.when(low_side, mid).otherwise(state["lo"]).alias("lo"),
-            F.when(low_side, state["hi"]).otherwise(mid).alias("hi"),
-            mid.alias("p"),
-            (at == 0).alias("done"),
-        )
-        return F.when(state["done"] | state["p"].isNull(), state).when(
-            at.isNull(), F.struct(state["lo"], state["hi"], F.lit(None).cast("double").alias("p"), F.lit(False).alias("done"))
-        ).otherwise(moved)
+        def moved(mid: Column, at: Column) -> Column:
+            low_side = at == F.col("_lo")
+            return F.struct(
+                F.when(low_side, mid).otherwise(state["lo"]).alias("lo"), F.when(low_side, state["hi"]).otherwise(mid).alias("hi"),
+                F.when(at.isNotNull(), mid).alias("p"), (at.isNull() | (at == 0)).alias("done"),
+            )
+
+        step = bind(F.sqrt(state["lo"] * state["hi"]), lambda mid: bind(sign(mid), lambda at: moved(mid, at)))
+        return F.when(state["done"], state).otherwise(step)
 
     start = F.struct(
         F.lit(k.P_LOW).alias("lo"), F.lit(k.P_HIGH).alias("hi"), F.lit(k.P_LOW).alias("p"), F.lit(False).alias("done")

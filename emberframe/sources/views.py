@@ -94,9 +94,22 @@ def region_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pixels(spark, sf_dir).select("region", "i", "j", "lat", "lon").distinct()
 
 
-def scene_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pixel view with the static area of each pixel."""
+_AREAS: dict[tuple, str] = {}
+
+
+def stored_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixel areas are static: computed once per application and kept in the shared folder."""
     from emberframe.operators.geometry import pixel_areas
+    from emberframe.session import new_path
 
-    areas = pixel_areas(region_geometry(spark, sf_dir)).select("region", "i", "j", "area_km2")
-    return pixels(spark, sf_dir).join(areas, ["region", "i", "j"], "left")
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _AREAS:
+        path = new_path(spark, "areas")
+        pixel_areas(region_geometry(spark, sf_dir)).select("region", "i", "j", "area_km2").write.parquet(path)
+        _AREAS[key] = path
+    return spark.read.parquet(_AREAS[key])
+
+
+def scene_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pixel view with the static area of each pixel."""
+    return pixels(spark, sf_dir).join(stored_areas(spark, sf_dir), ["region", "i", "j"], "left")
