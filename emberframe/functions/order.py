@@ -93,3 +93,11 @@ def percentiles(df: DataFrame, groups: Sequence[str], value: str, probs: dict[st
     found = placed.groupBy("_key").agg(*aggs)
     lerp = lambda n: (F.col(f"_{n}_lo") + (F.col(f"_{n}_hi") - F.col(f"_{n}_lo")) * F.col(f"_{n}_f")).alias(n)
     return found.select(*[F.col(f"_key.{g}").alias(g) for g in groups], *[lerp(n) for n in probs])
+
+
+def medians(df: DataFrame, groups: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Exact medians of several columns per group in one pass: the columns become rows, then columns again."""
+    rows = F.array(*[F.struct(F.lit(c).alias("_name"), F.col(c).cast("double").alias("_value")) for c in columns])
+    long = df.select(*groups, F.inline(rows))
+    found = percentiles(long, [*groups, "_name"], "_value", {"_median": 0.5})
+    return found.groupBy(*groups).agg(*[F.max(F.when(F.col("_name") == c, F.col("_median"))).alias(c) for c in columns])

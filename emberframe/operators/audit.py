@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from emberframe import codes as k
 from emberframe.functions.nulls import holds, ratio
-from emberframe.functions.order import hash_order, percentiles, rank_by_hash
+from emberframe.functions.order import hash_order, medians, percentiles
 
 COUNTS = ("tp", "fp", "fn", "tn")
 MARGINS = (
@@ -141,9 +141,9 @@ def background_summary(px: DataFrame) -> DataFrame:
     counts = both.groupBy("population").agg(
         F.count("*").alias("n"), F.count_if(F.col("approach") == "stat").alias("n_stat"), F.count_if(F.col("approach") == "hist").alias("n_hist")
     )
-    for column in ("t7_stat_std", "t7_hist_std", "n_hist"):
-        counts = counts.join(percentiles(both, ["population"], column, {f"median_{column}": 0.5}), "population", "left")
-    return counts
+    columns = ("t7_stat_std", "t7_hist_std", "n_hist")
+    found = medians(both, ["population"], columns).withColumnsRenamed({c: f"median_{c}" for c in columns})
+    return counts.join(found, "population", "left")
 
 
 def half_width_counts(px: DataFrame) -> DataFrame:
@@ -201,9 +201,7 @@ def missed_margins(audit: DataFrame) -> DataFrame:
     """Median of each margin over the missed fires of a stage."""
     missed = audit.where("verdict = 'FN'")
     table = missed.groupBy("stage", "stage_killed_by").agg(F.count("*").alias("n"))
-    for m in MARGINS:
-        table = table.join(percentiles(missed, ["stage"], m, {m: 0.5}), "stage", "left")
-    return table
+    return table.join(medians(missed, ["stage"], MARGINS), "stage", "left")
 
 
 def category_tally(px: DataFrame) -> DataFrame:

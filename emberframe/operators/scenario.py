@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberframe.functions.nulls import ratio
-from emberframe.functions.order import percentiles
+from emberframe.functions.order import medians
 from emberframe.operators.audit import COUNTS, count_columns, is_fire, scores
 
 BASELINE = "baseline"
@@ -97,6 +97,5 @@ def ancillary_snapshot(px: DataFrame, columns: tuple[str, ...] = ("tpw", "emiss7
         F.bool_or(F.col("refl2").isNotNull()).alias("has_band_2"), F.bool_or(F.col("bt15").isNotNull()).alias("has_band_15"),
         ratio(F.count("emiss14"), F.count("*")).alias("share_emiss14"),
     )
-    for c in columns:
-        table = table.join(percentiles(px, ["scene"], c, {f"{c}_median": 0.5}), "scene", "left")
-    return table
+    found = medians(px, ["scene"], columns).withColumnsRenamed({c: f"{c}_median" for c in columns})
+    return table.join(found, "scene", "left")
