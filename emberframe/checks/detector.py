@@ -46,7 +46,7 @@ _BANDS = "(select 7 band, 3.9e-6 wl union all select 13, 10.35e-6 union all sele
 
 
 @add("r3_monochromatic_planck", px_sql(f"""
-    select event_id, band, round(ln(rad), 6) + 0e0 log_radiance,
+    select event_id, band, {srd('ln(rad)', 6)} log_radiance,
       {srd("(6.62607015e-34 * 299792458e0 / 1.380649e-23 / wl) / ln(1 + c1 / (rad * pow(wl, 5)))", 3)} temperature
     from (select event_id, band, wl, 2e0 * 6.62607015e-34 * 299792458e0 * 299792458e0 c1, 2e0 * 6.62607015e-34 * 299792458e0 * 299792458e0
         / (pow(wl, 5) * (exp(6.62607015e-34 * 299792458e0 / 1.380649e-23 / (wl * bt14)) - 1)) rad

@@ -59,8 +59,8 @@ def compare(spark, con, sf_dir, query, sql) -> tuple[bool, str]:
     if rows == expected:
         sql_time = time.time() - start - built - ran
         return True, f"{len(rows)} rows, built {built:.1f}s, ran {ran:.1f}s, sql {sql_time:.1f}s"
-    extra = [r for r in rows if r not in set(expected)][:3]
-    missing = [r for r in expected if r not in set(rows)][:3]
+    have, wanted = set(rows), set(expected)
+    extra, missing = [r for r in rows if r not in wanted][:3], [r for r in expected if r not in have][:3]
     return False, f"{len(rows)} against {len(expected)} rows in {sorted(names)}; spark only {extra}; sql only {missing}"
 
 
