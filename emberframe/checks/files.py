@@ -188,3 +188,8 @@ def _(spark, sf):
     runs.write.json(path)
     schema = "run string, global struct<average_precision: double, recall: double>, scene_level struct<scene_macro_recall: double>"
     return scoring.compare_runs(spark.read.schema(schema).json(path))
+
+
+# The comparison of model runs is the same query under its own name.
+BOOK.queries["m11_run_comparison"] = BOOK.queries["s17_metrics_json"]
+BOOK.sql["m11_run_comparison"] = BOOK.sql["s17_metrics_json"]

@@ -80,11 +80,11 @@ def _(spark, sf):
 
 
 @add("i5_same_missing_set", """
-    with g as (select distinct concat(event_type, '-', user_id % 3) product, floor(epoch(ts))::bigint // 86400 slot from events where value > 450 or user_id % 3 = 0)
+    with g as (select distinct concat(event_type, '-', user_id % 3) product, floor(epoch(ts))::bigint // 604800 slot from events where value > 250)
     select n_missing, string_agg(product, ',' order by product) products from (select product, count(*) n_missing, list(slot order by slot) s from g group by product) group by s, n_missing""")
 def _(spark, sf):
-    ev = views.events(spark, sf).where("value > 450 or user_id % 3 = 0")
-    gaps = ev.select(F.expr("concat(event_type, '-', user_id % 3)").alias("product"), F.floor(F.unix_timestamp("ts") / 86400).alias("slot")).distinct()
+    ev = views.events(spark, sf).where("value > 250")
+    gaps = ev.select(F.expr("concat(event_type, '-', user_id % 3)").alias("product"), F.floor(F.unix_timestamp("ts") / 604800).alias("slot")).distinct()
     return inventory.same_missing_set(gaps)
 
 

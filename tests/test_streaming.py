@@ -38,3 +38,22 @@ def test_last_fire_is_strictly_earlier_and_within_the_look_back(spark):
     rows = [("r", 5, 5, T0, 10, True), ("r", 6, 6, T0, 10, True), ("r", 6, 6, T0 + 43200, 11, True), ("r", 5, 5, T0 + 86401, 12, True)]
     got = {(r.i, r.scene_epoch - T0): r.final_code for r in temporal.temporal_filter(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {(5, 0): 10, (6, 0): 10, (6, 43200): 31, (5, 86401): 12}
+
+
+def test_a_scene_later_than_the_watermark_is_dropped(spark):
+    folder, out, progress = new_path(spark, "in"), new_path(spark, "out"), new_path(spark, "progress")
+    for number, epoch in enumerate((T0 + 864000, T0 + 864600, T0)):
+        write_batches(spark, f"{folder}/{number}", [[("r", 5, 5, epoch, 10, True)]])
+        got = run(spark, folder, out, progress)
+    assert sorted((r.scene_epoch, r.final_code) for r in got.collect()) == [(T0 + 864000, 10), (T0 + 864600, 30)]
+
+
+def test_detection_on_a_stream_of_scenes(spark):
+    from test_physics import mild_lut, scene
+
+    folder, out = new_path(spark, "scenes"), new_path(spark, "fires")
+    scene(spark, fire=(20, 20)).coalesce(1).write.parquet(folder)
+    pixels = spark.readStream.schema(spark.read.parquet(folder).schema).parquet(folder)
+    fire_state.detect_stream(pixels, mild_lut(spark), out, new_path(spark, "progress")).awaitTermination()
+    found = spark.read.parquet(out).collect()
+    assert [(r.i, r.j) for r in found] == [(20, 20)]
