@@ -189,9 +189,6 @@ def expanding_background(gated: DataFrame, tile: int = TILE) -> DataFrame:
     stats = T.StructType.fromDDL(_STATS)
     schema = T.StructType([px.schema[n] for n in keep] + stats.fields)
     arrow = pa.schema([(f.name, pa.int32() if isinstance(f.dataType, T.IntegerType) else pa.float64()) for f in stats])
-    # Bytes do not tell the cost of a tile: a fixed number of partitions keeps the runtime from merging them into few tasks.
-    tiles = int(px.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    px = px.repartition(tiles, "scene", "_ti", "_tj")
     return px.groupBy("scene", "_ti", "_tj").applyInArrow(lambda t: _tile_background(t, arrow), schema)
 
 
