@@ -6,15 +6,39 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberframe.llm import trie_join
+from emberframe.llm import repeats, trie_join
 from emberframe.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op7_simhash_dedup,)}
-SQL: dict[str, str] = {}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op5_substring_dedup, op7_simhash_dedup)}
+SQL: dict[str, str] = {
+    "op5_substring_dedup": r"""
+        with texts as (
+            select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents
+        ), starts as (
+            select doc_id, unnest(generate_series(1, len(words) - 19)) as start, words from texts where len(words) >= 20
+        ), windows as (
+            select doc_id, start, row_number() over (partition by array_to_string(words[start:start + 19], ' ') order by doc_id, start) as nth from starts
+        ), gone as (
+            select distinct doc_id, unnest(generate_series(start, start + 19)) as place from windows where nth > 1
+        ), places as (
+            select doc_id, unnest(words) as word, generate_subscripts(words, 1) as place from texts
+        ), kept as (
+            select p.doc_id, count(*) filter (g.place is not null) as n_removed,
+                coalesce(string_agg(p.word, ' ' order by p.place) filter (g.place is null), '') as kept
+            from places p left join gone g on p.doc_id = g.doc_id and p.place = g.place group by p.doc_id
+        )
+        select t.doc_id, len(words)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+        from texts t left join kept k on t.doc_id = k.doc_id
+    """,
+}
