@@ -6,12 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberframe.llm import repeats, trie_join
+from emberframe.llm import langid, mixing, packing, repeats, trie_join
 from emberframe.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.decide(table(spark, sf_dir, "documents"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), ids=False)
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
@@ -20,8 +32,9 @@ def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op5_substring_dedup, op7_simhash_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mixing, op3_language_id, op4_packing, op5_substring_dedup, op7_simhash_dedup)}
 SQL: dict[str, str] = {
+    "op1_mixing": mixing.sql(),
     "op5_substring_dedup": r"""
         with texts as (
             select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents
