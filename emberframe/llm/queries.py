@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberframe.llm import langid, mixing, packing, repeats, trie_join
+from emberframe.llm import langid, mixing, packing, pivots, quality, repeats, trie_join
 from emberframe.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,7 +32,15 @@ def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mixing, op3_language_id, op4_packing, op5_substring_dedup, op7_simhash_dedup)}
+def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.search(table(spark, sf_dir, "embeddings"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mixing, op3_language_id, op4_packing, op5_substring_dedup, op7_simhash_dedup, op9_topk_search, op10_quality)}
 SQL: dict[str, str] = {
     "op1_mixing": mixing.sql(),
     "op5_substring_dedup": r"""
@@ -54,4 +62,16 @@ SQL: dict[str, str] = {
         select t.doc_id, len(words)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256
         from texts t left join kept k on t.doc_id = k.doc_id
     """,
+    "op9_topk_search": """
+        with usable as (
+            select distinct vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) as v from embeddings
+            where embedding is not null and vec_id is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+        ), scored as (
+            select q.vec_id as query_id, c.vec_id, list_dot_product(q.v, c.v)::bigint as score
+            from usable q join usable c on q.vec_id % 100 = 0 and c.vec_id <> q.vec_id and len(q.v) = len(c.v)
+        ), ranked as (
+            select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score from scored
+        )
+        select * from ranked where rank <= 10
+    """,
 }
