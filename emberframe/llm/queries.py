@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from emberframe.llm import langid, mixing, packing, pivots, quality, repeats, trie_join
+from emberframe.llm import attribution, langid, masked_lm, mixing, packing, pivots, quality, repeats, simhash, trie_join
 from emberframe.llm.common import table
+from emberframe.session import cut_lineage
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +18,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.decide(table(spark, sf_dir, "documents"))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attribution.section_tokens(table(spark, sf_dir, "documents"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -28,10 +34,20 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return masked_lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents; n_near, for ids divisible by 50, from the permuted block tables over all of them."""
+    prints = cut_lineage(simhash.fingerprints(table(spark, sf_dir, "documents")))
+    return simhash.count_near(prints, F.col("doc_id") % 50 == 0)
+
+
 def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivots.search(table(spark, sf_dir, "embeddings"))
 
@@ -40,7 +56,13 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mixing, op3_language_id, op4_packing, op5_substring_dedup, op7_simhash_dedup, op9_topk_search, op10_quality)}
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_mixing, op2_token_counts, op3_language_id, op4_packing, op5_substring_dedup, op6_lm_scoring, op7_simhash_dedup, op8_fingerprints,
+        op9_topk_search, op10_quality,
+    )
+}
 SQL: dict[str, str] = {
     "op1_mixing": mixing.sql(),
     "op5_substring_dedup": r"""

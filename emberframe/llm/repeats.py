@@ -303,3 +303,18 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
         return pa.table({"doc_id": group.column("doc_id"), "n_words": pa.array(words, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(digests, pa.string()), "kept": pa.array(kept, pa.binary()).cast(pa.string())})
 
     return stored.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+
+
+def cleaned(docs: DataFrame, window: int = 20) -> DataFrame:
+    """The documents with repeated passages taken out; other columns stay, n_chars is counted anew where it is there.
+
+    A text that loses nothing stays as it is, null included; one that loses all its words goes. Where several rows have one doc_id
+    (or a null one), texts and rows can't be told apart by it: such rows stay as they are, but still count as places of a passage.
+    """
+    lost = remove_repeats(docs, window).where("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("kept").alias("_kept"), F.col("n_words").alias("_words"), F.col("n_removed").alias("_removed"))
+    once = docs.groupBy("doc_id").agg(F.count("*").alias("_rows")).where("doc_id is not null and _rows = 1").select(F.col("doc_id").alias("_once"))
+    lost = lost.join(once, F.col("_id") == F.col("_once"), "left_semi")
+    joined = docs.join(lost, docs["doc_id"] == lost["_id"], "left").where("_kept is null or _words > _removed")
+    text = F.coalesce("_kept", docs["text"])
+    columns = [text.alias(c) if c == "text" else F.when(F.col("_kept").isNotNull(), F.length("_kept")).otherwise(docs[c]).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else docs[c] for c in docs.columns]
+    return joined.select(*columns)
