@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -14,14 +14,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def narrow(docs: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns: whatever else a table carries can't clash with working columns."""
-    return docs.select(*(docs[n].alias(n) for n in names))
+def raw_columns(docs: DataFrame, text: str = "text") -> list[Column]:
+    """doc_id and the text as UTF-8 bytes; a null text is empty."""
+    return [docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs[text].cast("string").cast("binary"), F.lit(b"")).alias("text")]
 
 
 def raw_text(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id and the text as UTF-8 bytes; a null text is empty."""
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs[text].cast("binary"), F.lit(b"")).alias("text"))
+    """Those two columns alone: whatever else a table carries can't clash with working columns."""
+    return docs.select(*raw_columns(docs, text))
 
 
 def parallelism(spark: SparkSession) -> int:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from emberframe.session import cut_lineage
 
 #: Targets in proportion to a margin's tokens to this power: below 1 evens out large and small.
-POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.9}
+POWERS = {"source": 0.7, "lang": 0.85, "topic": 0.95}
 ROUNDS = 8
 SEED = "mix"
 UNKNOWN = "unknown"

@@ -19,10 +19,11 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from emberframe.llm.common import parallelism, raw_text
+from emberframe.llm.common import parallelism, raw_columns
 from emberframe.session import new_path
 
 ONE_IN = 4
@@ -148,8 +149,8 @@ class Search:
         raise ValueError(level)
 
 
-def bucketed(docs: DataFrame) -> tuple[DataFrame, int]:
-    """The texts as a table in the shared folder, bucketed by block, and their bytes.
+def bucketed(docs: DataFrame, rest: Column) -> tuple[DataFrame, int]:
+    """The texts as a table in the shared folder, bucketed by block, and their bytes; `rest` is carried along.
 
     A document is wholly in one block, and rows of the same doc_id too; rows with null doc_id are dealt out.
     """
@@ -157,7 +158,7 @@ def bucketed(docs: DataFrame) -> tuple[DataFrame, int]:
     parts, rows = parallelism(spark), docs.count()
     blocks = max(1, rows // 20_000, min(rows // 256, 32 * parts))
     name, path = f"emberframe_{new_path(spark, 'blocks').rsplit('-', 1)[1]}", new_path(spark, "blocks")
-    texts = raw_text(docs).withColumn("row", F.monotonically_increasing_id())
+    texts = docs.select(*raw_columns(docs), rest.alias("rest")).withColumn("row", F.monotonically_increasing_id())
     placed = texts.withColumn("block", F.pmod(F.xxhash64(F.coalesce("doc_id", "row")), F.lit(blocks)))
     placed = placed.withColumn("size", F.octet_length("text"))
     placed.repartition(parts, "block").write.option("path", path).bucketBy(parts, "block").saveAsTable(name)
@@ -249,7 +250,7 @@ def _search(spark: SparkSession, stored: DataFrame, size: int, first: int, level
     flags = spark.createDataFrame([], FLAGS)
     for level in range(levels):
         last = level == levels - 1
-        sent = stored.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(_send(search, level), SENT_SQL)
+        sent = stored.select("block", "doc_id", "row", "text").groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(_send(search, level), SENT_SQL)
         path = new_path(spark, "flags")
         sent.groupBy("range").applyInArrow(_answer(level, last), FLAGS).write.parquet(path)
         flags = flags.union(spark.read.schema(FLAGS).parquet(path))
@@ -264,18 +265,12 @@ def _first_length(window: int) -> tuple[int, int]:
     return first, levels
 
 
-def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256, kept) of every row of documents.
-
-    Words are runs of bytes other than space and \\t to \\r. A word is removed if a window of `window` words covers it whose
-    word sequence also starts earlier: in a document of smaller doc_id, or further up in the same one. Windows are judged on the
-    input. Rows of the same doc_id count in some fixed order as documents one after the other, rows with null doc_id after all
-    others. Null and empty texts and texts shorter than a window lose nothing. Other columns are not looked at.
-    """
+def _judged(docs: DataFrame, window: int, rest: Column, whole: bool = False) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256, kept, rest) of every row; `whole` keeps white space of texts that lose nothing."""
     if window < 1:
         raise ValueError("a window has at least one word")
     spark = docs.sparkSession
-    stored, size = bucketed(docs)
+    stored, size = bucketed(docs, rest)
     search, flags = _search(spark, stored, size, *_first_length(window))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -288,8 +283,7 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
         again = np.ones(len(use), bool)
         again[start] = False
         hit = use[again | answers[-1][index]]
-        n = len(block.words)
-        edge = np.zeros(n + 1, np.int64)
+        edge = np.zeros(len(block.words) + 1, np.int64)
         np.add.at(edge, hit, 1)
         np.add.at(edge, hit + window, -1)
         gone = np.cumsum(edge[:-1]) > 0
@@ -298,23 +292,40 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
             own = gone[lo:hi]
             words.append(int(hi - lo))
             removed.append(int(own.sum()))
-            kept.append(b" ".join(compress(text.split(), (~own).tolist()) if removed[-1] else text.split()))
+            kept.append(text if whole and not removed[-1] else b" ".join(compress(text.split(), (~own).tolist())))
             digests.append(hashlib.sha256(kept[-1]).hexdigest())
-        return pa.table({"doc_id": group.column("doc_id"), "n_words": pa.array(words, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(digests, pa.string()), "kept": pa.array(kept, pa.binary()).cast(pa.string())})
+        columns = [group.column("doc_id"), pa.array(words, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string()), pa.array(kept, pa.binary()), group.column("rest")]
+        return pa.table(columns, names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept", "rest"])
+
+    schema = T.StructType.fromDDL("doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary").add("rest", stored.schema["rest"].dataType)
+    texts = stored.select("block", "doc_id", "row", "text", "rest")
+    return texts.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(run, schema).withColumn("kept", F.col("kept").cast("string"))
+
 
-    return stored.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256, kept) of every row of documents.
+
+    Words are runs of bytes other than space and \t to \r. A word is removed if a window of `window` words covers it whose
+    word sequence also starts earlier: in a document of smaller doc_id, or further up in the same one. Windows are judged on the
+    input. Rows of the same doc_id count in some fixed order as documents one after the other, rows with null doc_id after all
+    others. Null and empty texts and texts shorter than a window lose nothing. Other columns are not looked at.
+    """
+    return _judged(docs, window, F.lit(None).cast("int")).drop("rest")
 
 
 def cleaned(docs: DataFrame, window: int = 20) -> DataFrame:
-    """The documents with repeated passages taken out; other columns stay, n_chars is counted anew where it is there.
+    """The documents without words of repeated windows, in their own columns; `n_chars` is counted anew for texts that change.
 
-    A text that loses nothing stays as it is, null included; one that loses all its words goes. Where several rows have one doc_id
-    (or a null one), texts and rows can't be told apart by it: such rows stay as they are, but still count as places of a passage.
+    A text that loses nothing stays as it is, null included; one that loses all its words goes.
     """
-    lost = remove_repeats(docs, window).where("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("kept").alias("_kept"), F.col("n_words").alias("_words"), F.col("n_removed").alias("_removed"))
-    once = docs.groupBy("doc_id").agg(F.count("*").alias("_rows")).where("doc_id is not null and _rows = 1").select(F.col("doc_id").alias("_once"))
-    lost = lost.join(once, F.col("_id") == F.col("_once"), "left_semi")
-    joined = docs.join(lost, docs["doc_id"] == lost["_id"], "left").where("_kept is null or _words > _removed")
-    text = F.coalesce("_kept", docs["text"])
-    columns = [text.alias(c) if c == "text" else F.when(F.col("_kept").isNotNull(), F.length("_kept")).otherwise(docs[c]).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else docs[c] for c in docs.columns]
-    return joined.select(*columns)
+    rest = F.struct(F.col("text").isNull().alias("missing"), *(docs[c].alias(f"c{k}") for k, c in enumerate(docs.columns) if c != "text"))
+    judged = _judged(docs, window, rest, whole=True).where("n_removed = 0 or n_words > n_removed")
+
+    def column(k: int, name: str) -> Column:
+        if name == "text":
+            return F.when(~F.col("rest.missing"), F.col("kept")).alias(name)
+        own = F.col(f"rest.c{k}")
+        changed = F.when(F.col("n_removed") > 0, F.length("kept")).otherwise(own).cast(docs.schema[name].dataType)
+        return (changed if name == "n_chars" else own).alias(name)
+
+    return judged.select(*(column(k, c) for k, c in enumerate(docs.columns)))
