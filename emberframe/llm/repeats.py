@@ -245,8 +245,8 @@ def _answer(level: int, last: bool):
 
 def _search(spark: SparkSession, stored: DataFrame, size: int, first: int, levels: int) -> tuple[Search, DataFrame]:
     """Flags of all levels, as a table in the shared folder."""
-    parts = parallelism(spark)
-    search = Search(first, levels, max(1, math.ceil(math.log2(max(4 * parts, size / 6 / (1 << 20))))))
+    # about a million windows a range; blocks and ranges exchange one row a pair, so ranges follow the data, not the partitions
+    search = Search(first, levels, math.ceil(math.log2(max(64, size / 6 / (1 << 20)))))
     flags = spark.createDataFrame([], FLAGS)
     for level in range(levels):
         last = level == levels - 1
