@@ -46,7 +46,8 @@ def described(docs: DataFrame) -> DataFrame:
 def default_targets(cells: DataFrame, margin: str, power: float) -> DataFrame:
     """(value, share): shares in proportion to tokens to a power."""
     sums = cells.groupBy(margin).agg(F.pow(F.sum("t").cast("double"), F.lit(power)).alias("size"))
-    return sums.crossJoin(sums.agg(F.sum("size").alias("all"))).select(margin, (F.col("size") / F.col("all")).alias("share"))  # one row
+    whole = sums.agg(F.sum("size")).first()[0] or 1.0
+    return sums.select(margin, (F.col("size") / F.lit(whole)).alias("share"))
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS) -> DataFrame:
