@@ -16,7 +16,7 @@ from emberframe.sources import views
 
 BOOK = Book.empty()
 add = BOOK.add
-IJ = ["scene", "i", "j"]
+IJ = ["region", "scene", "i", "j"]
 
 
 def k7():
@@ -148,7 +148,7 @@ _LEVELS = [h for h in k.HALF_WIDTHS]
 _COUNT_COLUMNS = ", ".join(f"n_{h}" for h in _LEVELS)
 
 
-@add("p9_expanding_window", upto("levels", f"select scene, i, j, {_COUNT_COLUMNS}, half_width from levels"))
+@add("p9_expanding_window", upto("levels", f"select region, scene, i, j, {_COUNT_COLUMNS}, half_width from levels"))
 def _(spark, sf):
     counts = background.valid_counts(gated(spark, sf)).where("survivor")
     return counts.select(*IJ, *[f"n_{h}" for h in _LEVELS], "half_width")
@@ -173,7 +173,7 @@ def _background_check(name: str, columns: str) -> None:
     also = {"p11_histogram_background": ["n_hist"], "p13_background_choice": ["approach", "n_passes"]}.get(name, [])
     extra = "".join(f", {c}" for c in also)
 
-    @add(name, upto("bkg", f"select scene, i, j{extra}, {srds(columns, 3)} from bkg where half_width is not null"))
+    @add(name, upto("bkg", f"select region, scene, i, j{extra}, {srds(columns, 3)} from bkg where half_width is not null"))
     def _(spark, sf):
         found = background.choose_approach(background.expanding_background(gated(spark, sf)))
         return found.where("half_width is not null").select(*IJ, *also, *rds(columns, 3))
@@ -184,11 +184,11 @@ for _name, _columns in _BKG.items():
 
 
 @add("p15_full_window", upto("prep", f"""
-    select a.scene, a.i, a.j, {srd('case when count(b.bt7) = count(*) then avg(b.bt7) end', 3)} bt7_full_mean,
+    select a.region, a.scene, a.i, a.j, {srd('case when count(b.bt7) = count(*) then avg(b.bt7) end', 3)} bt7_full_mean,
       {srd('case when count(b.bt7) = count(*) then stddev_pop(b.bt7) end', 3)} bt7_full_std,
       {srd('case when count(b.bt14e) = count(*) then avg(b.bt14e) end', 3)} bt14_full_mean,
       {srd('case when count(b.bt14e) = count(*) then stddev_pop(b.bt14e) end', 3)} bt14_full_std
-    from prep a join prep b on a.scene = b.scene and abs(a.i - b.i) <= 5 and abs(a.j - b.j) <= 5 group by all"""))
+    from prep a join prep b on a.region = b.region and a.scene = b.scene and abs(a.i - b.i) <= 5 and abs(a.j - b.j) <= 5 group by all"""))
 def _(spark, sf):
     full = background.full_window(gates.prepare(views.pixels(spark, sf)), 5)
     return full.select(*IJ, *rds("bt7_full_mean bt7_full_std bt14_full_mean bt14_full_std", 3))
@@ -198,24 +198,24 @@ def _thresholds(spark, sf):
     return detect.survivors(views.pixels(spark, sf)).where("half_width is not null")
 
 
-@add("p16_contextual_thresholds", upto("cls", f"select scene, i, j, {srds('std_7b14b std_7b std_reflb std_reflb_max', 3)} from cls where half_width is not null"))
+@add("p16_contextual_thresholds", upto("cls", f"select region, scene, i, j, {srds('std_7b14b std_7b std_reflb std_reflb_max', 3)} from cls where half_width is not null"))
 def _(spark, sf):
     return _thresholds(spark, sf).select(*IJ, *rds("std_7b14b std_7b std_reflb std_reflb_max", 3))
 
 
-@add("p17_along_scan_pass", upto("cls", "select scene, i, j, pass_along from cls where half_width is not null"))
+@add("p17_along_scan_pass", upto("cls", "select region, scene, i, j, pass_along from cls where half_width is not null"))
 def _(spark, sf):
     return _thresholds(spark, sf).select(*IJ, "pass_along")
 
 
-@add("p18_background_albedo", upto("cls", f"select scene, i, j, {srds('albedo_bkg', 3)} from cls where half_width is not null"))
+@add("p18_background_albedo", upto("cls", f"select region, scene, i, j, {srds('albedo_bkg', 3)} from cls where half_width is not null"))
 def _(spark, sf):
     return _thresholds(spark, sf).select(*IJ, *rds("albedo_bkg", 3))
 
 
 # A candidate per event, spread over the value ranges in which the later rules branch -----------------------------------
 _STATES = """
-  select scene, i, j, event_id, region, scene_epoch, 264e0 + (event_id * 37 % 700) / 1e1 as bt7,
+  select region, scene, i, j, event_id, scene_epoch, 264e0 + (event_id * 37 % 700) / 1e1 as bt7,
     262e0 + (event_id * 53 % 440) / 1e1 as bt14e, 262e0 + (event_id * 71 % 400) / 1e1 as bt7_bkg, 262e0 + (event_id * 29 % 380) / 1e1 as bt14_bkg,
     (event_id * 13 % 45) / 1e1 as bt7_bkg_std, (event_id * 17 % 35) / 1e1 as bt14_bkg_std, (event_id * 19 % 30) / 1e1 as diff_std,
     (event_id * 7 % 300) / 1e2 as refl, (event_id * 3 % 150) / 1e2 as refl_m2, (event_id * 5 % 150) / 1e2 as refl_p2,
@@ -367,7 +367,7 @@ _DIAG = "refl albedo vis bt7_bkg bt14_bkg bt7_bkg_std bt14_bkg_std t7_stat_std t
 
 
 @add("p32_diagnostics", upto("p1", f"""
-    select scene, i, j, p1_stage stage, p1_code, fail_char, use_ch13, eco_code, is_cloudy, sat_flag, half_width, n_passes, n_hist,
+    select region, scene, i, j, p1_stage stage, p1_code, fail_char, use_ch13, eco_code, is_cloudy, sat_flag, half_width, n_passes, n_hist,
       {srds(_DIAG, 2)} from p1"""))
 def _(spark, sf):
     return trace(spark, sf).select(*IJ, "stage", "p1_code", "fail_char", "use_ch13", "eco_code", "is_cloudy", "sat_flag", "half_width",
@@ -383,7 +383,7 @@ def _(spark, sf):
 
 # Mixtures of known fraction and temperature over the pixel's own background.
 _MIX = """
-  select event_id, scene, i, j, bt14 as bt14_bkg_corr, false as use_ch13, p0, t0, fk1_7, fk2_7, bc1_7, bc2_7, fk1_14, fk2_14, bc1_14, bc2_14, fk1_13, fk2_13, bc1_13, bc2_13,
+  select event_id, region, scene, i, j, bt14 as bt14_bkg_corr, false as use_ch13, p0, t0, fk1_7, fk2_7, bc1_7, bc2_7, fk1_14, fk2_14, bc1_14, bc2_14, fk1_13, fk2_13, bc1_13, bc2_13,
     p0 * fk1_7 / (exp(fk2_7 / (t0 * bc2_7 + bc1_7)) - 1) + (1 - p0) * fk1_7 / (exp(fk2_7 / (bt14 * bc2_7 + bc1_7)) - 1) as r7_diff,
     p0 * fk1_14 / (exp(fk2_14 / (t0 * bc2_14 + bc1_14)) - 1) + (1 - p0) * fk1_14 / (exp(fk2_14 / (bt14 * bc2_14 + bc1_14)) - 1) as r14_diff
   from (select *, 23e-5 * (1 + event_id % 100) as p0, 410e0 + event_id * 7 % 600 as t0 from {px} where bt14 > 250 and bt14 < 320)
@@ -401,7 +401,7 @@ def _mix_sql(steps: int, body: str) -> str:
     return "with recursive " + ", ".join(f"{n} as ({s})" for n, s in parts) + " " + body
 
 
-@add("c2_bisection", _mix_sql(15, f"select scene, i, j, {srd('ln(p)', 6)} log_p, {srd('t', 3)} t from root where p is not null"))
+@add("c2_bisection", _mix_sql(15, f"select region, scene, i, j, {srd('ln(p)', 6)} log_p, {srd('t', 3)} t from root where p is not null"))
 def _(spark, sf):
     rows = settle(retrieval.bisect_fraction(spark.sql(_MIX, px=views.pixels(spark, sf)), 15))
     return rows.where("p_15 is not null").select(*IJ, rd(F.ln("p_15"), 6).alias("log_p"), rd("t_15", 3).alias("t"))
@@ -491,7 +491,7 @@ def _(spark, sf):
     return part_two(spark, sf).select("event_id", *rds("final_frp"))
 
 
-@add("q9_mask_write_back", upto("mask", "select scene, i, j, p1_code, final_code from mask"))
+@add("q9_mask_write_back", upto("mask", "select region, scene, i, j, p1_code, final_code from mask"))
 def _(spark, sf):
     return detect.scene_masks(views.scene_pixels(spark, sf), views.lut(spark)).select(*IJ, "p1_code", "final_code")
 
@@ -528,4 +528,4 @@ def _(spark, sf):
     select region, scene, i, j, final_code, flag, temporally_filtered, {srds('bt7 bt7_bkg fire_temp final_area final_frp', 2)} from fin where confirmed"""))
 def _(spark, sf):
     found = detect.detections(views.scene_pixels(spark, sf), views.lut(spark)).where("confirmed")
-    return found.select("region", *IJ, "final_code", "flag", "temporally_filtered", *rds("bt7 bt7_bkg fire_temp final_area final_frp", 2))
+    return found.select(*IJ, "final_code", "flag", "temporally_filtered", *rds("bt7 bt7_bkg fire_temp final_area final_frp", 2))

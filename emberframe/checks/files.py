@@ -21,9 +21,9 @@ def stored(spark, sf, name, rows):
 
 def bands(spark, sf):
     px = views.pixels(spark, sf)
-    seven = stored(spark, sf, "band7", px.where("bt7 is not null").select("scene", "i", "j", "event_id", "rad7"))
-    long = stored(spark, sf, "band14", px.where("bt14 is not null and not (scene = 1 and i > 40)").select("scene", "i", "j", "rad14"))
-    fifteen = stored(spark, sf, "band15", px.where("scene <> 2 and bt15 is not null").select("scene", "i", "j", "bt15"))
+    seven = stored(spark, sf, "band7", px.where("bt7 is not null").select("region", "scene", "i", "j", "event_id", "rad7"))
+    long = stored(spark, sf, "band14", px.where("bt14 is not null and not (scene = 1 and i > 40)").select("region", "scene", "i", "j", "rad14"))
+    fifteen = stored(spark, sf, "band15", px.where("scene <> 2 and bt15 is not null").select("region", "scene", "i", "j", "bt15"))
     return {"B07": seven, "B14": long}, {"B15": fifteen}
 
 
@@ -33,10 +33,10 @@ def _(spark, sf):
     return tables.join_bands(*bands(spark, sf)).select("event_id", *rds("rad7 rad14 bt15"))
 
 
-@add("s1_missing_bands", px_sql("select scene, 'B15' band from px where scene = 2 group by scene"))
+@add("s1_missing_bands", px_sql("select region, scene, 'B15' band from px where scene = 2 group by region, scene"))
 def _(spark, sf):
     required, optional = bands(spark, sf)
-    return tables.absent_bands(required | optional, views.pixels(spark, sf).select("scene").distinct())
+    return tables.absent_bands(required | optional, views.pixels(spark, sf).select("region", "scene").distinct())
 
 
 def sidecars(spark, sf):
@@ -73,11 +73,11 @@ def _(spark, sf):
     return tables.kappa_lookup(scenes, side, legacy).select("scene", rd("kappa0", 8).alias("kappa0"), "source")
 
 
-@add("s6_quality_layouts", px_sql("select scene, i, j, case when event_id % 3 = 0 then 1 else 2 end dqf from px where event_id % 3 = 0 or event_id % 2 = 0"))
+@add("s6_quality_layouts", px_sql("select region, scene, i, j, case when event_id % 3 = 0 then 1 else 2 end dqf from px where event_id % 3 = 0 or event_id % 2 = 0"))
 def _(spark, sf):
     px = views.pixels(spark, sf)
-    own = px.where("event_id % 3 = 0").select("scene", "i", "j", F.lit(1).alias("dqf"))
-    beside = px.where("event_id % 2 = 0").select("scene", "i", "j", F.lit(2).alias("dqf"))
+    own = px.where("event_id % 3 = 0").select("region", "scene", "i", "j", F.lit(1).alias("dqf"))
+    beside = px.where("event_id % 2 = 0").select("region", "scene", "i", "j", F.lit(2).alias("dqf"))
     return tables.first_layout(own, beside)
 
 

@@ -94,20 +94,20 @@ def _(spark, sf):
 
 
 @add("g6_block_mean", px_sql(f"""
-    select scene, i // 4 i, j // 4 j, count(*) n_samples, {srd('avg(v) filter (where v >= 0)')} v from
-      (select *, case when event_id % 17 = 0 then -1e0 when i < 4 and j < 4 then -2e0 else refl2 * 100 end v from px) group by scene, i // 4, j // 4"""))
+    select region, scene, i // 4 i, j // 4 j, count(*) n_samples, {srd('avg(v) filter (where v >= 0)')} v from
+      (select *, case when event_id % 17 = 0 then -1e0 when i < 4 and j < 4 then -2e0 else refl2 * 100 end v from px) group by region, scene, i // 4, j // 4"""))
 def _(spark, sf):
     px = views.pixels(spark, sf).withColumn("v", F.expr("case when event_id % 17 = 0 then -1e0 when i < 4 and j < 4 then -2e0 else refl2 * 100 end"))
-    return ancillary.block_mean(px, "v", 4).select("scene", "i", "j", "n_samples", *rds("v"))
+    return ancillary.block_mean(px, "v", 4).select("region", "scene", "i", "j", "n_samples", *rds("v"))
 
 
 @add("g6_shape_check", px_sql("""
-    , f as (select scene, max(i) + 1 fh, max(j) + 1 fw from px group by scene), c as (select scene, max(i) // 4 + 1 ch, max(j) // 5 + 1 cw from px group by scene)
-    select scene, fh, fw, ch, cw from (select *, round_even(fh / ch, 0) a, round_even(fw / cw, 0) b from f join c using (scene))
+    , f as (select region, scene, max(i) + 1 fh, max(j) + 1 fw from px group by region, scene), c as (select region, scene, max(i) // 4 + 1 ch, max(j) // 5 + 1 cw from px group by region, scene)
+    select region, scene, fh, fw, ch, cw from (select *, round_even(fh / ch, 0) a, round_even(fw / cw, 0) b from f join c using (region, scene))
     where a <> b or a < 1 or ch * a - fh < 0 or ch * a - fh > 4 or cw * b - fw < 0 or cw * b - fw > 4"""))
 def _(spark, sf):
-    px = views.pixels(spark, sf).select("scene", "i", "j")
-    coarse = px.select("scene", F.expr("i div 4").alias("i"), F.expr("j div 5").alias("j"))
+    px = views.pixels(spark, sf).select("region", "scene", "i", "j")
+    coarse = px.select("region", "scene", F.expr("i div 4").alias("i"), F.expr("j div 5").alias("j"))
     return ancillary.shape_mismatch(px, coarse)
 
 
@@ -173,9 +173,9 @@ def _(spark, sf):
 
 
 _CLIM = f"""
-    select event_id, scene, case when month(t) in (12, 1, 2) then 40 when month(t) in (3, 4, 5) then 30 when month(t) in (6, 7, 8) then 20 else 25 end
+    select event_id, region, scene, case when month(t) in (12, 1, 2) then 40 when month(t) in (3, 4, 5) then 30 when month(t) in (6, 7, 8) then 20 else 25 end
       + 10 * (lat - lo) / greatest(hi - lo, 1e-6) clim, case when scene % 2 = 0 and event_id % 3 = 0 then tpw end fld
-    from (select *, make_timestamp((scene_epoch + event_id * 36010) * 1000000) t from px) join (select scene, min(lat) lo, max(lat) hi from px group by scene) using (scene)"""
+    from (select *, make_timestamp((scene_epoch + event_id * 36010) * 1000000) t from px) join (select region, scene, min(lat) lo, max(lat) hi from px group by region, scene) using (region, scene)"""
 
 
 def climate(spark, sf):
@@ -189,7 +189,7 @@ def _(spark, sf):
 
 
 @add("g13_vapour_choice", px_sql(f"""
-    , c as ({_CLIM}) select event_id, {srd('case when has then fld else clim end')} tpw from c join (select scene, bool_or(fld is not null) has from c group by scene) using (scene)"""))
+    , c as ({_CLIM}) select event_id, {srd('case when has then fld else clim end')} tpw from c join (select region, scene, bool_or(fld is not null) has from c group by region, scene) using (region, scene)"""))
 def _(spark, sf):
     px = climate(spark, sf).withColumn("tpw_field", F.expr("case when scene % 2 = 0 and event_id % 3 = 0 then tpw end"))
     return ancillary.choose_vapour(px).select("event_id", *rds("tpw"))

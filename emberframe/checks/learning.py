@@ -78,10 +78,10 @@ def _(spark, sf):
 
 
 @add("f7_balanced_sample", px_sql(f"""
-    select event_id from (select event_id, row_number() over (partition by scene, {FIRE} order by {MD5('event_id')}) k from px where bt7 is not null and bt14 is not null) where k <= 40"""))
+    select event_id from (select event_id, row_number() over (partition by region, scene, {FIRE} order by {MD5('event_id')}) k from px where bt7 is not null and bt14 is not null) where k <= 40"""))
 def _(spark, sf):
     rows = px(spark, sf).where("bt7 is not null and bt14 is not null").withColumn("y", features.label(F.col("ref_code")))
-    return features.balanced_sample(rows, ["scene", "y"], 40, F.col("event_id")).select("event_id")
+    return features.balanced_sample(rows, ["region", "scene", "y"], 40, F.col("event_id")).select("event_id")
 
 
 @add("f9_empty_features", upto("mask", """
@@ -261,42 +261,42 @@ def _(spark, sf):
 
 
 _PATCH = px_sql("""
-    , e as (select scene, max(i) + 1 h, max(j) + 1 w from px group by scene),
-    o as (select scene, y py, x px_ from e, (select unnest(range(0, 1000)) y), (select unnest(range(0, 1000)) x) where y * 8 + 16 <= h and x * 8 + 16 <= w),
-    f as (select 'all' region, o.scene, p.scene_epoch, py, px_ px, avg(bt7 - bt14) mean, stddev_pop(bt7 - bt14) std, max(bt7 - bt14) high, min(bt7 - bt14) low, quantile_cont(bt7 - bt14, 95e-2) p95,
+    , e as (select region, scene, max(i) + 1 h, max(j) + 1 w from px group by region, scene),
+    o as (select region, scene, y py, x px_ from e, (select unnest(range(0, 1000)) y), (select unnest(range(0, 1000)) x) where y * 8 + 16 <= h and x * 8 + 16 <= w),
+    f as (select o.region, o.scene, p.scene_epoch, py, px_ px, avg(bt7 - bt14) mean, stddev_pop(bt7 - bt14) std, max(bt7 - bt14) high, min(bt7 - bt14) low, quantile_cont(bt7 - bt14, 95e-2) p95,
       quantile_cont(bt7 - bt14, 99e-2) p99, max(bt7 - bt14) - avg(bt7 - bt14) excess, count(*) n, bool_or(ref_code in (13, 14, 15)) any_fire, count(*) filter (where ref_code in (13, 14, 15)) n_fire
-      from o join px p on p.scene = o.scene and p.i >= py * 8 and p.i < py * 8 + 16 and p.j >= px_ * 8 and p.j < px_ * 8 + 16 group by all)""")
+      from o join px p on p.region = o.region and p.scene = o.scene and p.i >= py * 8 and p.i < py * 8 + 16 and p.j >= px_ * 8 and p.j < px_ * 8 + 16 group by all)""")
 
 
 def patch_rows(spark, sf):
-    return patches.to_patches(px(spark, sf).withColumns({"region": F.lit("all"), "v": F.col("bt7") - F.col("bt14")}), 16, 8)
+    return patches.to_patches(px(spark, sf).withColumn("v", F.col("bt7") - F.col("bt14")), 16, 8)
 
 
 def patch_table(spark, sf):
     return patches.patch_features(patch_rows(spark, sf), "v")
 
 
-@add("x2_patches", f"{_PATCH} select scene, py, px, n from f")
+@add("x2_patches", f"{_PATCH} select region, scene, py, px, n from f")
 def _(spark, sf):
-    return patch_rows(spark, sf).groupBy("scene", "py", "px").agg(F.count("*").alias("n"))
+    return patch_rows(spark, sf).groupBy("region", "scene", "py", "px").agg(F.count("*").alias("n"))
 
 
-@add("x3_patch_statistics", f"{_PATCH} select scene, py, px, {srds('mean std high low p95 p99 excess', 3)} from f")
+@add("x3_patch_statistics", f"{_PATCH} select region, scene, py, px, {srds('mean std high low p95 p99 excess', 3)} from f")
 def _(spark, sf):
-    return patch_table(spark, sf).select("scene", "py", "px", *rds("mean std high low p95 p99 excess", 3))
+    return patch_table(spark, sf).select("region", "scene", "py", "px", *rds("mean std high low p95 p99 excess", 3))
 
 
-@add("x4_patch_labels", f"{_PATCH} select scene, py, px, any_fire, n_fire from f")
+@add("x4_patch_labels", f"{_PATCH} select region, scene, py, px, any_fire, n_fire from f")
 def _(spark, sf):
-    return patch_table(spark, sf).select("scene", "py", "px", "any_fire", "n_fire")
+    return patch_table(spark, sf).select("region", "scene", "py", "px", "any_fire", "n_fire")
 
 
-@add("x5_histories", f"""{_PATCH} select scene, py, px, {srd('a', 3)} first_mean, {srd('b', 3)} last_mean, target from (select *, lag(mean) over w a, mean b, lead(any_fire, 1) over w target, row_number() over w k
+@add("x5_histories", f"""{_PATCH} select region, scene, py, px, {srd('a', 3)} first_mean, {srd('b', 3)} last_mean, target from (select *, lag(mean) over w a, mean b, lead(any_fire, 1) over w target, row_number() over w k
     from f window w as (partition by region, py, px order by scene_epoch)) where k >= 2 and target is not null""")
 def _(spark, sf):
     # Two scenes of history need three of a region; smaller data gives no row on either side.
     rows = patches.histories(patch_table(spark, sf), 2, 1)
-    return rows.select("scene", "py", "px", rd(F.col("history")[0], 3).alias("first_mean"), rd(F.col("history")[1], 3).alias("last_mean"), "target")
+    return rows.select("region", "scene", "py", "px", rd(F.col("history")[0], 3).alias("first_mean"), rd(F.col("history")[1], 3).alias("last_mean"), "target")
 
 
 _MI = """m as (select lag, count(*) n, bin, target from l group by all), t as (select *, sum(n) over (partition by lag) tot, sum(n) over (partition by lag, bin) nb, sum(n) over (partition by lag, target) nt from m)
@@ -314,7 +314,7 @@ def _(spark, sf):
 @add("x7_permutation_test")
 def _(spark, sf):
     rows = patches.binned(patch_table(spark, sf), "mean", 4)
-    return patches.permutation_test(rows, ["scene", "py", "px"], "any_fire", shuffles=50)
+    return patches.permutation_test(rows, ["region", "scene", "py", "px"], "any_fire", shuffles=50)
 
 
 @add("x8_chronological_split", px_sql("""

@@ -20,7 +20,7 @@ def _edge(name: str, step: int) -> str:
     if step < 0:
         return (f"case when row_number() over w <= {-step} then first_value({name}) over (w rows between unbounded preceding "
                 f"and unbounded following) else lag({name}, {-step}) over w end")
-    return (f"case when row_number() over (partition by scene, i order by j desc) <= {step} then last_value({name}) over "
+    return (f"case when row_number() over (partition by region, scene, i order by j desc) <= {step} then last_value({name}) over "
             f"(w rows between unbounded preceding and unbounded following) else lead({name}, {step}) over w end")
 
 
@@ -57,7 +57,7 @@ STEPS: list[tuple[str, str]] = [
           case when sza between 0 and 85 and cos(radians(sza)) > 0 then refl2 / cos(radians(sza)) end albedo from long2"""),
     ("scan", f"""
         select *, {_edge('refl', -2)} refl_m2, {_edge('refl', 2)} refl_p2, {_edge('refl', -3)} refl_m3, {_edge('refl', 3)} refl_p3
-        from prep window w as (partition by scene, i order by j)"""),
+        from prep window w as (partition by region, scene, i order by j)"""),
     ("gate0", """
         select *, case when not in_roi then 0 when bt7 is null then 40 when lza > 80 then 50 when sza < 10 or glint < 10 then 60
           when bt14e is null then 121 when bt7 > 411.86e0 + 5 then 123 when bt14e > 345 then 124 when bt7 < 200 then 126
@@ -83,37 +83,37 @@ STEPS: list[tuple[str, str]] = [
             and bt7 <= 310 + case when is_day then 25 * cos_sza else 0 end and bt7 >= 270 and bt14e >= 270
             and not coalesce(is_day and (vis < 1 or albedo > 38e-2) and vis is not null and albedo is not null, false) valid
         from gate1"""),
-    ("counts", "select s.scene, s.i, s.j, " + ", ".join(
+    ("counts", "select s.region, s.scene, s.i, s.j, " + ", ".join(
         f"count(v.i) filter (where greatest(abs(v.i - s.i), abs(v.j - s.j)) <= {h}) n_{h}" for h in range(5, 56, 5)) + """
-        from gated s left join gated v on v.scene = s.scene and v.valid and (v.i <> s.i or v.j <> s.j)
+        from gated s left join gated v on v.region = s.region and v.scene = s.scene and v.valid and (v.i <> s.i or v.j <> s.j)
           and abs(v.i - s.i) <= 55 and abs(v.j - s.j) <= 55
-        where s.survivor group by s.scene, s.i, s.j"""),
+        where s.survivor group by s.region, s.scene, s.i, s.j"""),
     ("levels", "select *, case " + " ".join(
         f"when n_{h} >= 2e-1 * {(2 * h + 1) ** 2} then {h}" for h in range(5, 56, 5)) + " end half_width from counts"),
     ("inside", """
-        select l.scene, l.i, l.j, v.bt7, v.bt14e, v.bt7 - v.bt14e d, v.vis, v.refl
-        from levels l join gated v on v.scene = l.scene and v.valid and (v.i <> l.i or v.j <> l.j)
+        select l.region, l.scene, l.i, l.j, v.bt7, v.bt14e, v.bt7 - v.bt14e d, v.vis, v.refl
+        from levels l join gated v on v.region = l.region and v.scene = l.scene and v.valid and (v.i <> l.i or v.j <> l.j)
           and abs(v.i - l.i) <= l.half_width and abs(v.j - l.j) <= l.half_width"""),
     ("stat", """
-        select scene, i, j, count(*) n_valid, avg(bt7) t7_stat_mean, stddev_pop(bt7) t7_stat_std, avg(bt14e) t14_stat_mean,
+        select region, scene, i, j, count(*) n_valid, avg(bt7) t7_stat_mean, stddev_pop(bt7) t7_stat_std, avg(bt14e) t14_stat_mean,
           stddev_pop(bt14e) t14_stat_std, stddev_pop(d) diff_stat_std,
           coalesce(avg(refl) filter (where refl > -9998), -9999e0) reflb,
           coalesce(stddev_pop(refl) filter (where refl > -9998), 0e0) rad_diff_sigma from inside group by all"""),
     ("peak", """
-        select scene, i, j, bin from (select scene, i, j, round_even(d, 0) bin, row_number() over (partition by scene, i, j
-          order by count(*) desc, round_even(d, 0)) k from inside group by scene, i, j, round_even(d, 0)) where k = 1"""),
+        select region, scene, i, j, bin from (select region, scene, i, j, round_even(d, 0) bin, row_number() over (partition by region, scene, i, j
+          order by count(*) desc, round_even(d, 0)) k from inside group by region, scene, i, j, round_even(d, 0)) where k = 1"""),
     ("hist", """
-        select scene, i, j, count(*) n_hist, avg(bt7) t7_hist_mean, stddev_pop(bt7) t7_hist_std, avg(bt14e) t14_hist_mean,
+        select region, scene, i, j, count(*) n_hist, avg(bt7) t7_hist_mean, stddev_pop(bt7) t7_hist_std, avg(bt14e) t14_hist_mean,
           stddev_pop(bt14e) t14_hist_std, stddev_pop(d) diff_hist_std,
           case when count(vis) = count(*) then avg(vis) end vis_hist_mean,
           case when count(vis) = count(*) then stddev_pop(vis) end vis_hist_std
-        from inside join peak using (scene, i, j) where abs(round_even(d, 0) - bin) <= 1 group by all"""),
+        from inside join peak using (region, scene, i, j) where abs(round_even(d, 0) - bin) <= 1 group by all"""),
     ("vpeak", """
-        select scene, i, j, bin from (select scene, i, j, round_even(vis, 0) bin, row_number() over (partition by scene, i, j
+        select region, scene, i, j, bin from (select region, scene, i, j, round_even(vis, 0) bin, row_number() over (partition by region, scene, i, j
           order by count(*) desc, round_even(vis, 0)) k from inside where vis is not null
-          group by scene, i, j, round_even(vis, 0)) where k = 1"""),
+          group by region, scene, i, j, round_even(vis, 0)) where k = 1"""),
     ("vhist", """
-        select scene, i, j, avg(vis) vis_bin_mean, stddev_pop(vis) vis_bin_std from inside join vpeak using (scene, i, j)
+        select region, scene, i, j, avg(vis) vis_bin_mean, stddev_pop(vis) vis_bin_std from inside join vpeak using (region, scene, i, j)
         where abs(round_even(vis, 0) - bin) <= 1 group by all"""),
     ("bkg0", """
         select g.*, area_km2, half_width, n_valid, n_hist, t7_stat_mean, t7_stat_std, t14_stat_mean, t14_stat_std, diff_stat_std,
@@ -121,8 +121,8 @@ STEPS: list[tuple[str, str]] = [
           vis_bin_std, reflb, rad_diff_sigma, half_width // 5 - 1 n_passes,
           case when half_width is not null then case when n_hist = n_valid or t7_stat_std <= t7_hist_std then 'stat' else 'hist' end
           end approach
-        from gated g join levels using (scene, i, j) left join stat using (scene, i, j) left join hist using (scene, i, j)
-        left join vhist using (scene, i, j) left join areas a on a.region = g.region and a.i = g.i and a.j = g.j"""),
+        from gated g join levels using (region, scene, i, j) left join stat using (region, scene, i, j) left join hist using (region, scene, i, j)
+        left join vhist using (region, scene, i, j) left join areas a on a.region = g.region and a.i = g.i and a.j = g.j"""),
     ("bkg", """
         select *, case approach when 'stat' then t7_stat_mean else t7_hist_mean end bt7_bkg,
           case approach when 'stat' then t14_stat_mean else t14_hist_mean end bt14_bkg,
@@ -178,7 +178,7 @@ STEPS: list[tuple[str, str]] = [
 ]
 
 _DIFF = lambda p: (f"sign({tmp('7', f'((r7_diff - (1 - {p}) * b7) / {p})')} - {tmp('l', f'((r14_diff - (1 - {p}) * bl) / {p})')})")
-_CARRY = "scene, i, j, r7_diff, r14_diff, b7, bl, fk1_7, fk2_7, bc1_7, bc2_7, fk1_l, fk2_l, bc1_l, bc2_l"
+_CARRY = "region, scene, i, j, r7_diff, r14_diff, b7, bl, fk1_7, fk2_7, bc1_7, bc2_7, fk1_l, fk2_l, bc1_l, bc2_l"
 
 
 def bisection(steps: int) -> list[tuple[str, str]]:
@@ -191,7 +191,7 @@ def bisection(steps: int) -> list[tuple[str, str]]:
               case when s is null then null else m end, step + 1, s is null or s = 0
             from (select *, {_DIFF('m')} s from (select *, sqrt(lo * hi) m from bis where step < {steps} and not done))"""),
         ("root", f"""
-            select scene, i, j, p, {tmp('7', '((r7_diff - (1 - p) * b7) / p)')} t from
+            select region, scene, i, j, p, {tmp('7', '((r7_diff - (1 - p) * b7) / p)')} t from
               (select {_CARRY}, arg_max_null(p, step) p from bis group by all)"""),
     ]
 
@@ -199,7 +199,7 @@ def bisection(steps: int) -> list[tuple[str, str]]:
 AFTER: list[tuple[str, str]] = [
     ("ret", """
         select c.*, p, t, fail_post in (3, 4, 5, 10) skip, not sat_flag and fail_post not in (3, 4, 5, 10) tried
-        from cor c left join root using (scene, i, j) where failed_at is null"""),
+        from cor c left join root using (region, scene, i, j) where failed_at is null"""),
     ("ret1", """
         select *, case when not tried then fail_post when t is null then 6 when t < 400 then case when fail_post = 8 then 9 else 6 end
           else -1 end fail_char, tried and coalesce(t >= 400, false) good,
@@ -230,8 +230,8 @@ AFTER: list[tuple[str, str]] = [
           case when c.step0 = 'quick' then -9e0 when r.kept then r.frp end frp,
           r.t7c bt7_corr, r.t14c bt14_corr, r.bt7_bkg_corr, r.bt14_bkg_corr, coalesce(r.skip, false) skip_retrieval,
           coalesce(r.good, false) retrieval_valid
-        from gated g left join cls c using (scene, i, j) left join (select scene, i, j, failed_at from cor) f using (scene, i, j)
-        left join ret3 r using (scene, i, j)"""),
+        from gated g left join cls c using (region, scene, i, j) left join (select region, scene, i, j, failed_at from cor) f using (region, scene, i, j)
+        left join ret3 r using (region, scene, i, j)"""),
     ("p2a", """
         select *, case when is_day then 20 * cos_sza else 0 end d20, greatest(25e-1, 25e-1 * rad_diff_sigma) p2_std_reflb
         from p1 where candidate"""),
@@ -269,7 +269,7 @@ AFTER: list[tuple[str, str]] = [
         select p.*, coalesce(f.confirmed, false) confirmed, coalesce(f.final_code, p.p1_code) final_code,
           case when p.candidate then f.flag else p.fail_char end flag_out, f.elim_reason, f.category, f.upgraded, f.base_code,
           f.temporally_filtered, f.flag fin_flag, f.flag0, f.flag1, f.final_area, f.final_frp
-        from p1 p left join fin f using (scene, i, j)"""),
+        from p1 p left join fin f using (region, scene, i, j)"""),
 ]
 
 _ARC = "6378137e-3 * acos(greatest(-1e0, least(1e0, sin(radians({0})) * sin(radians({2})) + cos(radians({0})) * cos(radians({2})) * cos(radians({3} - {1})))))"

@@ -15,6 +15,7 @@ BOOK = Book.empty()
 add = BOOK.add
 FIRES = "(" + ", ".join(str(c) for c in k.FIRE_CODES) + ")"
 REF, PRED = f"ref_code in {FIRES}", f"final_code in {FIRES}"
+ALL_CODES = [c for c, _, _ in k.MASK_CODES]
 BASE = lambda c: f"(case when {c} between 30 and 35 then {c} - 20 else {c} end)"
 
 
@@ -50,11 +51,19 @@ def _(spark, sf):
     return px.groupBy(audit.base_code(F.col("ref_code")).alias("ref_base"), audit.base_code(F.col("final_code")).alias("pred_base")).agg(F.count("*").alias("n"))
 
 
-@add("e3_one_vs_rest", upto("mask", f"""
-    select fc as code, {_FINISH} from (select fc, {_score_sql('ref_code = fc', 'final_code = fc')} from mask,
-      (select unnest([{", ".join(map(str, k.FIRE_CODES))}]) fc) group by fc)"""))
+def _one_vs_rest_sql(kind: str, codes, ref_sql: str, pred_sql: str) -> str:
+    return f"""select '{kind}' kind, fc as code, {_FINISH} from (select fc, {_score_sql(f'{ref_sql} = fc', f'{pred_sql} = fc')} from mask,
+      (select unnest([{", ".join(map(str, codes))}]) fc) where in_roi group by fc)"""
+
+
+@add("e3_one_vs_rest", upto("mask", _one_vs_rest_sql("code", k.FIRE_CODES, "ref_code", "final_code") + " union all "
+                            + _one_vs_rest_sql("base", k.BASE_FIRE_CODES, BASE("ref_code"), BASE("final_code"))))
 def _(spark, sf):
-    return scored(audit.one_vs_rest(trace(spark, sf), F.col("ref_code"), F.col("final_code"), k.FIRE_CODES), "code")
+    px = trace(spark, sf)
+    ref_code, final_code = F.col("ref_code"), F.col("final_code")
+    single = audit.one_vs_rest(px, ref_code, final_code, k.FIRE_CODES).withColumn("kind", F.lit("code"))
+    base = audit.one_vs_rest(px, audit.base_code(ref_code), audit.base_code(final_code), k.BASE_FIRE_CODES).withColumn("kind", F.lit("base"))
+    return scored(single.unionByName(base), "kind", "code")
 
 
 @add("e4_recall_by_code", upto("mask", f"""
@@ -69,26 +78,26 @@ _LOW = f"({BASE('ref_code')} = 15 or {BASE('final_code')} = 15)"
 
 
 @add("e5_scene_metrics", upto("mask", " union all ".join(
-    f"select scene, is_total, '{name}' variant, {_FINISH} from (select scene, grouping(scene) is_total, {_score_sql(REF, pred)} from mask where in_roi {extra} group by rollup (scene))"
+    f"select region, scene, is_total, '{name}' variant, {_FINISH} from (select region, scene, grouping(scene) is_total, {_score_sql(REF, pred)} from mask where in_roi {extra} group by grouping sets ((region, scene), ()))"
     for name, pred, extra in (("part1", "candidate", ""), ("part2", PRED, ""), ("part1_no_low", "candidate", f"and not {_LOW}"), ("part2_no_low", PRED, f"and not {_LOW}"))
 )))
 def _(spark, sf):
-    return scored(audit.scene_metrics(trace(spark, sf)), "scene", F.col("is_total").cast("long").alias("is_total"), "variant")
+    return scored(audit.scene_metrics(trace(spark, sf)), "region", "scene", F.col("is_total").cast("long").alias("is_total"), "variant")
 
 
-@add("e6_confusion", upto("mask", f"select ref_code, final_code, count(*) n from mask where {REF} or {PRED} group by all"))
+@add("e6_confusion", upto("mask", f"select ref_code, final_code, count(*) n from mask where in_roi and ({REF} or {PRED}) group by all"))
 def _(spark, sf):
     return audit.confusion(trace(spark, sf))
 
 
 @add("e6_confusion_matrix", upto("mask", f"""
-    select ref_code, {", ".join(f'count(*) filter (where final_code = {c}) "{c}"' for c in (10, 13, 15, 100))} from mask where {REF} or {PRED} group by ref_code"""))
+    select ref_code, {", ".join(f'count(*) filter (where final_code = {c}) "{c}"' for c in ALL_CODES)} from mask where in_roi and ({REF} or {PRED}) group by ref_code"""))
 def _(spark, sf):
-    return audit.confusion_matrix(trace(spark, sf), [10, 13, 15, 100])
+    return audit.confusion_matrix(trace(spark, sf), ALL_CODES)
 
 
 @add("e7_recall_funnel", upto("mask", f"""
-    select p1_stage stage, p1_code, fail_char, count(*) n from mask where {REF} group by grouping sets ((p1_stage), (p1_stage, p1_code), (p1_stage, fail_char))"""))
+    select p1_stage stage, p1_code, fail_char, count(*) n from mask where in_roi and {REF} group by grouping sets ((p1_stage), (p1_stage, p1_code), (p1_stage, fail_char))"""))
 def _(spark, sf):
     return audit.recall_funnel(trace(spark, sf)).select("stage", "p1_code", "fail_char", "n")
 
@@ -139,19 +148,19 @@ _VERDICT = f"case when {REF} and {PRED} then 'TP' when {REF} then 'FN' when {PRE
 
 
 @add("e11_pixel_audit", upto("mask", f"""
-    select scene, i, j, {_VERDICT} verdict, p1_stage stage, p1_code, final_code, ref_code, {BASE('final_code')} pred_base_code, approach, elim_reason,
+    select region, scene, i, j, {_VERDICT} verdict, p1_stage stage, p1_code, final_code, ref_code, {BASE('final_code')} pred_base_code, approach, elim_reason,
       {srd('bt7 - bt7_bkg', 2)} bt7_minus_bkg7, {", ".join(f"{srd(v, 2)} {n}" for n, v in _MG.items())}
     from mask where in_roi and ({REF} or {PRED} or candidate or eco_code in (150, 151, 152, 153))"""))
 def _(spark, sf):
     rows = audit.pixel_audit(trace(spark, sf))
-    return rows.select("scene", "i", "j", "verdict", "stage", "p1_code", "final_code", "ref_code", "pred_base_code", "approach", "elim_reason",
+    return rows.select("region", "scene", "i", "j", "verdict", "stage", "p1_code", "final_code", "ref_code", "pred_base_code", "approach", "elim_reason",
                        *rds("bt7_minus_bkg7", 2), *rds(" ".join(_MG), 2))
 
 
 @add("e12_micro_scores", upto("mask", f"""
-    select scene, {_FINISH}, is_total from (select scene, {_score_sql(REF, PRED)}, grouping(scene) is_total from mask group by rollup (scene))"""))
+    select region, scene, {_FINISH}, is_total from (select region, scene, {_score_sql(REF, PRED)}, grouping(scene) is_total from mask where in_roi group by grouping sets ((region, scene), ()))"""))
 def _(spark, sf):
-    return scored(audit.rollup_scores(trace(spark, sf), ref(), ref("final_code")), "scene", F.col("is_total").cast("long").alias("is_total"))
+    return scored(audit.rollup_scores(trace(spark, sf), ref(), ref("final_code")), "region", "scene", F.col("is_total").cast("long").alias("is_total"))
 
 
 @add("e13_missed_margins", upto("mask", f"""
@@ -176,24 +185,24 @@ def _(spark, sf):
 
 
 @add("e17_padded_comparison", upto("mask", f"""
-    select a.scene, count(*) n, count(*) filter (where a.final_code <> b.final_code) n_differ,
+    select a.region, a.scene, count(*) n, count(*) filter (where a.final_code <> b.final_code) n_differ,
       {", ".join(f"count(*) filter (where {'' if r else 'not '}(a.ref_code in {FIRES}) and {'' if p else 'not '}({s}.final_code in {FIRES})) {s}_{n}" for s in 'ab' for n, r, p in (('tp', 1, 1), ('fp', 0, 1), ('fn', 1, 0), ('tn', 0, 0)))},
       {srd('100 * count(*) filter (where a.final_code <> b.final_code) / count(*)')} percent_differ
-    from mask a join mask b on a.scene = b.scene and a.i = b.i - 2 and a.j = b.j - 3 group by a.scene"""))
+    from mask a join mask b on a.region = b.region and a.scene = b.scene and a.i = b.i - 2 and a.j = b.j - 3 group by a.region, a.scene"""))
 def _(spark, sf):
     px = trace(spark, sf)
-    table = audit.compare_runs(px, px.select("scene", "i", "j", "final_code"), 2, 3)
+    table = audit.compare_runs(px, px.select("region", "scene", "i", "j", "final_code"), 2, 3)
     return table.select(*[c for c in table.columns if c != "percent_differ"], *rds("percent_differ"))
 
 
-@add("e18_agreement", upto("mask", f"select scene, count(*) n, {srd('avg((p1_code = ref_code)::int)')} accuracy from mask where not {REF} group by scene"))
+@add("e18_agreement", upto("mask", f"select region, scene, count(*) n, {srd('avg((p1_code = ref_code)::int)')} accuracy from mask where not {REF} group by region, scene"))
 def _(spark, sf):
-    return audit.agreement(trace(spark, sf)).select("scene", "n", *rds("accuracy"))
+    return audit.agreement(trace(spark, sf)).select("region", "scene", "n", *rds("accuracy"))
 
 
 @add("e19_tolerant_recall", upto("mask", f"""
     select radius, n_fire, n_found, {srd('n_found / n_fire')} recall from (select radius, count(*) n_fire, count(*) filter (where exists (select 1 from mask c
-      where c.candidate and c.scene = f.scene and abs(c.i - f.i) <= radius and abs(c.j - f.j) <= radius)) n_found
+      where c.candidate and c.region = f.region and c.scene = f.scene and abs(c.i - f.i) <= radius and abs(c.j - f.j) <= radius)) n_found
     from mask f, (select unnest([1, 2, 3]) radius) where f.ref_code in {FIRES} group by radius)"""))
 def _(spark, sf):
     return audit.tolerant_recall(trace(spark, sf)).select("radius", "n_fire", "n_found", *rds("recall"))
@@ -210,13 +219,13 @@ def _(spark, sf):
 
 
 @add("e22_local_contrast", upto("mask", f"""
-    select a.scene, a.i, a.j, count(b.bt7) n_neighbours, {srd('median(b.bt7)', 3)} local_median, {srd('any_value(a.bt7) - median(b.bt7)', 3)} contrast
-    from mask a join mask b on a.scene = b.scene and abs(a.i - b.i) <= 2 and abs(a.j - b.j) <= 2 and (a.i <> b.i or a.j <> b.j)
+    select a.region, a.scene, a.i, a.j, count(b.bt7) n_neighbours, {srd('median(b.bt7)', 3)} local_median, {srd('any_value(a.bt7) - median(b.bt7)', 3)} contrast
+    from mask a join mask b on a.region = b.region and a.scene = b.scene and abs(a.i - b.i) <= 2 and abs(a.j - b.j) <= 2 and (a.i <> b.i or a.j <> b.j)
     where a.final_code in {FIRES} group by all"""))
 def _(spark, sf):
-    px = trace(spark, sf).select("scene", "i", "j", "bt7", "final_code")
+    px = trace(spark, sf).select("region", "scene", "i", "j", "bt7", "final_code")
     rows = audit.local_contrast(px, px.where(audit.is_fire(F.col("final_code"))), "bt7")
-    return rows.select("scene", "i", "j", "n_neighbours", *rds("local_median contrast", 3))
+    return rows.select("region", "scene", "i", "j", "n_neighbours", *rds("local_median contrast", 3))
 
 
 _STATS = f"count(v) n, {srd('avg(v)', 3)} mean, {srd('min(v)', 3)} low, {srd('max(v)', 3)} high, {srd('quantile_cont(v, 0.25)', 3)} q25, {srd('median(v)', 3)} median, {srd('quantile_cont(v, 0.75)', 3)} q75"
@@ -260,56 +269,56 @@ def _(spark, sf):
 
 
 @add("e25_map_points", upto("mask", f"""
-    select scene, i, j, {srds('lat lon')}, unnest(list_filter([case when eco_code in (150, 151, 152, 153) then 'eco' end, case when {REF} and not {PRED} then 'FN' end,
+    select region, scene, i, j, {srds('lat lon')}, unnest(list_filter([case when eco_code in (150, 151, 152, 153) then 'eco' end, case when {REF} and not {PRED} then 'FN' end,
       case when not {REF} and {PRED} then 'FP' end], lambda x: x is not null)) kind from mask where in_roi"""))
 def _(spark, sf):
-    return audit.map_points(trace(spark, sf)).select("scene", "i", "j", "kind", *rds("lat lon"))
+    return audit.map_points(trace(spark, sf)).select("region", "scene", "i", "j", "kind", *rds("lat lon"))
 
 
 _CHAIN = ("bt7", "t7_tpw", "r7_em", "r7_solar", "r7_diff")
 
 
 @add("e26_correction_chain", upto("mask", f"""
-    select c.scene, c.i, c.j, u.ord, u.step, {srd('u.value', 3)} as value from cor c,
+    select c.region, c.scene, c.i, c.j, u.ord, u.step, {srd('u.value', 3)} as value from cor c,
       lateral (select unnest([0, 1, 2, 3, 4]) ord, unnest([{", ".join(f"'{s}'" for s in _CHAIN)}]) step, unnest([{", ".join('c.' + s for s in _CHAIN)}]) as value) u"""))
 def _(spark, sf):
     rows = trace(spark, sf).where("r7_tpw is not null")
-    return audit.correction_chain(rows, _CHAIN).select("scene", "i", "j", "ord", "step", *rds("value", 3))
+    return audit.correction_chain(rows, _CHAIN).select("region", "scene", "i", "j", "ord", "step", *rds("value", 3))
 
 
 @add("e26_first_failure", upto("mask", f"""
-    select scene, i, j, case when bt7 > 0 is not true then 'bt7' when t7_tpw > 0 is not true then 't7_tpw' else null end failed_step
-    from (select g.scene, g.i, g.j, g.bt7, c.t7_tpw from gated g left join cor c using (scene, i, j)) where (bt7 > 0) is not true or (t7_tpw > 0) is not true"""))
+    select region, scene, i, j, case when bt7 > 0 is not true then 'bt7' when t7_tpw > 0 is not true then 't7_tpw' else null end failed_step
+    from (select g.region, g.scene, g.i, g.j, g.bt7, c.t7_tpw from gated g left join cor c using (region, scene, i, j)) where (bt7 > 0) is not true or (t7_tpw > 0) is not true"""))
 def _(spark, sf):
     return audit.first_failure(audit.correction_chain(trace(spark, sf), ("bt7", "t7_tpw")))
 
 
 @add("e27_emissivity_source", px_sql(f"""
-    select scene, {srd('min(emiss7)')} low, {srd('max(emiss7)')} high, {srd('avg(emiss7)')} mean, {srd('stddev_pop(emiss7)')} std, {srd('avg((emiss7 = 95e-2)::int)')} share_constant
-    from px group by scene"""))
+    select region, scene, {srd('min(emiss7)')} low, {srd('max(emiss7)')} high, {srd('avg(emiss7)')} mean, {srd('stddev_pop(emiss7)')} std, {srd('avg((emiss7 = 95e-2)::int)')} share_constant
+    from px group by region, scene"""))
 def _(spark, sf):
-    return audit.source_check(views.pixels(spark, sf), "emiss7", 0.95).select("scene", *rds("low high mean std share_constant"))
+    return audit.source_check(views.pixels(spark, sf), "emiss7", 0.95).select("region", "scene", *rds("low high mean std share_constant"))
 
 
 @add("e28_window_attempts", upto("levels", " union all ".join(
-    f"select scene, i, j, {n} n_iter, {h} half, {(2 * h + 1) ** 2} window_size, n_{h} n_valid, n_{h} >= 2e-1 * {(2 * h + 1) ** 2} enough from levels where {h} <= coalesce(half_width, 55)"
+    f"select region, scene, i, j, {n} n_iter, {h} half, {(2 * h + 1) ** 2} window_size, n_{h} n_valid, n_{h} >= 2e-1 * {(2 * h + 1) ** 2} enough from levels where {h} <= coalesce(half_width, 55)"
     for n, h in enumerate(k.HALF_WIDTHS)
 )))
 def _(spark, sf):
     counts = background.valid_counts(gated(spark, sf)).where("survivor")
-    return audit.window_attempts(counts).select("scene", "i", "j", "n_iter", "half", "window_size", "n_valid", "enough")
+    return audit.window_attempts(counts).select("region", "scene", "i", "j", "n_iter", "half", "window_size", "n_valid", "enough")
 
 
-_FIRE_PIX = px_sql(f""", f as (select scene, i, j, i * 50 + j id from px where {REF}),
-    e as (select a.scene, a.id a, b.id b from f a join f b on a.scene = b.scene and abs(a.i - b.i) <= 1 and abs(a.j - b.j) <= 1),
-    walk as (select scene, id, id label from f union select w.scene, e.b, w.label from walk w join e on e.scene = w.scene and e.a = w.id)
-    select scene, label, count(*) n, {srd('avg(id // 50)')} ci, {srd('avg(id % 50)')} cj from (select scene, id, cast(min(label) as bigint) label from walk group by all) group by all""").replace("with px", "with recursive px")
+_FIRE_PIX = px_sql(f""", f as (select region, scene, i, j, i * 50 + j id from px where {REF}),
+    e as (select a.region, a.scene, a.id a, b.id b from f a join f b on a.region = b.region and a.scene = b.scene and abs(a.i - b.i) <= 1 and abs(a.j - b.j) <= 1),
+    walk as (select region, scene, id, id label from f union select w.region, w.scene, e.b, w.label from walk w join e on e.region = w.region and e.scene = w.scene and e.a = w.id)
+    select region, scene, label, count(*) n, {srd('avg(id // 50)')} ci, {srd('avg(id % 50)')} cj from (select region, scene, id, cast(min(label) as bigint) label from walk group by all) group by all""").replace("with px", "with recursive px")
 
 
 @add("e29_fire_clusters", _FIRE_PIX)
 def _(spark, sf):
     fires = views.pixels(spark, sf).where(ref())
-    return clusters.centroids(clusters.fire_clusters(fires, 50)).select("scene", "label", "n", *rds("ci cj"))
+    return clusters.centroids(clusters.fire_clusters(fires, 50)).select("region", "scene", "label", "n", *rds("ci cj"))
 
 
 # Scenario -------------------------------------------------------------------------------------------------------------
@@ -319,7 +328,7 @@ def variant_masks(spark, sf):
 
     def build():
         px = scenario.with_variants(views.scene_pixels(spark, sf))
-        return detect.full_trace(px, views.lut(spark)).select("variant", "base_scene", "i", "j", "ref_code", "candidate", "final_code")
+        return detect.full_trace(px, views.lut(spark)).select("variant", "base_region", "base_scene", "i", "j", "ref_code", "candidate", "final_code")
 
     return product(spark, sf, "variants", build)
 
@@ -338,7 +347,7 @@ def _variants_sql(body: str) -> str:
     """The oracle once per variant, each in its own scope."""
     parts = []
     for name in scenario.VARIANTS:
-        sql = upto("mask", "select i, j, scene, ref_code, candidate, final_code from mask")
+        sql = upto("mask", "select i, j, region, scene, ref_code, candidate, final_code from mask")
         head = "px as materialized ("
         start = sql.index(head) + len(head)
         end = sql.index(", bounds as")
@@ -347,14 +356,14 @@ def _variants_sql(body: str) -> str:
         if name == "neutral_lut":
             sql = sql.replace("9e-1 - 3e-2 * (id // 7 + 1) - 1e-2 * (id % 7 + 1) trans_4um, 88e-2 - 3e-2 * (id // 7 + 1) - 1e-2 * (id % 7 + 1) trans_11um", "1e0 trans_4um, 1e0 trans_11um")
             sql = sql.replace("1e-3 * (id // 7 + 1) offset_4um, 1e-2 * (id // 7 + 1) offset_11um", "0e0 offset_4um, 0e0 offset_11um")
-        parts.append(f"v_{name} as materialized (select '{name}' variant, scene base_scene, * exclude (scene) from ({sql}))")
+        parts.append(f"v_{name} as materialized (select '{name}' variant, region base_region, scene base_scene, * exclude (region, scene) from ({sql}))")
     union = " union all ".join(f"select * from v_{n}" for n in scenario.VARIANTS)
     return f"with {', '.join(parts)}, allv as materialized ({union}) {body}"
 
 
-@add("a1_variants", _variants_sql("select variant, base_scene, count(*) n, count(*) filter (where candidate) n_candidates, sum(final_code)::bigint code_sum from allv group by all"))
+@add("a1_variants", _variants_sql("select variant, base_region, base_scene, count(*) n, count(*) filter (where candidate) n_candidates, sum(final_code)::bigint code_sum from allv group by all"))
 def _(spark, sf):
-    return variant_masks(spark, sf).groupBy("variant", "base_scene").agg(
+    return variant_masks(spark, sf).groupBy("variant", "base_region", "base_scene").agg(
         F.count("*").alias("n"), F.count_if("candidate").alias("n_candidates"), F.sum("final_code").alias("code_sum")
     )
 
@@ -365,24 +374,24 @@ def _(spark, sf):
 
 
 @add("a3_against_baseline", _variants_sql(f"""
-    , p as (select *, {PRED} pred, {REF} ref from allv), b as (select base_scene, i, j, pred base from p where variant = 'baseline')
+    , p as (select *, {PRED} pred, {REF} ref from allv), b as (select base_region, base_scene, i, j, pred base from p where variant = 'baseline')
     select variant, count(*) filter (where pred <> base) changed, count(*) filter (where pred <> base and ref and base) tp_lost,
       count(*) filter (where pred <> base and ref and pred) tp_gained, count(*) filter (where pred <> base and not ref and base) fp_removed,
-      count(*) filter (where pred <> base and not ref and pred) fp_added from p join b using (base_scene, i, j) where variant <> 'baseline' group by variant"""))
+      count(*) filter (where pred <> base and not ref and pred) fp_added from p join b using (base_region, base_scene, i, j) where variant <> 'baseline' group by variant"""))
 def _(spark, sf):
     return scenario.against_baseline(variant_masks(spark, sf))
 
 
 @add("a4_variant_rollup", _variants_sql(f"""
-    select variant, base_scene, is_total, tp, fp, fn, tn, {srd('case when tp + fp = 0 then 0 else tp / (tp + fp) end')} as precision from
-    (select variant, base_scene, grouping(base_scene) is_total, {_score_sql(REF, PRED)} from allv group by grouping sets ((variant, base_scene), (variant)))"""))
+    select variant, base_region, base_scene, is_total, tp, fp, fn, tn, {srd('case when tp + fp = 0 then 0 else tp / (tp + fp) end')} as precision from
+    (select variant, base_region, base_scene, grouping(base_scene) is_total, {_score_sql(REF, PRED)} from allv group by grouping sets ((variant, base_region, base_scene), (variant)))"""))
 def _(spark, sf):
-    return scenario.variant_rollup(variant_masks(spark, sf)).select("variant", "base_scene", F.col("is_total").cast("long").alias("is_total"), "tp", "fp", "fn", "tn", *rds("precision"))
+    return scenario.variant_rollup(variant_masks(spark, sf)).select("variant", "base_region", "base_scene", F.col("is_total").cast("long").alias("is_total"), "tp", "fp", "fn", "tn", *rds("precision"))
 
 
 @add("a5_ancillary_snapshot", px_sql(f"""
-    select scene, {srd('min(tpw)')} tpw_min, {srd('max(tpw)')} tpw_max, {srd('median(tpw)')} tpw_median, {srd('median(emiss7)')} emiss7_median,
-      bool_or(refl2 is not null) has_band_2, bool_or(bt15 is not null) has_band_15, {srd('count(emiss14) / count(*)')} share_emiss14 from px group by scene"""))
+    select region, scene, {srd('min(tpw)')} tpw_min, {srd('max(tpw)')} tpw_max, {srd('median(tpw)')} tpw_median, {srd('median(emiss7)')} emiss7_median,
+      bool_or(refl2 is not null) has_band_2, bool_or(bt15 is not null) has_band_15, {srd('count(emiss14) / count(*)')} share_emiss14 from px group by region, scene"""))
 def _(spark, sf):
     rows = scenario.ancillary_snapshot(views.pixels(spark, sf))
-    return rows.select("scene", "has_band_2", "has_band_15", *rds("tpw_min tpw_max tpw_median emiss7_median share_emiss14"))
+    return rows.select("region", "scene", "has_band_2", "has_band_15", *rds("tpw_min tpw_max tpw_median emiss7_median share_emiss14"))

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from emberframe.functions.nulls import holds
+from emberframe.functions.small import by_group
 
 
 def time_grid(bounds: DataFrame, start: str, end: str, minutes: int, name: str = "grid_ts") -> DataFrame:
@@ -22,21 +23,21 @@ def floor_minutes(ts: Column, minutes: int) -> Column:
 def block_mean(fine: DataFrame, value: str, factor: int) -> DataFrame:
     """Mean of the valid (non-negative) samples of each factor x factor block; NULL for a block without any."""
     cell = lambda n: F.floor(F.col(n) / factor).cast("int").alias(n)
-    return fine.groupBy("scene", cell("i"), cell("j")).agg(
+    return fine.groupBy("region", "scene", cell("i"), cell("j")).agg(
         F.avg(F.when(F.col(value) >= 0, F.col(value))).alias(value), F.count("*").alias("n_samples")
     )
 
 
 def shape_mismatch(fine: DataFrame, coarse: DataFrame, slack: int = 4) -> DataFrame:
     """Scenes whose fine grid is not the coarse grid times one factor, give or take the slack."""
-    size = lambda df, p: df.groupBy("scene").agg((F.max("i") + 1).alias(f"{p}h"), (F.max("j") + 1).alias(f"{p}w"))
-    both = size(fine, "f").join(size(coarse, "c"), "scene")
+    size = lambda df, p: df.groupBy("region", "scene").agg((F.max("i") + 1).alias(f"{p}h"), (F.max("j") + 1).alias(f"{p}w"))
+    both = size(fine, "f").join(size(coarse, "c"), ["region", "scene"])
     both = both.withColumns({"fi": F.rint(F.col("fh") / F.col("ch")), "fj": F.rint(F.col("fw") / F.col("cw"))})
     pad = lambda a, b, f: F.col(b) * F.col(f) - F.col(a)
     bad = (F.col("fi") != F.col("fj")) | (F.col("fi") < 1)
     for p in (pad("fh", "ch", "fi"), pad("fw", "cw", "fj")):
         bad = bad | (p < 0) | (p > slack)
-    return both.where(bad).select("scene", "fh", "fw", "ch", "cw")
+    return both.where(bad).select("region", "scene", "fh", "fw", "ch", "cw")
 
 
 def wavelength_weights(wavelengths: DataFrame, targets: dict[str, float]) -> DataFrame:
@@ -106,15 +107,15 @@ def vapour_climatology(px: DataFrame, ts: str = "ts") -> DataFrame:
     """Seasonal vapour plus a 0..10 mm ramp from the scene's south to its north."""
     month = F.month(ts)
     base = F.when(month.isin(12, 1, 2), 40.0).when(month.isin(3, 4, 5), 30.0).when(month.isin(6, 7, 8), 20.0).otherwise(25.0)
-    span = px.groupBy("scene").agg(F.min("lat").alias("_lo"), F.max("lat").alias("_hi"))
+    span = px.groupBy("region", "scene").agg(F.min("lat").alias("_lo"), F.max("lat").alias("_hi"))
     ramp = (F.col("lat") - F.col("_lo")) / F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1e-6))
-    return px.join(span, "scene").withColumn("tpw_climatology", base + ramp * 10.0).drop("_lo", "_hi")
+    return by_group(px, span, ["region", "scene"]).withColumn("tpw_climatology", base + ramp * 10.0).drop("_lo", "_hi")
 
 
 def choose_vapour(px: DataFrame, field: str = "tpw_field", fallback: str = "tpw_climatology") -> DataFrame:
     """The field where the scene has any value of it, else the climatology."""
-    has = px.groupBy("scene").agg(F.bool_or(F.col(field).isNotNull()).alias("_has"))
-    return px.join(has, "scene").withColumn("tpw", F.when(F.col("_has"), F.col(field)).otherwise(F.col(fallback))).drop("_has")
+    has = px.groupBy("region", "scene").agg(F.bool_or(F.col(field).isNotNull()).alias("_has"))
+    return by_group(px, has, ["region", "scene"]).withColumn("tpw", F.when(F.col("_has"), F.col(field)).otherwise(F.col(fallback))).drop("_has")
 
 
 def in_box(lat: Column, lon: Column, lat_min, lat_max, lon_min, lon_max) -> Column:

@@ -16,6 +16,7 @@ from emberframe.functions.nulls import holds, ratio
 from emberframe.functions.order import hash_order, medians, percentiles
 
 COUNTS = ("tp", "fp", "fn", "tn")
+SCENE = ("region", "scene")
 MARGINS = (
     "mg_absdiff_vs_2K", "mg_d714_vs_std_7b14b", "mg_d7bkg_vs_std_7b", "mg_refl_vs_std_reflb", "mg_refl_vs_std_reflb_max",
     "mg_reflmreflb_vs_std_reflb_max", "mg_bt14_vs_bkg14_minus20",
@@ -51,15 +52,15 @@ def binary_scores(px: DataFrame, ref: Column, pred: Column, by: Sequence[str] =
     return scores(px.groupBy(*by).agg(*count_columns(ref, pred)))
 
 
-def rollup_scores(px: DataFrame, ref: Column, pred: Column, by: str = "scene") -> DataFrame:
-    """Scores per scene and, in the row with `is_total`, over the sum of the counts."""
-    table = px.rollup(by).agg(*count_columns(ref, pred), F.grouping(by).alias("is_total"))
+def rollup_scores(px: DataFrame, ref: Column, pred: Column, by: Sequence[str] = SCENE) -> DataFrame:
+    """Inside the region of interest: scores per scene and, in the row with `is_total`, over the sum of the counts."""
+    table = px.where("in_roi").groupingSets([list(by), []], *by).agg(*count_columns(ref, pred), F.grouping(by[0]).alias("is_total"))
     return scores(table)
 
 
 def one_vs_rest(px: DataFrame, ref: Column, pred: Column, codes: Sequence[int], by: Sequence[str] = ()) -> DataFrame:
-    """Scores per code. A pixel counts for at most its two codes, so no pixel is crossed with the code list."""
-    px = px.select(*by, ref.alias("_r"), pred.alias("_p"))
+    """Scores per code inside the region of interest. A pixel counts for at most its two codes, so none is crossed with the code list."""
+    px = px.where("in_roi").select(*by, ref.alias("_r"), pred.alias("_p"))
     size = px.groupBy(*by).agg(F.count("*").alias("_n"))
     hits = px.select(
         *by, F.explode(F.array_distinct(F.array("_r", "_p"))).alias("code"), "_r", "_p"
@@ -78,11 +79,11 @@ def one_vs_rest(px: DataFrame, ref: Column, pred: Column, codes: Sequence[int],
 
 def confusion(px: DataFrame, ref: str = "ref_code", pred: str = "final_code") -> DataFrame:
     either = is_fire(F.col(ref)) | is_fire(F.col(pred))
-    return px.where(either).groupBy(ref, pred).agg(F.count("*").alias("n"))
+    return px.where(F.col("in_roi") & either).groupBy(ref, pred).agg(F.count("*").alias("n"))
 
 
 def confusion_matrix(px: DataFrame, codes: Sequence[int], ref: str = "ref_code", pred: str = "final_code") -> DataFrame:
-    return px.where(is_fire(F.col(ref)) | is_fire(F.col(pred))).groupBy(ref).pivot(pred, list(codes)).count().fillna(0)
+    return px.where(F.col("in_roi") & (is_fire(F.col(ref)) | is_fire(F.col(pred)))).groupBy(ref).pivot(pred, list(codes)).count().fillna(0)
 
 
 def without_low_probability(px: DataFrame) -> DataFrame:
@@ -102,16 +103,16 @@ def scene_metrics(px: DataFrame) -> DataFrame:
     for name, pred, keep in kinds:
         for count, cond in {"tp": ref & pred, "fp": ~ref & pred, "fn": ref & ~pred, "tn": ~ref & ~pred}.items():
             aggs.append(F.count_if(cond & keep).alias(f"{name}__{count}"))
-    wide = px.rollup("scene").agg(*aggs, F.grouping("scene").alias("is_total"))
+    wide = px.groupingSets([list(SCENE), []], *SCENE).agg(*aggs, F.grouping("scene").alias("is_total"))
     rows = F.array(*[
         F.struct(F.lit(n).alias("variant"), *[F.col(f"{n}__{c}").alias(c) for c in COUNTS]) for n, _, _ in kinds
     ])
-    return scores(wide.select("scene", "is_total", F.inline(rows)))
+    return scores(wide.select(*SCENE, "is_total", F.inline(rows)))
 
 
 def recall_funnel(px: DataFrame) -> DataFrame:
-    """Reference fires by the stage that stopped them, split by mask code and by flag (grouping sets)."""
-    fires = px.where(is_fire(F.col("ref_code")))
+    """Reference fires of the region of interest by the stage that stopped them, split by mask code and by flag (grouping sets)."""
+    fires = px.where(F.col("in_roi") & is_fire(F.col("ref_code")))
     return fires.groupingSets(
         [["stage"], ["stage", "p1_code"], ["stage", "fail_char"]], "stage", "p1_code", "fail_char"
     ).agg(F.count("*").alias("n"), F.grouping_id().alias("level"))
@@ -247,10 +248,10 @@ def discover(inventory: DataFrame, required: DataFrame) -> DataFrame:
 
 def compare_runs(a: DataFrame, b: DataFrame, di: int = 0, dj: int = 0) -> DataFrame:
     """Two masks of the same scenes, the second shifted by a grid offset: differing pixels and both sets of scores."""
-    b = b.select("scene", (F.col("i") - di).alias("i"), (F.col("j") - dj).alias("j"), F.col("final_code").alias("other_code"))
-    both = a.join(b, ["scene", "i", "j"])
+    b = b.select(*SCENE, (F.col("i") - di).alias("i"), (F.col("j") - dj).alias("j"), F.col("final_code").alias("other_code"))
+    both = a.join(b, ["region", "scene", "i", "j"])
     ref = is_fire(F.col("ref_code"))
-    table = both.groupBy("scene").agg(
+    table = both.groupBy(*SCENE).agg(
         F.count("*").alias("n"), F.count_if(F.col("final_code") != F.col("other_code")).alias("n_differ"),
         *[c.alias(f"a_{n}") for n, c in zip(COUNTS, count_columns(ref, is_fire(F.col("final_code"))))],
         *[c.alias(f"b_{n}") for n, c in zip(COUNTS, count_columns(ref, is_fire(F.col("other_code"))))],
@@ -261,7 +262,7 @@ def compare_runs(a: DataFrame, b: DataFrame, di: int = 0, dj: int = 0) -> DataFr
 def agreement(px: DataFrame) -> DataFrame:
     """Share of pixels where part I equals the reference, over reference codes that part I itself can give."""
     own = px.where(~is_fire(F.col("ref_code")))
-    return own.groupBy("scene").agg(F.count("*").alias("n"), F.avg((F.col("p1_code") == F.col("ref_code")).cast("double")).alias("accuracy"))
+    return own.groupBy(*SCENE).agg(F.count("*").alias("n"), F.avg((F.col("p1_code") == F.col("ref_code")).cast("double")).alias("accuracy"))
 
 
 def tolerant_recall(px: DataFrame, radii: Sequence[int] = (1, 2, 3)) -> DataFrame:
@@ -271,12 +272,12 @@ def tolerant_recall(px: DataFrame, radii: Sequence[int] = (1, 2, 3)) -> DataFram
     """
     top = max(radii)
     steps = lambda: F.sequence(F.lit(-top), F.lit(top))
-    near = px.where("candidate").select("scene", "i", "j", F.explode(steps()).alias("_di")).select("*", F.explode(steps()).alias("_dj"))
+    near = px.where("candidate").select("region", "scene", "i", "j", F.explode(steps()).alias("_di")).select("*", F.explode(steps()).alias("_dj"))
     near = near.select(
-        "scene", (F.col("i") + F.col("_di")).alias("i"), (F.col("j") + F.col("_dj")).alias("j"),
+        *SCENE, (F.col("i") + F.col("_di")).alias("i"), (F.col("j") + F.col("_dj")).alias("j"),
         F.greatest(F.abs("_di"), F.abs("_dj")).alias("_d"),
-    ).groupBy("scene", "i", "j").agg(F.min("_d").alias("distance"))
-    fires = px.where(is_fire(F.col("ref_code"))).select("scene", "i", "j").join(near, ["scene", "i", "j"], "left")
+    ).groupBy("region", "scene", "i", "j").agg(F.min("_d").alias("distance"))
+    fires = px.where(is_fire(F.col("ref_code"))).select("region", "scene", "i", "j").join(near, ["region", "scene", "i", "j"], "left")
     one = fires.agg(F.count("*").alias("n_fire"), *[F.count_if(F.col("distance") <= r).alias(f"r_{r}") for r in radii])
     rows = F.array(*[F.struct(F.lit(r).alias("radius"), F.col(f"r_{r}").alias("n_found")) for r in radii])
     return one.select("n_fire", F.inline(rows)).withColumn("recall", F.coalesce(ratio(F.col("n_found"), F.col("n_fire")), F.lit(0.0)))
@@ -294,13 +295,13 @@ def local_contrast(px: DataFrame, targets: DataFrame, value: str, radius: int =
     """
     span = [d for d in range(-radius, radius + 1)]
     steps = F.array(*[F.struct(F.lit(a).alias("di"), F.lit(b).alias("dj")) for a in span for b in span if a or b])
-    asked = targets.select("scene", F.col("i").alias("ci"), F.col("j").alias("cj"), F.inline(steps))
-    asked = asked.select("scene", "ci", "cj", (F.col("ci") + F.col("di")).alias("i"), (F.col("cj") + F.col("dj")).alias("j"))
-    around = asked.join(px.select("scene", "i", "j", F.col(value).alias("_v")), ["scene", "i", "j"])
-    medians = around.groupBy("scene", F.col("ci").alias("i"), F.col("cj").alias("j")).agg(
+    asked = targets.select(*SCENE, F.col("i").alias("ci"), F.col("j").alias("cj"), F.inline(steps))
+    asked = asked.select(*SCENE, "ci", "cj", (F.col("ci") + F.col("di")).alias("i"), (F.col("cj") + F.col("dj")).alias("j"))
+    around = asked.join(px.select("region", "scene", "i", "j", F.col(value).alias("_v")), ["region", "scene", "i", "j"])
+    medians = around.groupBy(*SCENE, F.col("ci").alias("i"), F.col("cj").alias("j")).agg(
         F.median("_v").alias("local_median"), F.count("_v").alias("n_neighbours")
     )
-    return targets.join(medians, ["scene", "i", "j"], "left").withColumn("contrast", F.col(value) - F.col("local_median"))
+    return targets.join(medians, ["region", "scene", "i", "j"], "left").withColumn("contrast", F.col(value) - F.col("local_median"))
 
 
 def group_statistics(px: DataFrame, by: Sequence[str], value: str) -> DataFrame:
@@ -339,22 +340,22 @@ def map_points(px: DataFrame) -> DataFrame:
     kinds = F.array_compact(F.array(
         F.when(F.col("eco_code").isin(150, 151, 152, 153), "eco"), F.when(ref & ~pred, "FN"), F.when(~ref & pred, "FP"),
     ))
-    return px.where("in_roi").select("scene", "i", "j", "lat", "lon", F.explode(kinds).alias("kind"))
+    return px.where("in_roi").select("region", "scene", "i", "j", "lat", "lon", F.explode(kinds).alias("kind"))
 
 
 def correction_chain(px: DataFrame, stages: Sequence[str]) -> DataFrame:
     """Each stage's temperature as a row, and the first stage whose temperature is missing or not positive."""
     rows = F.array(*[F.struct(F.lit(n).alias("ord"), F.lit(s).alias("step"), F.col(s).cast("double").alias("value")) for n, s in enumerate(stages)])
-    return px.select("scene", "i", "j", F.inline(rows))
+    return px.select("region", "scene", "i", "j", F.inline(rows))
 
 
 def first_failure(chain: DataFrame) -> DataFrame:
     bad = chain.where(~holds(F.col("value") > 0))
-    return bad.groupBy("scene", "i", "j").agg(F.min_by("step", "ord").alias("failed_step"))
+    return bad.groupBy("region", "scene", "i", "j").agg(F.min_by("step", "ord").alias("failed_step"))
 
 
 def source_check(px: DataFrame, value: str, constant: float) -> DataFrame:
-    return px.groupBy("scene").agg(
+    return px.groupBy(*SCENE).agg(
         F.min(value).alias("low"), F.max(value).alias("high"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"),
         F.avg((F.col(value) == constant).cast("double")).alias("share_constant"),
     )
@@ -366,5 +367,5 @@ def window_attempts(counts: DataFrame, halves: Sequence[int] = k.HALF_WIDTHS) ->
         F.struct(F.lit(n).alias("n_iter"), F.lit(h).alias("half"), F.lit((2 * h + 1) ** 2).alias("window_size"), F.col(f"n_{h}").alias("n_valid"))
         for n, h in enumerate(halves)
     ])
-    tried = counts.select("scene", "i", "j", "half_width", F.inline(rows)).where(F.col("half") <= F.coalesce("half_width", F.lit(halves[-1])))
+    tried = counts.select("region", "scene", "i", "j", "half_width", F.inline(rows)).where(F.col("half") <= F.coalesce("half_width", F.lit(halves[-1])))
     return tried.withColumn("enough", F.col("n_valid") >= k.VALID_FRACTION * F.col("window_size"))

@@ -43,8 +43,8 @@ def window_sums(px: DataFrame, values: Sequence[str], halves: Sequence[int]) ->
     """Columns `<value>_<half>`: sums over the square window, clipped at the scene's edges. Two shuffles in all."""
     across, down = {}, {}
     for h in halves:
-        across |= _strip({f"_r_{v}_{h}": v for v in values}, "j", ("scene", "i"), h)
-        down |= _strip({f"{v}_{h}": f"_r_{v}_{h}" for v in values}, "i", ("scene", "j"), h)
+        across |= _strip({f"_r_{v}_{h}": v for v in values}, "j", ("region", "scene", "i"), h)
+        down |= _strip({f"{v}_{h}": f"_r_{v}_{h}" for v in values}, "i", ("region", "scene", "j"), h)
     return px.withColumns(across).withColumns(down).drop(*across)
 
 
@@ -176,7 +176,7 @@ def expanding_background(gated: DataFrame, tile: int = TILE) -> DataFrame:
     survivor in its own tile carries its other columns.
     """
     keep = [n for n in gated.columns if n != "survivor"]
-    core = ("scene", "i", "j", "bt7", "bt14e", "vis", "refl")
+    core = ("region", "scene", "i", "j", "bt7", "bt14e", "vis", "refl")
     around = lambda name: F.sequence(
         F.floor(F.greatest(F.col(name) - RIM, F.lit(0)) / tile), F.floor((F.col(name) + RIM) / tile)
     )
@@ -189,7 +189,7 @@ def expanding_background(gated: DataFrame, tile: int = TILE) -> DataFrame:
     stats = T.StructType.fromDDL(_STATS)
     schema = T.StructType([px.schema[n] for n in keep] + stats.fields)
     arrow = pa.schema([(f.name, pa.int32() if isinstance(f.dataType, T.IntegerType) else pa.float64()) for f in stats])
-    return px.groupBy("scene", "_ti", "_tj").applyInArrow(lambda t: _tile_background(t, arrow), schema)
+    return px.groupBy("region", "scene", "_ti", "_tj").applyInArrow(lambda t: _tile_background(t, arrow), schema)
 
 
 def choose_approach(bkg: DataFrame) -> DataFrame:

@@ -15,31 +15,31 @@ def fire_clusters(fires: DataFrame, width: int, max_rounds: int = 64) -> DataFra
     log n rounds. Each round is written to the shared folder; only a count reaches the driver.
     """
     node = F.col("i").cast("long") * width + F.col("j")
-    nodes = cut_lineage(fires.select("scene", "i", "j", node.alias("id")).distinct())
+    nodes = cut_lineage(fires.select("region", "scene", "i", "j", node.alias("id")).distinct())
     steps = F.array(*[F.struct(F.lit(a).alias("di"), F.lit(b).alias("dj")) for a, b in ((0, 1), (1, -1), (1, 0), (1, 1))])
-    ahead = nodes.select("scene", "id", "i", "j", F.inline(steps))
-    ahead = ahead.select("scene", F.col("id").alias("a"), (F.col("i") + F.col("di")).alias("i"), (F.col("j") + F.col("dj")).alias("j"))
-    pairs = ahead.join(nodes.withColumnRenamed("id", "b"), ["scene", "i", "j"]).select("scene", "a", "b")
-    edges = cut_lineage(pairs.unionByName(pairs.select("scene", F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = nodes.select("scene", "id", F.col("id").alias("label"))
+    ahead = nodes.select("region", "scene", "id", "i", "j", F.inline(steps))
+    ahead = ahead.select("region", "scene", F.col("id").alias("a"), (F.col("i") + F.col("di")).alias("i"), (F.col("j") + F.col("dj")).alias("j"))
+    pairs = ahead.join(nodes.withColumnRenamed("id", "b"), ["region", "scene", "i", "j"]).select("region", "scene", "a", "b")
+    edges = cut_lineage(pairs.unionByName(pairs.select("region", "scene", F.col("b").alias("a"), F.col("a").alias("b"))))
+    labels = nodes.select("region", "scene", "id", F.col("id").alias("label"))
     for _ in range(max_rounds):
-        offered = edges.join(labels, (edges.scene == labels.scene) & (edges.b == labels.id)).groupBy(edges.scene, F.col("a").alias("id")).agg(
+        offered = edges.join(labels.withColumnRenamed("id", "b"), ["region", "scene", "b"]).groupBy("region", "scene", F.col("a").alias("id")).agg(
             F.min("label").alias("_near")
         )
-        better = labels.join(offered, ["scene", "id"], "left").select(
-            "scene", "id", F.col("label").alias("_old"), F.least("label", "_near").alias("label")
+        better = labels.join(offered, ["region", "scene", "id"], "left").select(
+            "region", "scene", "id", F.col("label").alias("_old"), F.least("label", "_near").alias("label")
         )
-        parent = better.select("scene", F.col("id").alias("label"), F.col("label").alias("_up"))
-        jumped = better.join(parent, ["scene", "label"], "left").select(
-            "scene", "id", "_old", F.least("label", "_up").alias("label")
+        parent = better.select("region", "scene", F.col("id").alias("label"), F.col("label").alias("_up"))
+        jumped = better.join(parent, ["region", "scene", "label"], "left").select(
+            "region", "scene", "id", "_old", F.least("label", "_up").alias("label")
         )
         step = cut_lineage(jumped)
         changed = step.where(F.col("_old") != F.col("label")).limit(1).count()
-        labels = step.select("scene", "id", "label")
+        labels = step.select("region", "scene", "id", "label")
         if not changed:
-            return nodes.join(labels, ["scene", "id"])
+            return nodes.join(labels, ["region", "scene", "id"])
     raise RuntimeError("clusters did not settle; raise max_rounds")
 
 
 def centroids(clusters: DataFrame) -> DataFrame:
-    return clusters.groupBy("scene", "label").agg(F.count("*").alias("n"), F.avg("i").alias("ci"), F.avg("j").alias("cj"))
+    return clusters.groupBy("region", "scene", "label").agg(F.count("*").alias("n"), F.avg("i").alias("ci"), F.avg("j").alias("cj"))

@@ -10,7 +10,7 @@ from emberframe import codes as k
 from emberframe.functions.nulls import holds
 from emberframe.functions.radiometry import BandCoefficients, radiance_of
 
-SCAN_LINE = ("scene", "i")
+SCAN_LINE = ("region", "scene", "i")
 
 
 def effective_longwave(px: DataFrame) -> DataFrame:

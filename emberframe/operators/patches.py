@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from emberframe.functions.nulls import ratio
+from emberframe.functions.small import by_group
 from emberframe.functions.order import cumulative, hash_order, percentiles, rank_by_hash
 
 PATCH_FEATURES = ("mean", "std", "high", "low", "p95", "p99", "excess")
@@ -23,13 +24,13 @@ def to_patches(px: DataFrame, size: int = 64, stride: int = 32) -> DataFrame:
 
     With stride = size / 2 that is at most four copies.
     """
-    extent = px.groupBy("scene").agg((F.max("i") + 1).alias("_h"), (F.max("j") + 1).alias("_w"))
+    extent = px.groupBy("region", "scene").agg((F.max("i") + 1).alias("_h"), (F.max("j") + 1).alias("_w"))
 
     def covering(name: str) -> Column:
         first = F.greatest(F.ceil((F.col(name) - size + 1) / stride), F.lit(0))
         return F.explode(F.sequence(first.cast("int"), F.floor(F.col(name) / stride).cast("int")))
 
-    rows = px.join(extent, "scene").withColumn("py", covering("i")).withColumn("px", covering("j"))
+    rows = by_group(px, extent, ["region", "scene"]).withColumn("py", covering("i")).withColumn("px", covering("j"))
     fits = (F.col("py") * stride + size <= F.col("_h")) & (F.col("px") * stride + size <= F.col("_w"))
     return rows.where(fits).drop("_h", "_w")
 

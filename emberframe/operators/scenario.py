@@ -44,7 +44,7 @@ def with_variants(px: DataFrame, names: tuple[str, ...] = VARIANTS) -> DataFrame
         changed[column] = value
     px = px.withColumns(changed)
     return px.withColumns({
-        "base_scene": F.col("scene"), "scene": F.concat_ws("/", F.col("scene").cast("string"), "variant"),
+        "base_region": F.col("region"), "base_scene": F.col("scene"), "scene": F.concat_ws("/", F.col("scene").cast("string"), "variant"),
         "region": F.concat_ws("/", "region", "variant"),
     })
 
@@ -65,7 +65,7 @@ def variant_scores(px: DataFrame, by: tuple[str, ...] = ("variant",)) -> DataFra
 def against_baseline(px: DataFrame) -> DataFrame:
     """Decisions each variant changed. One row per pixel carries all its variants, so nothing is joined to itself."""
     pred = is_fire(F.col("final_code"))
-    wide = px.groupBy("base_scene", "i", "j").agg(
+    wide = px.groupBy("base_region", "base_scene", "i", "j").agg(
         F.max(F.when(F.col("variant") == BASELINE, pred)).alias("base"),
         F.max(is_fire(F.col("ref_code"))).alias("ref"),
         F.collect_list(F.when(F.col("variant") != BASELINE, F.struct("variant", pred.alias("pred")))).alias("others"),
@@ -84,18 +84,18 @@ def against_baseline(px: DataFrame) -> DataFrame:
 def variant_rollup(px: DataFrame) -> DataFrame:
     """Per scene and variant, and the sum over scenes."""
     ref, pred = is_fire(F.col("ref_code")), is_fire(F.col("final_code"))
-    table = px.groupingSets([["variant", "base_scene"], ["variant"]], "variant", "base_scene").agg(
+    table = px.groupingSets([["variant", "base_region", "base_scene"], ["variant"]], "variant", "base_region", "base_scene").agg(
         *count_columns(ref, pred), F.grouping("base_scene").alias("is_total")
     )
-    return scores(table).select("variant", "base_scene", "is_total", *COUNTS, "precision", "recall", "f1")
+    return scores(table).select("variant", "base_region", "base_scene", "is_total", *COUNTS, "precision", "recall", "f1")
 
 
 def ancillary_snapshot(px: DataFrame, columns: tuple[str, ...] = ("tpw", "emiss7")) -> DataFrame:
     """Smallest, median and largest value of each ancillary field per scene, and which optional bands are there."""
-    table = px.groupBy("scene").agg(
+    table = px.groupBy("region", "scene").agg(
         *[f(F.col(c)).alias(f"{c}_{n}") for c in columns for n, f in (("min", F.min), ("max", F.max))],
         F.bool_or(F.col("refl2").isNotNull()).alias("has_band_2"), F.bool_or(F.col("bt15").isNotNull()).alias("has_band_15"),
         ratio(F.count("emiss14"), F.count("*")).alias("share_emiss14"),
     )
-    found = medians(px, ["scene"], columns).withColumnsRenamed({c: f"{c}_median" for c in columns})
-    return table.join(found, "scene", "left")
+    found = medians(px, ["region", "scene"], columns).withColumnsRenamed({c: f"{c}_median" for c in columns})
+    return table.join(found, ["region", "scene"], "left")

@@ -14,7 +14,7 @@ DETECTION_SCHEMA = (
 )
 DETECTION_COLUMNS = ("latitude", "longitude", "bright_ti4", "bright_ti5", "frp", "confidence", "acq_date", "acq_time", "daynight")
 LEGACY_KAPPA0 = 3.141592653589793 / 1622.088
-DEFAULT_KEYS = ("scene", "i", "j")
+DEFAULT_KEYS = ("region", "scene", "i", "j")
 
 
 def join_bands(required: dict[str, DataFrame], optional: dict[str, DataFrame], keys: Sequence[str] = DEFAULT_KEYS) -> DataFrame:
@@ -29,10 +29,10 @@ def join_bands(required: dict[str, DataFrame], optional: dict[str, DataFrame], k
 
 
 def absent_bands(required: dict[str, DataFrame], scenes: DataFrame) -> DataFrame:
-    """Scenes asked for that lack a required band."""
+    """Scenes (region, scene) asked for that lack a required band."""
     parts = None
     for name, table in required.items():
-        part = scenes.join(table.select("scene").distinct(), "scene", "left_anti").withColumn("band", F.lit(name))
+        part = scenes.join(table.select("region", "scene").distinct(), ["region", "scene"], "left_anti").withColumn("band", F.lit(name))
         parts = part if parts is None else parts.unionByName(part)
     return parts
 

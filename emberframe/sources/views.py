@@ -1,4 +1,4 @@
-"""The pixel view of the events table: one row per pixel and scene, 50 x 50 pixels a scene."""
+"""The pixel view of the events table: two regions share each scene time, 50 x 50 pixels a region and scene."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from emberframe.codes import FIRE_CODES
 
 # Rows whose id leaves a given remainder carry a fault, so that every gate has pixels to stop.
 _BASE = """
-select event_id, value, event_id {div} 2500 as scene, concat('r', cast((event_id {div} 2500) % 2 as varchar(3))) as region,
+select event_id, value, event_id {div} 2500 as slot, event_id {div} 5000 as scene, concat('r', cast((event_id {div} 2500) % 2 as varchar(3))) as region,
   cast((event_id % 2500) {div} 50 as int) as i, cast(event_id % 50 as int) as j,
   288e0 + (event_id * 7919 % 1000) / 1e2
     + case when value > 200 then 5e-2 * (1e1 + 4e-1 * (value - 2e2)) else 0e0 end as warm14,
@@ -40,8 +40,8 @@ select region, scene, scene_epoch, i, j, event_id, value, bt7, rad7, bt14, rad14
   fk1_13 / (exp(fk2_13 / (bt13 * bc2_13 + bc1_13)) - 1) as rad13,
   case when event_id % 5 = 0 then null when event_id % 173 = 15 then 260e0 else bt14 - 3 end as bt15,
   case when event_id % 41 = 0 then null when event_id % 43 = 2 then 1e-6 else 5e-2 + (event_id % 40) / 1e2 end as refl2,
-  case when event_id % 107 = 3 then 5e0 when scene % 4 = 0 then 40e0 when scene % 4 = 1 then 75e0
-       when scene % 4 = 2 then 100e0 else 60e0 end as sza,
+  case when event_id % 107 = 3 then 5e0 when slot % 4 = 0 then 40e0 when slot % 4 = 1 then 75e0
+       when slot % 4 = 2 then 100e0 else 60e0 end as sza,
   case when event_id % 103 = 2 then 82e0 else 45e0 + i % 5 end as lza,
   case when event_id % 109 = 4 then 6e0 else 45e0 end as glint, 120e0 as azimuth,
   5e0 + (event_id * 31 % 500) / 1e1 as tpw,
@@ -50,7 +50,7 @@ select region, scene, scene_epoch, i, j, event_id, value, bt7, rad7, bt14, rad14
   cast(case when event_id % 151 = 11 then -106 when event_id % 193 = 1 then -105 when event_id % 197 = 2 then -104
        when event_id % 199 = 3 then -103 else 0 end as int) as eco_byte,
   not (i < 30 and j < 30) and value < 300 as land, not (i = 0 and j >= 40) as in_roi,
-  case when scene % 4 = 3 then 91e0 else 0e0 end as fpt, -30e0 - 2e-2 * i as lat, -58e0 + 2e-2 * j as lon,
+  case when slot % 4 = 3 then 91e0 else 0e0 end as fpt, -30e0 - 2e-2 * i as lat, -58e0 + 2e-2 * j as lon,
   cast(case when value > 150 then 10 + event_id % 6 + case when event_id % 3 = 0 then 20 else 0 end else 100 end as int)
     as ref_code,
   fk1_7, fk2_7, bc1_7, bc2_7, fk1_14, fk2_14, bc1_14, bc2_14, fk1_13, fk2_13, bc1_13, bc2_13

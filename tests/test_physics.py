@@ -85,6 +85,26 @@ def test_running_sums_and_tiles_find_the_same_window(spark):
     assert by_sums.exceptAll(by_tiles).count() == 0 and by_sums.count() == by_tiles.count()
 
 
+def test_a_second_region_changes_no_row_of_the_first(spark):
+    first, second = scene(spark, 30, fire=(12, 12)), scene(spark, 30, fire=(20, 5), seed=9, tt=1000.0).withColumn("region", F.lit("other"))
+    alone = detect.full_trace(first, mild_lut(spark))
+    columns = [c for c, kind in alone.dtypes if kind != "void"]
+    both = detect.full_trace(first.unionByName(second), mild_lut(spark)).where("region = 'r'")
+    tidy = lambda df: df.select(*[F.round(c, 6).alias(c) if kind == "double" else c for c, kind in df.dtypes if c in columns])
+    assert tidy(alone).exceptAll(tidy(both)).count() == 0 and alone.count() == both.count() == 900
+
+
+def test_groups_too_many_to_broadcast_give_the_same_rows(spark, monkeypatch):
+    from emberframe.functions import small
+
+    rows = spark.range(200).select("id", (F.col("id") % 3).alias("g"))
+    groups = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "g long, name string")
+    few = small.by_group(rows, groups, ["g"])
+    monkeypatch.setattr(small, "MOST_BROADCAST", 1)
+    many = small.by_group(rows, groups, ["g"]).select(*few.columns)
+    assert few.exceptAll(many).count() == 0 and many.count() == 200
+
+
 def test_a_quiet_scene_has_no_fire(spark):
     assert detect.detections(scene(spark), mild_lut(spark)).where("confirmed").count() == 0
 
@@ -116,7 +136,7 @@ def test_feature_contract(spark):
 
 
 def test_block_mean(spark):
-    fine = spark.range(16).select(F.lit(0).alias("scene"), F.expr("cast(id div 4 as int)").alias("i"), F.expr("cast(id % 4 as int)").alias("j"), F.col("id").cast("double").alias("v"))
+    fine = spark.range(16).select(F.lit("r").alias("region"), F.lit(0).alias("scene"), F.expr("cast(id div 4 as int)").alias("i"), F.expr("cast(id % 4 as int)").alias("j"), F.col("id").cast("double").alias("v"))
     assert [r.v for r in ancillary.block_mean(fine, "v", 2).orderBy("i", "j").collect()] == [2.5, 4.5, 10.5, 12.5]
 
 
