@@ -386,7 +386,7 @@ _MIX = """
   select event_id, region, scene, i, j, bt14 as bt14_bkg_corr, false as use_ch13, p0, t0, fk1_7, fk2_7, bc1_7, bc2_7, fk1_14, fk2_14, bc1_14, bc2_14, fk1_13, fk2_13, bc1_13, bc2_13,
     p0 * fk1_7 / (exp(fk2_7 / (t0 * bc2_7 + bc1_7)) - 1) + (1 - p0) * fk1_7 / (exp(fk2_7 / (bt14 * bc2_7 + bc1_7)) - 1) as r7_diff,
     p0 * fk1_14 / (exp(fk2_14 / (t0 * bc2_14 + bc1_14)) - 1) + (1 - p0) * fk1_14 / (exp(fk2_14 / (bt14 * bc2_14 + bc1_14)) - 1) as r14_diff
-  from (select *, 23e-5 * (1 + event_id % 100) as p0, 410e0 + event_id * 7 % 600 as t0 from {px} where bt14 > 250 and bt14 < 320)
+  from (select *, 23e-5 * (1 + event_id % 100) as p0, 410e0 + event_id * 7 % 600 as t0 from {px} where bt14 is not null)
 """
 _MIX_DZ = f"""
   select *, fk1_14 fk1_l, fk2_14 fk2_l, bc1_14 bc1_l, bc2_14 bc2_l, fk1_7 / (exp(fk2_7 / (bt14_bkg_corr * bc2_7 + bc1_7)) - 1) b7,

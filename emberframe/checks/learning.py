@@ -84,12 +84,17 @@ def _(spark, sf):
     return features.balanced_sample(rows, ["region", "scene", "y"], 40, F.col("event_id")).select("event_id")
 
 
-@add("f9_empty_features", upto("mask", """
-    select unnest(list_filter([case when count(bt7) = 0 then 'bt7' end, case when count(bt7_corr) = 0 then 'bt7_corr' end, case when count(albedo) = 0 then 'albedo' end], lambda x: x is not null)) feature
+_NIGHT_NAMES = ("bt7", "bt14e", "bt15", "albedo", "refl", "refl2", "tpw", "sza", "lza", "glint", "emiss7", "emiss14", "eco_code", "bt7_bkg", "bt7_bkg_std", "bt14_bkg", "bt14_bkg_std",
+                "albedo_bkg", "reflb", "std_reflb", "n_passes", "rad_diff_sigma", "bt7_corr", "bt14_corr")
+_EMPTY = ", ".join(f"case when count({n}) = 0 then '{n}' end" for n in _NIGHT_NAMES)
+
+
+@add("f9_empty_features", upto("mask", f"""
+    select unnest(list_filter([{_EMPTY}], lambda x: x is not null)) feature
     from mask where not is_day and in_roi"""))
 def _(spark, sf):
     night = trace(spark, sf).where("not is_day and in_roi")
-    return features.empty_features(night, ["bt7", "bt7_corr", "albedo"])
+    return features.empty_features(night, _NIGHT_NAMES)
 
 
 @add("f10_dataset_manifest")
@@ -174,14 +179,17 @@ def _(spark, sf):
 
 
 @add("m8_scene_aggregates", f"""
-    select count(*) scene_count, count(*) filter (where has_fire) with_fire, {srd('avg(recall) filter (where has_fire)')} macro_recall, {srd('avg(precision)')} macro_precision,
+    select count(*) scene_count, count(*) filter (where has_fire) with_fire, count(*) filter (where not has_fire) without_fire,
+      {srd('avg(fp) filter (where not has_fire)')} fp_per_clear_scene, count(*) filter (where has_fire and not alarm) missed_scenes,
+      count(*) filter (where has_fire and tp = 0) hit_missed, 6e-1 recall_target,
+      {srd('2 * avg(alarm::int) filter (where has_fire) * avg(has_fire::int) filter (where alarm) / (avg(alarm::int) filter (where has_fire) + avg(has_fire::int) filter (where alarm))')} alarm_f1, {srd('avg(recall) filter (where has_fire)')} macro_recall, {srd('avg(precision)')} macro_precision,
       {srd('min(recall) filter (where has_fire)')} worst_recall, {srd('avg((recall >= 6e-1)::int) filter (where has_fire)')} meeting_target, {srd('avg(fp)')} fp_per_scene, {srd('median(fp)')} fp_median,
       max(fp) fp_max, {srd('avg(alarm::int) filter (where has_fire)')} alarm_recall, {srd('avg(has_fire::int) filter (where alarm)')} alarm_precision,
       count(*) filter (where alarm and not has_fire) false_alarm_scenes, {srd('avg((tp > 0)::int) filter (where has_fire)')} hit_recall from ({_SCENE})""")
 def _(spark, sf):
     table = scoring.scene_aggregates(scoring.scene_scores(scored(spark, sf)), 0.6)
-    return table.select("scene_count", "with_fire", "fp_max", "false_alarm_scenes",
-                        *rds("macro_recall macro_precision worst_recall meeting_target fp_per_scene fp_median alarm_recall alarm_precision hit_recall"))
+    return table.select("scene_count", "with_fire", "without_fire", "missed_scenes", "hit_missed", "recall_target", "fp_max", "false_alarm_scenes",
+                        *rds("macro_recall macro_precision worst_recall meeting_target fp_per_scene fp_per_clear_scene fp_median alarm_recall alarm_precision alarm_f1 hit_recall"))
 
 
 @add("m10_threshold_choice", f"""
@@ -193,7 +201,7 @@ def _(spark, sf):
     return scoring.choose_threshold(scored(spark, sf), 0.8).select("threshold", "chosen", *rds("recall precision"))
 
 
-_EDGE = """select event_id, (refl2 - 1e-1) / (refl2 + 1e-1) ndvi, bt14 temp from {px} where refl2 > 1e-3 and bt14 between 280 and 310"""
+_EDGE = """select event_id, (refl2 - 1e-1) / (refl2 + 1e-1) ndvi, bt14 temp from {px} where refl2 is not null and bt14 is not null"""
 
 
 @add("m12_dry_edge", px_sql(f"""
@@ -207,29 +215,35 @@ def _(spark, sf):
 
 
 # Models: no other engine grows the same trees, so these are checked by rows and by tests ------------------------------------
-_MODEL_FEATURES = ("bt7", "bt14_eff", "albedo", "refl", "diff_bt7_bt14", "bt7_bkg", "bt7_minus_bkg7")
+_MODEL_SETS = {
+    "spectral": ("bt7", "bt14_eff", "albedo", "refl", "diff_bt7_bt14"),
+    "contextual": ("bt7_bkg", "bt14_bkg", "bt7_minus_bkg7", "bt14_minus_bkg14", "refl_minus_reflb"),
+}
+_MODEL_FEATURES = models.resolve_features(_MODEL_SETS, ("spectral", "contextual"))
 
 
 def _training(spark, sf):
     rows = feature_rows(spark, sf).withColumn("scene", F.col("timestamp"))
-    return models.balance_weights(rows.where("bt7 is not null"), "ref_fire")
+    return rows
 
 
 def _model_metrics(spark, sf, **options):
+    """Whole scenes train or test; weights and empty features are judged on the training side alone."""
     rows = _training(spark, sf)
-    train, test = rows.where("xxhash64(timestamp, i) % 4 <> 0"), rows.where("xxhash64(timestamp, i) % 4 = 0")
-    model = models.tree_pipeline(_MODEL_FEATURES, "ref_fire", **options).fit(train)
-    return model, scoring.row_metrics(models.predict(model, test), truth="ref_fire")
+    train, test = models.scene_sides(rows, "ref_fire")
+    names = models.usable(train, _MODEL_FEATURES)
+    model = models.tree_pipeline(names, "ref_fire", **options).fit(models.balance_weights(train, "ref_fire"))
+    return model, names, scoring.row_metrics(models.predict(model, test.withColumn("weight", F.lit(1.0))), truth="ref_fire")
 
 
 @add("m1_decision_tree")
 def _(spark, sf):
-    return _model_metrics(spark, sf)[1]
+    return _model_metrics(spark, sf)[2]
 
 
 @add("m2_random_forest")
 def _(spark, sf):
-    return _model_metrics(spark, sf, kind="forest", trees=20)[1]
+    return _model_metrics(spark, sf, kind="forest")[2]
 
 
 @add("m3_categorical_tree")
@@ -242,22 +256,23 @@ def _(spark, sf):
 
 @add("m9_importances")
 def _(spark, sf):
-    model, _ = _model_metrics(spark, sf)
-    return models.importances(model, _MODEL_FEATURES, feature_rows(spark, sf))
+    model, names, _ = _model_metrics(spark, sf)
+    return models.importances(model, names, feature_rows(spark, sf))
 
 
 @add("m10_out_of_fold")
 def _(spark, sf):
-    rows = _training(spark, sf).drop("weight")
-    scores = models.out_of_fold(rows, models.tree_pipeline(_MODEL_FEATURES, "ref_fire", depth=3), "ref_fire", folds=2)
+    rows = _training(spark, sf)
+    scores = models.out_of_fold(rows, models.tree_pipeline(models.usable(rows, _MODEL_FEATURES), "ref_fire"), "ref_fire")
     return scoring.choose_threshold(scores, 0.8, truth="ref_fire")
 
 
 # Patches ----------------------------------------------------------------------------------------------------------------
-@add("x1_indices", px_sql(f"select event_id, {srd('(refl2 - rad7) / nullif(refl2 + rad7, 0)')} ndvi, {srd('(bt7 - bt14) / nullif(bt7 + bt14, 0)', 6)} nbr from px"))
+@add("x1_indices", px_sql(f"select event_id, {srd('(refl2 - rad7) / nullif(refl2 + rad7, 0)')} ndvi, {srd('(bt7 - bt14) / nullif(bt7 + bt14, 0)', 6)} nbr, {srd('(bt14 - bt15) / nullif(bt14 + bt15, 0)', 6)} ndmi, {srd('(bt7 - bt15) / nullif(bt7 + bt15, 0)', 6)} ndii7 from px"))
 def _(spark, sf):
     nd = patches.normalised_difference
-    return px(spark, sf).select("event_id", rd(nd(F.col("refl2"), F.col("rad7"))).alias("ndvi"), rd(nd(F.col("bt7"), F.col("bt14")), 6).alias("nbr"))
+    return px(spark, sf).select("event_id", rd(nd(F.col("refl2"), F.col("rad7"))).alias("ndvi"), rd(nd(F.col("bt7"), F.col("bt14")), 6).alias("nbr"),
+                                 rd(nd(F.col("bt14"), F.col("bt15")), 6).alias("ndmi"), rd(nd(F.col("bt7"), F.col("bt15")), 6).alias("ndii7"))
 
 
 _PATCH = px_sql("""
@@ -299,22 +314,47 @@ def _(spark, sf):
     return rows.select("region", "scene", "py", "px", rd(F.col("history")[0], 3).alias("first_mean"), rd(F.col("history")[1], 3).alias("last_mean"), "target")
 
 
-_MI = """m as (select lag, count(*) n, bin, target from l group by all), t as (select *, sum(n) over (partition by lag) tot, sum(n) over (partition by lag, bin) nb, sum(n) over (partition by lag, target) nt from m)
-    select lag, round(sum(n / tot * ln((n / tot) / ((nb / tot) * (nt / tot)))) + 1.7e-09, 6) + 0e0 mi from t group by lag"""
+_LAGS, _LEADS = (0, 1, 2), (1, 2)
 
 
-@add("x6_mutual_information", f"""{_PATCH}, q as (select quantile_cont(mean, [25e-2, 5e-1, 75e-2]) e from f),
-    b as (select *, (mean > e[1])::int + (mean > e[2])::int + (mean > e[3])::int bin from f, q),
-    w as (select bin b0, lag(bin) over x b1, lead(any_fire, 1) over x target from b window x as (partition by region, py, px order by scene_epoch)),
-    l as (select 0 lag, b0 bin, target from w where target is not null union all select 1, b1, target from w where target is not null and b1 is not null), {_MI}""")
+def _information_sql(feature: str, lead: int) -> str:
+    lags = ", ".join(f"lag(bin, {n}) over x b{n}" for n in _LAGS)
+    long = " union all ".join(f"select {n} lag, b{n} bin, target from w where target is not null and b{n} is not null" for n in _LAGS)
+    return f"""(with q as (select quantile_cont({feature}, [25e-2, 5e-1, 75e-2]) e from f where {feature} is not null),
+      b as (select *, ({feature} > e[1])::int + ({feature} > e[2])::int + ({feature} > e[3])::int bin from f, q where {feature} is not null),
+      w as (select {lags}, lead(any_fire, {lead}) over x target from b window x as (partition by region, py, px order by scene_epoch)), l as ({long}),
+      m as (select lag, count(*) n, bin, target from l group by all),
+      t as (select *, sum(n) over (partition by lag) tot, sum(n) over (partition by lag, bin) nb, sum(n) over (partition by lag, target) nt from m)
+      select '{feature}' feature, {lead} lead, lag, round(sum(n / tot * ln((n / tot) / ((nb / tot) * (nt / tot)))) + 1.7e-09, 6) + 0e0 mi from t group by lag)"""
+
+
+@add("x6_mutual_information", f"{_PATCH} " + " union all ".join(f"select * from {_information_sql(feature, lead)}" for feature in patches.PATCH_FEATURES for lead in _LEADS))
 def _(spark, sf):
-    return patches.information_by_lag(patch_table(spark, sf), (0, 1), 1).select("lag", rd("mi", 6).alias("mi"))
+    table, parts = product(spark, sf, "patches", lambda: patch_table(spark, sf)), None
+    for feature in patches.PATCH_FEATURES:
+        for lead in _LEADS:
+            part = patches.information_by_lag(table, _LAGS, lead, value=feature)
+            part = part.select(F.lit(feature).alias("feature"), F.lit(lead).alias("lead"), "lag", rd("mi", 6).alias("mi"))
+            parts = part if parts is None else parts.unionByName(part)
+    return parts
+
 
+_OF = lambda groups: f"sum(n / tot * ln((n / tot) / ((nb / tot) * (nt / tot)))) from (select *, sum(n) over (partition by {groups}) tot, sum(n) over (partition by {groups}, bin) nb, sum(n) over (partition by {groups}, target) nt"
 
-@add("x7_permutation_test")
+
+@add("x7_permutation_test", f"""{_PATCH}, q as (select quantile_cont(mean, [25e-2, 5e-1, 75e-2]) e from f),
+    b as (select *, (mean > e[1])::int + (mean > e[2])::int + (mean > e[3])::int bin from f, q),
+    x as (select bin, row_number() over (order by {MD5("region || '|' || scene || '|' || py || '|' || px", '42-x')}) k from b),
+    y as (select shuffle, any_fire target, row_number() over (partition by shuffle order by {MD5("shuffle || '|' || region || '|' || scene || '|' || py || '|' || px", '42-y')}) k
+      from b, (select unnest(range(1, 51)) shuffle)),
+    j as (select shuffle, bin, target, count(*) n from x join y using (k) group by all),
+    s as (select shuffle, {_OF('shuffle')} from j) group by shuffle), r as (select {_OF('1')} from (select bin, any_fire target, count(*) n from b group by all))),
+    z as (select avg(mi) null_mean, stddev_pop(mi) null_std, count(*) n_shuffles from s as s(shuffle, mi)), seen as (select observed from r as r(observed))
+    select n_shuffles, {srd('null_mean', 6)} null_mean, {srd('null_std', 6)} null_std, {srd('observed', 6)} observed, {srd('(observed - null_mean) / nullif(null_std, 0)', 3)} z from z, seen""")
 def _(spark, sf):
     rows = patches.binned(patch_table(spark, sf), "mean", 4)
-    return patches.permutation_test(rows, ["region", "scene", "py", "px"], "any_fire", shuffles=50)
+    table = patches.permutation_test(rows, ["region", "scene", "py", "px"], "any_fire", shuffles=50)
+    return table.select("n_shuffles", *rds("null_mean null_std observed", 6), rd("z", 3).alias("z"))
 
 
 @add("x8_chronological_split", px_sql("""
