@@ -15,7 +15,7 @@ BOOK = Book.empty()
 add = BOOK.add
 
 # Fires of the pixel view, with scenes far enough apart that the look-back ends within them.
-_FIRES = "select event_id, 'all' as region, i, j, 1704067200 + scene * 20000 as scene_epoch, cast(10 + event_id % 6 as int) as category, ref_code, true as confirmed from {px} where value > {low}"
+_FIRES = "select event_id, region, i, j, 1704067200 + scene * 20000 as scene_epoch, cast(10 + event_id % 6 as int) as category, ref_code, true as confirmed from {px} where value > {low}"
 _FIRES_SQL = "fires as materialized (" + _FIRES.format(px="px", low=60) + ")"
 _NEAR = "b.region = a.region and abs(b.i - a.i) <= 1 and abs(b.j - a.j) <= 1 and b.scene_epoch < a.scene_epoch"
 
@@ -81,10 +81,19 @@ def event_stream(spark, sf):
 @add("t7_streaming_filter", px_sql(f"""
     , {_FIRES_SQL} select region, i, j, scene_epoch, case when exists (select 1 from fires b where {_NEAR} and b.scene_epoch >= a.scene_epoch - 43200) then 20 else 0 end + category final_code from fires a"""))
 def _(spark, sf):
-    px = spark.sql(views.pixel_sql("div").replace("from events", "from {ev}"), ev=event_stream(spark, sf))
-    out = new_path(spark, "stream")
-    fire_state.to_table(fire_state.temporal_stream(fires(spark, sf, px)), out, new_path(spark, "stream-progress"))
-    return spark.read.schema(T.StructType.fromDDL(fire_state.OUT)).parquet(out).select("region", "i", "j", "scene_epoch", "final_code")
+    """Scenes in several files, each scene split over two of them and out of order; a last row far ahead closes the stream."""
+    rows = fires(spark, sf).select("region", "i", "j", "scene_epoch", "category", F.expr("(scene_epoch - 1704067200) div 20000 + event_id % 2").alias("file"))
+    folder, out = new_path(spark, "fires-in"), new_path(spark, "stream")
+    names = ["region", "i", "j", "scene_epoch", "category"]
+    last = rows.agg(F.max("file").alias("file"), F.max("scene_epoch").alias("epoch")).first()
+    for number in range((last["file"] or 0) + 1):  # one file a scene, as they come in
+        rows.where(F.col("file") == number).select(*names).orderBy(F.desc("scene_epoch")).coalesce(1).write.parquet(f"{folder}/{number}")
+    closing = [("closing", -9, -9, (last["epoch"] or 0) + 10**7, 10)]
+    spark.createDataFrame(closing, rows.select(*names).schema).coalesce(1).write.parquet(f"{folder}/closing")
+    stream = spark.readStream.schema(rows.select(*names).schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(folder)
+    fire_state.to_table(fire_state.temporal_stream(stream), out, new_path(spark, "stream-progress"))
+    found = spark.read.schema(T.StructType.fromDDL(fire_state.OUT)).parquet(out).where("region <> 'closing'")
+    return found.select("region", "i", "j", "scene_epoch", "final_code")
 
 
 @add("t8_tumbling_windows", "select floor(epoch(ts))::bigint // 600 * 600 from_epoch, floor(epoch(ts))::bigint // 600 * 600 + 600 to_epoch, event_type, count(*) n from events group by all")

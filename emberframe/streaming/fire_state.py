@@ -15,38 +15,47 @@ from emberframe.operators import confirm
 from emberframe.plans import detect
 
 OUT = "region string, i int, j int, scene_epoch bigint, category int, last_fire bigint, final_code int"
-STATE = "fires array<bigint>"
+STATE = "fires array<bigint>, epochs array<bigint>, categories array<int>"
 
 
-def _filter_pixel(lookback: int, late: int) -> Callable:
+def _filter_pixel(lookback: int) -> Callable:
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        fires, asked = set(), []
+        if state.exists:
+            old = state.get
+            fires, asked = set(old[0]), list(zip(old[1], old[2]))
+        if not state.hasTimedOut:
+            rows = pd.concat(list(frames))
+            fires |= set(int(e) for e in rows.loc[rows["mark"], "scene_epoch"])
+            own = rows[~rows["mark"]]
+            asked += [(int(e), int(c)) for e, c in zip(own["scene_epoch"], own["category"])]
+        # Up to the watermark no fire can come any more, so a row there knows all fires before it.
+        watermark = state.getCurrentWatermarkMs() // 1000
+        due, waiting = [a for a in asked if a[0] <= watermark], sorted(a for a in asked if a[0] > watermark)
+        oldest = min([watermark, *(e for e, _ in waiting)])
+        # One pixel has at most one fire a scene, so the lists are bounded by the scenes in look-back and lateness.
+        kept = sorted(f for f in fires if f >= oldest - lookback)
+        if kept or waiting:
+            state.update((kept, [e for e, _ in waiting], [c for _, c in waiting]))
+            state.setTimeoutTimestamp(max((waiting[0][0] if waiting else kept[-1] + lookback) * 1000, state.getCurrentWatermarkMs() + 1))
+        else:
             state.remove()
+        if not due:
             return
-        rows = pd.concat(list(frames)).sort_values(["scene_epoch", "mark"])
-        fires = set(state.get[0]) if state.exists else set()
-        asked = rows[~rows["mark"]]
-        fires |= set(int(e) for e in rows.loc[rows["mark"], "scene_epoch"])
-        newest = max(fires | set(int(e) for e in rows["scene_epoch"]))
-        # One pixel has at most one fire a scene, so the list is bounded by the scenes in the look-back.
-        state.update((sorted(f for f in fires if f > newest - lookback - late),))
-        state.setTimeoutTimestamp(max((newest + lookback + late) * 1000, state.getCurrentWatermarkMs() + 1))
-        if not len(asked):
-            return
-        last = [max((f for f in fires if 0 < e - f <= lookback), default=None) for e in asked["scene_epoch"]]
-        code = [c + k.TEMPORAL_OFFSET if f is not None else c for c, f in zip(asked["category"], last)]
+        last = [max((f for f in fires if 0 < e - f <= lookback), default=None) for e, _ in due]
         yield pd.DataFrame({
-            "region": key[0], "i": key[1], "j": key[2], "scene_epoch": asked["scene_epoch"].to_numpy(), "category": asked["category"].to_numpy(),
-            "last_fire": pd.array(last, dtype="Int64"), "final_code": code,
+            "region": key[0], "i": key[1], "j": key[2], "scene_epoch": [e for e, _ in due], "category": [c for _, c in due],
+            "last_fire": pd.array(last, dtype="Int64"), "final_code": [c + k.TEMPORAL_OFFSET if f is not None else c for (_, c), f in zip(due, last)],
         })
 
     return step
 
 
-def temporal_stream(confirmed: DataFrame, lookback: int = k.LOOKBACK_SECONDS, late: str = "1 hour", late_seconds: int = 3600) -> DataFrame:
-    """Streaming rows (region, i, j, scene_epoch, category) to final codes.
+def temporal_stream(confirmed: DataFrame, lookback: int = k.LOOKBACK_SECONDS, late: str = "12 hours") -> DataFrame:
+    """Streaming rows (region, i, j, scene_epoch, category) to final codes, the same as in a batch.
 
-    A fire marks its 3 x 3 neighbourhood; state is kept only for marked pixels. Rows later than the watermark are dropped.
+    Fires may come in any order within `late`; a row is given its code when the watermark has passed it, later rows are dropped.
+    A fire marks its 3 x 3 neighbourhood; state is kept only for marked pixels.
     """
     steps = F.array(F.struct(F.lit(0).alias("di"), F.lit(0).alias("dj"), F.lit(False).alias("mark")), *[
         F.struct(F.lit(a).alias("di"), F.lit(b).alias("dj"), F.lit(True).alias("mark")) for a in (-1, 0, 1) for b in (-1, 0, 1)
@@ -58,7 +67,7 @@ def temporal_stream(confirmed: DataFrame, lookback: int = k.LOOKBACK_SECONDS, la
         F.col("category").cast("int").alias("category"), F.col("s.mark").alias("mark"), "ts",
     )
     return rows.groupBy("region", "i", "j").applyInPandasWithState(
-        _filter_pixel(lookback, late_seconds), OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout
+        _filter_pixel(lookback), OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout
     )
 
 

@@ -20,20 +20,33 @@ def run(spark, folder, out, progress):
     return spark.read.schema(fire_state.OUT).parquet(out)
 
 
-def test_stream_equals_batch_over_several_batches(spark):
-    batches = [[("r", n % 3, (n * s) % 4, T0 + s * 14400, 10 + n % 6, True) for n in range(6)] for s in range(6)]
+CLOSING = ("closing", -9, -9, T0 + 10**7, 10, True)
+
+
+def test_stream_equals_batch_out_of_order_and_in_split_scenes(spark):
+    rows = [("r", n % 3, (n * s) % 4, T0 + s * 14400, 10 + n % 6, True) for s in range(6) for n in range(6)]
+    # neighbouring scenes are exchanged and every scene comes in two files
+    batches = [[r for n, r in enumerate(rows) if n // 6 == s and n % 2 == half] for s, half in ((1, 0), (0, 1), (1, 1), (0, 0), (3, 0), (2, 1), (2, 0), (3, 1), (5, 1), (4, 0), (4, 1), (5, 0))]
     folder, out = new_path(spark, "in"), new_path(spark, "out")
     progress = new_path(spark, "progress")
-    for number, rows in enumerate(batches):
-        write_batches(spark, f"{folder}/{number}", [rows])
+    for number, some in enumerate([*batches, [CLOSING]]):
+        write_batches(spark, f"{folder}/{number}", [some])
         got = run(spark, folder, out, progress)
-    rows = spark.createDataFrame([r for b in batches for r in b], SCHEMA)
-    want = temporal.temporal_filter(rows).select("region", "i", "j", "scene_epoch", "final_code")
-    got = got.select("region", "i", "j", "scene_epoch", "final_code")
+    want = temporal.temporal_filter(spark.createDataFrame(rows, SCHEMA)).select("region", "i", "j", "scene_epoch", "final_code")
+    got = got.where("region = 'r'").select("region", "i", "j", "scene_epoch", "final_code")
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
     assert want.where("final_code >= 30").count() > 0 and want.where("final_code < 30").count() > 0
 
 
+def test_a_row_waits_for_earlier_fires_within_the_watermark(spark):
+    folder, out, progress = new_path(spark, "in"), new_path(spark, "out"), new_path(spark, "progress")
+    seen = []
+    for number, some in enumerate(([("r", 5, 5, T0 + 600, 10, True)], [("r", 5, 5, T0, 10, True)], [CLOSING])):
+        write_batches(spark, f"{folder}/{number}", [some])
+        seen.append(sorted((r.scene_epoch - T0, r.final_code) for r in run(spark, folder, out, progress).where("region = 'r'").collect()))
+    assert seen == [[], [], [(0, 10), (600, 30)]]
+
+
 def test_last_fire_is_strictly_earlier_and_within_the_look_back(spark):
     rows = [("r", 5, 5, T0, 10, True), ("r", 6, 6, T0, 10, True), ("r", 6, 6, T0 + 43200, 11, True), ("r", 5, 5, T0 + 86401, 12, True)]
     got = {(r.i, r.scene_epoch - T0): r.final_code for r in temporal.temporal_filter(spark.createDataFrame(rows, SCHEMA)).collect()}
@@ -42,10 +55,10 @@ def test_last_fire_is_strictly_earlier_and_within_the_look_back(spark):
 
 def test_a_scene_later_than_the_watermark_is_dropped(spark):
     folder, out, progress = new_path(spark, "in"), new_path(spark, "out"), new_path(spark, "progress")
-    for number, epoch in enumerate((T0 + 864000, T0 + 864600, T0)):
-        write_batches(spark, f"{folder}/{number}", [[("r", 5, 5, epoch, 10, True)]])
+    for number, row in enumerate([*(("r", 5, 5, epoch, 10, True) for epoch in (T0 + 864000, T0 + 864600, T0)), CLOSING]):
+        write_batches(spark, f"{folder}/{number}", [[row]])
         got = run(spark, folder, out, progress)
-    assert sorted((r.scene_epoch, r.final_code) for r in got.collect()) == [(T0 + 864000, 10), (T0 + 864600, 30)]
+    assert sorted((r.scene_epoch, r.final_code) for r in got.where("region = 'r'").collect()) == [(T0 + 864000, 10), (T0 + 864600, 30)]
 
 
 def test_detection_on_a_stream_of_scenes(spark):
