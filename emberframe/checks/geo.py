@@ -124,15 +124,15 @@ _WL = (3.6, 3.8, 4.3, 10.8, 11.3, 12.1)
 
 @add("g8_emissivity", px_sql(f"""
     , cells as (select distinct cast(round_even(lat / 5e-2, 0) as int) ci, cast(round_even(lon / 5e-2, 0) as int) cj from px),
-    e as (select *, 9e-1 + 1e-3 * ((ci * 7 + cj * 3) % 50) + 1e-3 * w em from cells, (select unnest([{", ".join(f"{w}::double" for w in _WL)}]) w))
+    e as (select *, 9e-1 + 1e-3 * ((ci * 7 + cj * 3) % 50) + 1e-3 * w + 1e-2 * m em from cells, (select unnest([{", ".join(f"{w}::double" for w in _WL)}]) w), (select unnest([1, 2]) m))
     select p.event_id, {srd('(1 - (39e-1 - 38e-1) / (43e-1 - 38e-1)) * a.em + (39e-1 - 38e-1) / (43e-1 - 38e-1) * b.em')} emiss7,
       {srd('(1 - (112e-1 - 108e-1) / (113e-1 - 108e-1)) * c.em + (112e-1 - 108e-1) / (113e-1 - 108e-1) * d.em')} emiss14
-    from px p {" ".join(f"left join e {n} on {n}.ci = round_even(p.lat / 5e-2, 0) and {n}.cj = round_even(p.lon / 5e-2, 0) and {n}.w = {w}::double" for n, w in (("a", 3.8), ("b", 4.3), ("c", 10.8), ("d", 11.3)))}""").replace("38e-1", "3.8::double"))
+    from px p {" ".join(f"left join e {n} on {n}.ci = round_even(p.lat / 5e-2, 0) and {n}.cj = round_even(p.lon / 5e-2, 0) and {n}.w = {w}::double and {n}.m = 1 + p.event_id % 2" for n, w in (("a", 3.8), ("b", 4.3), ("c", 10.8), ("d", 11.3)))}""").replace("38e-1", "3.8::double"))
 def _(spark, sf):
-    px = views.pixels(spark, sf).select("event_id", "lat", "lon")
+    px = views.pixels(spark, sf).select("event_id", "lat", "lon", F.expr("cast(1 + event_id % 2 as int)").alias("month"))
     cells = px.select(ancillary.nearest_cell(F.col("lat"), 0.05).alias("cell_i"), ancillary.nearest_cell(F.col("lon"), 0.05).alias("cell_j")).distinct()
-    field = cells.withColumn("wavelength_um", F.explode(F.array(*[F.lit(w) for w in _WL]))).withColumn(
-        "emissivity", F.expr("9e-1 + 1e-3 * ((cell_i * 7 + cell_j * 3) % 50) + 1e-3 * wavelength_um"))
+    field = cells.withColumn("wavelength_um", F.explode(F.array(*[F.lit(w) for w in _WL]))).withColumn("month", F.explode(F.array(F.lit(1), F.lit(2)))).withColumn(
+        "emissivity", F.expr("9e-1 + 1e-3 * ((cell_i * 7 + cell_j * 3) % 50) + 1e-3 * wavelength_um + 1e-2 * month"))
     return ancillary.emissivity(px, field, {"emiss7": 3.9, "emiss14": 11.2}).select("event_id", *rds("emiss7 emiss14"))
 
 
@@ -140,17 +140,19 @@ _FIELD = "(ci * 13 + cj * 7) % 41 + 5e-1 * ci"
 
 
 @add("g9_bilinear_vapour", px_sql(f"""
-    , k as (select event_id, lat / 25e-2 gi, lon / 25e-2 gj, cast(floor(lat / 25e-2) as int) fi, cast(floor(lon / 25e-2) as int) fj from px),
+    , k as (select event_id, event_id % 2 cy, lat / 25e-2 gi, lon / 25e-2 gj, cast(floor(lat / 25e-2) as int) fi, cast(floor(lon / 25e-2) as int) fj
+      from (select event_id, case when event_id % 19 = 0 then -30e0 else lat end lat, lon from px)),
     cells as (select distinct fi + a ci, fj + b cj from k, (select unnest([0, 1]) a), (select unnest([0, 1]) b)),
-    f as (select *, {_FIELD} v from cells where (ci + cj) % 11 <> 0)
-    select event_id, {srd('q.v * (1 - u) * (1 - w) + r.v * (1 - u) * w + s.v * u * (1 - w) + t.v * u * w')} pwat
-    from (select *, gi - fi u, gj - fj w from k) left join f q on q.ci = fi and q.cj = fj left join f r on r.ci = fi and r.cj = fj + 1
-    left join f s on s.ci = fi + 1 and s.cj = fj left join f t on t.ci = fi + 1 and t.cj = fj + 1"""))
+    f as (select *, {_FIELD} + 3e0 * cy v from cells, (select unnest([0, 1]) cy) where (ci + cj) % 11 <> 0 and ci <= -120)
+    select event_id, {srd('case when (1 - u) * (1 - w) = 0 then 0 else q.v * (1 - u) * (1 - w) end + case when (1 - u) * w = 0 then 0 else r.v * (1 - u) * w end + case when u * (1 - w) = 0 then 0 else s.v * u * (1 - w) end + case when u * w = 0 then 0 else t.v * u * w end')} pwat
+    from (select *, gi - fi u, gj - fj w from k) k0 left join f q on q.cy = k0.cy and q.ci = fi and q.cj = fj
+    left join f r on r.cy = k0.cy and r.ci = fi and r.cj = fj + 1 left join f s on s.cy = k0.cy and s.ci = fi + 1 and s.cj = fj
+    left join f t on t.cy = k0.cy and t.ci = fi + 1 and t.cj = fj + 1"""))
 def _(spark, sf):
-    px = views.pixels(spark, sf).select("event_id", "lat", "lon")
+    px = views.pixels(spark, sf).select("event_id", F.expr("case when event_id % 19 = 0 then -30e0 else lat end").alias("lat"), "lon", F.expr("event_id % 2").alias("cycle"))
     corners = px.select(F.explode(F.array(*[F.struct((F.floor(F.col("lat") / 0.25) + a).cast("int").alias("ci"), (F.floor(F.col("lon") / 0.25) + b).cast("int").alias("cj")) for a in (0, 1) for b in (0, 1)])).alias("c"))
-    cells = corners.select("c.*").distinct().where("(ci + cj) % 11 <> 0")
-    field = cells.select(F.col("ci").alias("cell_i"), F.col("cj").alias("cell_j"), F.expr(_FIELD).alias("pwat"))
+    cells = corners.select("c.*").distinct().where("(ci + cj) % 11 <> 0 and ci <= -120").withColumn("cycle", F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))))
+    field = cells.select(F.col("ci").alias("cell_i"), F.col("cj").alias("cell_j"), F.expr(f"{_FIELD} + 3e0 * cycle").alias("pwat"), "cycle")
     return ancillary.bilinear(px, field, "pwat").select("event_id", *rds("pwat"))
 
 

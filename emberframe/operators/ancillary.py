@@ -58,30 +58,34 @@ def nearest_cell(value: Column, step: float) -> Column:
     return F.rint(value / step).cast("int")
 
 
-def emissivity(px: DataFrame, field: DataFrame, targets: dict[str, float], step: float = 0.05) -> DataFrame:
-    """Emissivity per band at the nearest cell: the field is reduced to one row per cell, then joined on the cell."""
+def emissivity(px: DataFrame, field: DataFrame, targets: dict[str, float], step: float = 0.05, month: str = "month") -> DataFrame:
+    """Emissivity per band at the nearest cell of the pixel's month: one row per month and cell, then a join on both."""
     weights = wavelength_weights(field, targets)
-    cells = field.join(F.broadcast(weights), "wavelength_um").groupBy("cell_i", "cell_j").agg(
+    cells = field.join(F.broadcast(weights), "wavelength_um").groupBy(month, "cell_i", "cell_j").agg(
         *[F.sum(F.when(F.col("band") == b, F.col("weight") * F.col("emissivity"))).alias(b) for b in targets]
     )
     at = px.withColumns({"cell_i": nearest_cell(F.col("lat"), step), "cell_j": nearest_cell(F.col("lon"), step)})
-    return at.join(cells, ["cell_i", "cell_j"], "left").drop("cell_i", "cell_j")
+    return at.join(cells, [month, "cell_i", "cell_j"], "left").drop("cell_i", "cell_j")
 
 
-def bilinear(px: DataFrame, field: DataFrame, value: str, step: float = 0.25) -> DataFrame:
-    """Bilinear value at each pixel from its four corner cells; NULL unless all four are there."""
+def bilinear(px: DataFrame, field: DataFrame, value: str, step: float = 0.25, cycle: str = "cycle") -> DataFrame:
+    """Bilinear value at each pixel from the four corner cells of its forecast cycle; NULL unless all that weigh are there.
+
+    On a grid line the corners beyond it weigh nothing, so the last line of the field belongs to it.
+    """
     gi, gj = F.col("lat") / step, F.col("lon") / step
     px = px.withColumns({"_i": F.floor(gi).cast("int"), "_j": F.floor(gj).cast("int")})
     px = px.withColumns({"_u": gi - F.col("_i"), "_v": gj - F.col("_j")})
     # Four cells side by side in one row of the field, so that the pixels are joined once and not multiplied.
     corner = lambda di, dj: field.select(
-        (F.col("cell_i") - di).alias("_i"), (F.col("cell_j") - dj).alias("_j"), F.lit(f"c{di}{dj}").alias("_c"), F.col(value).alias("_x")
+        cycle, (F.col("cell_i") - di).alias("_i"), (F.col("cell_j") - dj).alias("_j"), F.lit(f"c{di}{dj}").alias("_c"), F.col(value).alias("_x")
     )
     parts = corner(0, 0).unionByName(corner(0, 1)).unionByName(corner(1, 0)).unionByName(corner(1, 1))
-    quads = parts.groupBy("_i", "_j").agg(*[F.max(F.when(F.col("_c") == c, F.col("_x"))).alias(c) for c in ("c00", "c01", "c10", "c11")])
+    quads = parts.groupBy(cycle, "_i", "_j").agg(*[F.max(F.when(F.col("_c") == c, F.col("_x"))).alias(c) for c in ("c00", "c01", "c10", "c11")])
     u, v = F.col("_u"), F.col("_v")
-    mixed = F.col("c00") * (1 - u) * (1 - v) + F.col("c01") * (1 - u) * v + F.col("c10") * u * (1 - v) + F.col("c11") * u * v
-    return px.join(quads, ["_i", "_j"], "left").withColumn(value, mixed).drop("_i", "_j", "_u", "_v", "c00", "c01", "c10", "c11")
+    weighed = lambda corner, weight: F.when(weight == 0, 0.0).otherwise(F.col(corner) * weight)
+    mixed = weighed("c00", (1 - u) * (1 - v)) + weighed("c01", (1 - u) * v) + weighed("c10", u * (1 - v)) + weighed("c11", u * v)
+    return px.join(quads, [cycle, "_i", "_j"], "left").withColumn(value, mixed).drop("_i", "_j", "_u", "_v", "c00", "c01", "c10", "c11")
 
 
 def wrap_longitude(lon: Column) -> Column:
