@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from emberframe.functions.nulls import recover_unsigned
 from emberframe.operators import background, confirm, corrections, gates, retrieval, temporal, thresholds
+from emberframe.session import cut_lineage
 
 KEY = ("region", "scene", "scene_epoch", "i", "j")
 
@@ -19,7 +20,11 @@ def gated_pixels(px: DataFrame) -> DataFrame:
 
 def survivors(px: DataFrame) -> DataFrame:
     """Gate survivors with background, thresholds and the path they take."""
-    found = background.choose_approach(background.expanding_background(gated_pixels(px)))
+    return classified(gated_pixels(px))
+
+
+def classified(gated: DataFrame) -> DataFrame:
+    found = background.choose_approach(background.expanding_background(gated))
     return thresholds.classify_survivors(thresholds.contextual_thresholds(found))
 
 
@@ -29,7 +34,11 @@ def part_one(px: DataFrame, lut: DataFrame) -> DataFrame:
     The paths are told apart by conditions on the same rows, so the background is computed once. `area_km2` is part of
     the static pixel geometry and comes with the pixels.
     """
-    rows = corrections.correct(survivors(px), lut)
+    return outcome(gated_pixels(px), lut)
+
+
+def outcome(gated: DataFrame, lut: DataFrame) -> DataFrame:
+    rows = corrections.correct(classified(gated), lut)
     return retrieval.size_and_power(retrieval.last_chance(retrieval.retrieve(rows)))
 
 
@@ -40,10 +49,14 @@ def detections(px: DataFrame, lut: DataFrame, policy: str = "atbd", fires: DataF
 
 
 def full_trace(px: DataFrame, lut: DataFrame, policy: str = "atbd", fires: DataFrame | None = None) -> DataFrame:
-    """Every pixel: what stopped it or, for survivors, the trace of both parts and the final code."""
-    stopped = gated_pixels(px).where(~F.col("survivor"))
+    """Every pixel: what stopped it or, for survivors, the trace of both parts and the final code.
+
+    The gated pixels are kept as a table in the shared folder, so they are scanned and shuffled by scan line once for both.
+    """
+    gated = cut_lineage(gated_pixels(px))
+    stopped = gated.where(~F.col("survivor"))
     stopped = stopped.withColumns({"candidate": F.lit(False), "confirmed": F.lit(False)})
-    rest = temporal.temporal_filter(confirm.confirm(part_one(px, lut), policy), fires)
+    rest = temporal.temporal_filter(confirm.confirm(outcome(gated, lut), policy), fires)
     rows = stopped.unionByName(rest, allowMissingColumns=True)
     return rows.withColumns({
         "p1_code": F.col("code"),

@@ -164,3 +164,11 @@ def test_cumulative_against_one_window(spark):
     got = cumulative(rows, [], "v", ["n"], descending=True)
     plain = rows.withColumn("w", F.sum("n").over(W.orderBy(F.desc("v")).rowsBetween(W.unboundedPreceding, 0)))
     assert got.join(plain, "v").where("cum_n <> w").count() == 0 and got.count() == 3000
+
+
+def test_masks_scan_the_pixels_once(spark):
+    from emberframe.sources import views as v
+
+    masks = detect.scene_masks(v.pixels(spark, "/root/testdata/sf0.001").withColumn("area_km2", F.lit(4.0)), v.lut(spark))
+    plan = masks._jdf.queryExecution().optimizedPlan().toString()
+    assert "events.parquet" not in plan and masks.count() == v.events(spark, "/root/testdata/sf0.001").count()
