@@ -7,17 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MOST_BROADCAST = 100_000
-SALTS = 32
+SALTS = 16
 
 
-def by_group(rows: DataFrame, groups: DataFrame, keys: Sequence[str]) -> DataFrame:
+def by_group(rows: DataFrame, groups: DataFrame, keys: Sequence[str], salts: int = SALTS) -> DataFrame:
     """Each row with its group's columns; a key may hold a large share of the rows.
 
-    The groups are counted: few are broadcast, many are repeated per salt, so that no key meets one task. Keys must not be null.
+    Rows are dealt over `salts` copies of their group, so a hot key never meets one task. The planner still broadcasts the groups
+    where it sees that they are small. Rows whose key is null or has no group are left out.
     """
-    if groups.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
-        return rows.join(F.broadcast(groups), list(keys))
-    spread = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    spread = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
     return salted.join(spread, [*keys, "_salt"]).drop("_salt")
