@@ -23,17 +23,27 @@ def bands(spark, sf):
     px = views.pixels(spark, sf)
     seven = stored(spark, sf, "band7", px.where("bt7 is not null").select("region", "scene", "i", "j", "event_id", "rad7"))
     long = stored(spark, sf, "band14", px.where("bt14 is not null and not (scene = 1 and i > 40)").select("region", "scene", "i", "j", "rad14"))
-    fifteen = stored(spark, sf, "band15", px.where("scene <> 2 and bt15 is not null").select("region", "scene", "i", "j", "bt15"))
+    fifteen = stored(spark, sf, "band15", px.where("scene <> 1 and bt15 is not null").select("region", "scene", "i", "j", "bt15"))
     return {"B07": seven, "B14": long}, {"B15": fifteen}
 
 
 @add("s1_band_scan", px_sql(f"""
-    select event_id, {srds('rad7 rad14')}, {srd('case when scene <> 2 then bt15 end')} bt15 from px where bt7 is not null and bt14 is not null and not (scene = 1 and i > 40)"""))
+    select event_id, {srds('rad7 rad14')}, {srd('case when scene <> 1 then bt15 end')} bt15 from px where bt7 is not null and bt14 is not null and not (scene = 1 and i > 40)"""))
 def _(spark, sf):
     return tables.join_bands(*bands(spark, sf)).select("event_id", *rds("rad7 rad14 bt15"))
 
 
-@add("s1_missing_bands", px_sql("select region, scene, 'B15' band from px where scene = 2 group by region, scene"))
+_FROM, _TO = 1704067200, 1704067200 + 900
+
+
+@add("s1_range_scan", px_sql(f"select region, scene, i, j, event_id, {srds('bt7 bt14')} from px where region = 'r1' and scene_epoch >= {_FROM} and scene_epoch < {_TO}"))
+def _(spark, sf):
+    path = new_path(spark, "pixels")
+    tables.write_pixels(views.pixels(spark, sf), path)
+    return tables.read_pixels(spark, path, _FROM, _TO, ["r1"]).select("region", "scene", "i", "j", "event_id", *rds("bt7 bt14"))
+
+
+@add("s1_missing_bands", px_sql("select region, scene, 'B15' band from px where scene = 1 group by region, scene"))
 def _(spark, sf):
     required, optional = bands(spark, sf)
     return tables.absent_bands(required | optional, views.pixels(spark, sf).select("region", "scene").distinct())

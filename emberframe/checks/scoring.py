@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from emberframe import codes as k
 from emberframe.checks.common import Book, gated, px_sql, rd, rds, srd, srds, trace
-from emberframe.checks.oracle import upto
+from emberframe.checks.oracle import tmp, upto
 from emberframe.operators import audit, background, clusters, scenario
 from emberframe.plans import detect
 from emberframe.sources import views
@@ -139,6 +139,11 @@ def _(spark, sf):
     return audit.part_two_paths(trace(spark, sf))
 
 
+@add("e10_final_codes", upto("mask", "select final_code, count(*) n from mask where candidate group by 1"))
+def _(spark, sf):
+    return audit.final_codes(trace(spark, sf))
+
+
 _MG = {
     "mg_absdiff_vs_2K": "abs(bt7 - bt14e) - 2", "mg_d714_vs_std_7b14b": "bt7 - bt14e - std_7b14b", "mg_d7bkg_vs_std_7b": "bt7 - bt7_bkg - std_7b",
     "mg_refl_vs_std_reflb": "refl - std_reflb", "mg_refl_vs_std_reflb_max": "refl - std_reflb_max",
@@ -239,6 +244,13 @@ def _(spark, sf):
     return audit.group_statistics(px, ["verdict", "final_code"], "v").select("verdict", "final_code", "n", *rds("mean low high q25 median q75", 3))
 
 
+@add("e23_code_15_by_scene", upto("mask", f"""
+    select region, scene_epoch, count(*) n, count(*) filter (where {REF}) tp, count(*) filter (where not {REF}) fp, {srd(f'count(*) filter (where not {REF}) / count(*)')} fp_rate
+    from mask where {BASE('final_code')} = 15 group by region, scene_epoch"""))
+def _(spark, sf):
+    return audit.code_by_scene(trace(spark, sf)).select("region", "scene_epoch", "n", "tp", "fp", *rds("fp_rate"))
+
+
 @add("e23_hourly_statistics", upto("mask", f"select scene_epoch // 3600 % 24 as hour, {_STATS} from (select *, bt7 - bt14e v from mask) where {PRED} group by 1"))
 def _(spark, sf):
     px = trace(spark, sf).where(ref("final_code")).withColumns({
@@ -275,22 +287,31 @@ def _(spark, sf):
     return audit.map_points(trace(spark, sf)).select("region", "scene", "i", "j", "kind", *rds("lat lon"))
 
 
-_CHAIN = ("bt7", "t7_tpw", "r7_em", "r7_solar", "r7_diff")
+_CHAIN = dict(zip(audit.CHAIN, ("c.bt7", "c.t7_tpw", tmp("7", "c.r7_em"), tmp("7", "c.r7_solar"), tmp("7", "c.r7_diff"))))
 
 
 @add("e26_correction_chain", upto("mask", f"""
     select c.region, c.scene, c.i, c.j, u.ord, u.step, {srd('u.value', 3)} as value from cor c,
-      lateral (select unnest([0, 1, 2, 3, 4]) ord, unnest([{", ".join(f"'{s}'" for s in _CHAIN)}]) step, unnest([{", ".join('c.' + s for s in _CHAIN)}]) as value) u"""))
+      lateral (select unnest([0, 1, 2, 3, 4]) ord, unnest([{", ".join(f"'{s}'" for s in _CHAIN)}]) step, unnest([{", ".join(_CHAIN.values())}]) as value) u"""))
 def _(spark, sf):
-    rows = trace(spark, sf).where("r7_tpw is not null")
-    return audit.correction_chain(rows, _CHAIN).select("region", "scene", "i", "j", "ord", "step", *rds("value", 3))
+    rows = audit.corrected_temperatures(trace(spark, sf).where("r7_tpw is not null"))
+    return audit.correction_chain(rows, audit.CHAIN).select("region", "scene", "i", "j", "ord", "step", *rds("value", 3))
+
+
+_FAILED = "case " + " ".join(f"when ({sql} > 0) is not true then '{name}'" for name, sql in _CHAIN.items()) + " end"
 
 
 @add("e26_first_failure", upto("mask", f"""
-    select region, scene, i, j, case when bt7 > 0 is not true then 'bt7' when t7_tpw > 0 is not true then 't7_tpw' else null end failed_step
-    from (select g.region, g.scene, g.i, g.j, g.bt7, c.t7_tpw from gated g left join cor c using (region, scene, i, j)) where (bt7 > 0) is not true or (t7_tpw > 0) is not true"""))
+    select region, scene, i, j, failed_step from (select c.region, c.scene, c.i, c.j, {_FAILED} failed_step from cor c) where failed_step is not null"""))
+def _(spark, sf):
+    rows = audit.corrected_temperatures(trace(spark, sf).where("r7_tpw is not null"))
+    return audit.first_failure(audit.correction_chain(rows, audit.CHAIN))
+
+
+@add("e26_failures_by_category", upto("mask", f"""
+    select {BASE('c.ref_code')} category, coalesce({_FAILED}, 'none') failed_step, count(*) n from cor c group by 1, 2"""))
 def _(spark, sf):
-    return audit.first_failure(audit.correction_chain(trace(spark, sf), ("bt7", "t7_tpw")))
+    return audit.failures_by_category(audit.corrected_temperatures(trace(spark, sf).where("r7_tpw is not null")))
 
 
 @add("e27_emissivity_source", px_sql(f"""
@@ -368,9 +389,12 @@ def _(spark, sf):
     )
 
 
-@add("a2_variant_scores", _variants_sql(f"select variant, n_candidates, {_FINISH} from (select variant, count(*) filter (where candidate) n_candidates, {_score_sql(REF, PRED)} from allv group by variant)"))
+_CATEGORIES = ", ".join(f"count(*) filter (where {BASE('final_code')} = {c}) n_{c}" for c in k.BASE_FIRE_CODES)
+
+
+@add("a2_variant_scores", _variants_sql(f"select variant, n_candidates, {', '.join(f'n_{c}' for c in k.BASE_FIRE_CODES)}, {_FINISH} from (select variant, count(*) filter (where candidate) n_candidates, {_CATEGORIES}, {_score_sql(REF, PRED)} from allv group by variant)"))
 def _(spark, sf):
-    return scored(scenario.variant_scores(variant_masks(spark, sf)), "variant", "n_candidates")
+    return scored(scenario.variant_scores(variant_masks(spark, sf)), "variant", "n_candidates", *[f"n_{c}" for c in k.BASE_FIRE_CODES])
 
 
 @add("a3_against_baseline", _variants_sql(f"""

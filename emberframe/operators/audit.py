@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from emberframe import codes as k
 from emberframe.functions.nulls import holds, ratio
+from emberframe.functions.radiometry import BandCoefficients, temperature_of
 from emberframe.functions.order import hash_order, medians, percentiles
 
 COUNTS = ("tp", "fp", "fn", "tn")
@@ -166,6 +167,18 @@ def part_two_paths(px: DataFrame) -> DataFrame:
     )
 
 
+def final_codes(px: DataFrame) -> DataFrame:
+    """Final codes of the candidates."""
+    return px.where("candidate").groupBy("final_code").agg(F.count("*").alias("n"))
+
+
+def code_by_scene(px: DataFrame, code: int = 15) -> DataFrame:
+    """Per region and scene time: pixels given a base code, how many of them the reference burns, and the share that it doesn't."""
+    own = px.where(base_code(F.col("final_code")) == code).groupBy("region", "scene_epoch")
+    table = own.agg(F.count("*").alias("n"), *count_columns(is_fire(F.col("ref_code")), F.lit(True))[:2])
+    return table.withColumn("fp_rate", ratio(F.col("fp"), F.col("n")))
+
+
 def margins(px: DataFrame) -> DataFrame:
     """Observed value minus threshold; >= 0 passes the test."""
     c = F.col
@@ -354,6 +367,22 @@ def first_failure(chain: DataFrame) -> DataFrame:
     return bad.groupBy("region", "scene", "i", "j").agg(F.min_by("step", "ord").alias("failed_step"))
 
 
+def corrected_temperatures(px: DataFrame) -> DataFrame:
+    """Band 7 temperature after each correction: as measured, vapour, emissivity, solar, diffraction."""
+    seven = BandCoefficients.of(7)
+    return px.withColumns({f"t7_{step}": temperature_of(F.col(f"r7_{step}"), seven) for step in ("em", "solar", "diff")})
+
+
+CHAIN = ("bt7", "t7_tpw", "t7_em", "t7_solar", "t7_diff")
+
+
+def failures_by_category(px: DataFrame, stages: Sequence[str] = CHAIN) -> DataFrame:
+    """Reference categories by the first step of the chain that failed; `none` where all steps hold."""
+    bad = first_failure(correction_chain(px, stages))
+    named = px.select(*SCENE, "i", "j", base_code(F.col("ref_code")).alias("category"))
+    return named.join(bad, [*SCENE, "i", "j"], "left").groupBy("category", F.coalesce("failed_step", F.lit("none")).alias("failed_step")).agg(F.count("*").alias("n"))
+
+
 def source_check(px: DataFrame, value: str, constant: float) -> DataFrame:
     return px.groupBy(*SCENE).agg(
         F.min(value).alias("low"), F.max(value).alias("high"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"),

@@ -86,6 +86,16 @@ def split_problems(split: DataFrame) -> DataFrame:
     return side("train").intersect(side("test"))
 
 
+def load_split(split: DataFrame) -> DataFrame:
+    """A split without repeated rows; fails where a split has a scene on both sides or a side without scenes."""
+    rows = split.select("split_id", "scene", "side").distinct()
+    both = split_problems(rows).limit(1).count()
+    lone = rows.groupBy("split_id").agg(F.count_distinct("side").alias("n")).where("n < 2").limit(1).count()
+    if both or lone:
+        raise ValueError("a split has scenes on both sides" if both else "a split has an empty side")
+    return rows
+
+
 def balanced_sample(rows: DataFrame, groups: Sequence[str], per_group: int, key: Column, seed: int = 42) -> DataFrame:
     """At most n rows per group: n per group and hash bucket first, so a hot group is cut down before it meets one task."""
     marked = rows.withColumn("_h", hash_order(key, seed=seed)).withColumn("_b", F.substring("_h", 1, 2))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberframe.codes import BASE_FIRE_CODES
 from emberframe.functions.nulls import ratio
 from emberframe.functions.order import medians
-from emberframe.operators.audit import COUNTS, count_columns, is_fire, scores
+from emberframe.operators.audit import COUNTS, base_code, count_columns, is_fire, scores
 
 BASELINE = "baseline"
 
@@ -57,9 +58,10 @@ def neutral_lut(lut: DataFrame) -> DataFrame:
 
 
 def variant_scores(px: DataFrame, by: tuple[str, ...] = ("variant",)) -> DataFrame:
-    """Scores and fire counts per variant."""
+    """Scores and counts of candidates and of each base category per variant."""
     ref, pred = is_fire(F.col("ref_code")), is_fire(F.col("final_code"))
-    return scores(px.groupBy(*by).agg(F.count_if("candidate").alias("n_candidates"), *count_columns(ref, pred)))
+    categories = [F.count_if(base_code(F.col("final_code")) == c).alias(f"n_{c}") for c in BASE_FIRE_CODES]
+    return scores(px.groupBy(*by).agg(F.count_if("candidate").alias("n_candidates"), *categories, *count_columns(ref, pred)))
 
 
 def against_baseline(px: DataFrame) -> DataFrame:

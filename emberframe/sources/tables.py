@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +29,25 @@ def join_bands(required: dict[str, DataFrame], optional: dict[str, DataFrame], k
     return out
 
 
+def month_of(epoch: Column) -> Column:
+    return F.date_format(F.timestamp_seconds(epoch), "yyyyMM").cast("int")
+
+
+def write_pixels(px: DataFrame, path: str, rows_per_file: int = 4_000_000) -> None:
+    """The pixel table laid out by region and month; files follow scan time, so a range of scenes reads few of them."""
+    marked = px.withColumn("yyyymm", month_of(F.col("scene_epoch")))
+    ordered = marked.repartitionByRange("region", "yyyymm", "scene_epoch", "i").sortWithinPartitions("region", "yyyymm", "scene_epoch", "i", "j")
+    ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", rows_per_file).option(
+        "compression", "zstd").partitionBy("region", "yyyymm").parquet(path)
+
+
+def read_pixels(spark: SparkSession, path: str, start: int, end: int, regions: Sequence[str] = ()) -> DataFrame:
+    """Pixels of the scenes in [start, end), of all regions or the named ones: only their months' folders are read."""
+    first, last = (month_of(F.lit(epoch)) for epoch in (start, max(start, end - 1)))
+    px = spark.read.parquet(path).where(F.col("yyyymm").between(first, last) & (F.col("scene_epoch") >= start) & (F.col("scene_epoch") < end))
+    return (px.where(F.col("region").isin(*regions)) if regions else px).drop("yyyymm")
+
+
 def absent_bands(required: dict[str, DataFrame], scenes: DataFrame) -> DataFrame:
     """Scenes (region, scene) asked for that lack a required band."""
     parts = None
@@ -108,8 +128,25 @@ def contract_violations(rows: DataFrame, scene: str = "scene", stamp: str = "tim
     return table.where("n_stamps > 1 or n_other > 0 or n_bad_target > 0")
 
 
-def csv_to_parquet(spark: SparkSession, source: str, target: str, schema, codec: str = "zstd") -> None:
+def csv_to_parquet(spark: SparkSession, source: str, target: str, schema, codec: str = "zstd", skip_existing: bool = False) -> bool:
+    """Whether the table was written; with `skip_existing` one that is there already stays."""
+    if skip_existing and has_table(spark, target):
+        return False
     spark.read.csv(source, schema=schema, header=True).write.mode("overwrite").option("compression", codec).parquet(target)
+    return True
+
+
+def has_table(spark: SparkSession, path: str) -> bool:
+    """Whether a Parquet table lies there; any store that Spark reads."""
+    try:
+        return bool(spark.read.parquet(path).columns)
+    except AnalysisException:
+        return False
+
+
+def read_features(spark: SparkSession, parquet: str, csv: str, schema) -> DataFrame:
+    """The Parquet table where there is one, else the CSV files."""
+    return spark.read.parquet(parquet) if has_table(spark, parquet) else spark.read.csv(csv, schema=schema, header=True)
 
 
 def ragged_union(*tables: DataFrame, preferred: Sequence[str]) -> DataFrame:

@@ -170,3 +170,27 @@ def test_masks_scan_the_pixels_once(spark):
     masks = detect.scene_masks(v.pixels(spark, "/root/testdata/sf0.001").withColumn("area_km2", F.lit(4.0)), v.lut(spark))
     plan = masks._jdf.queryExecution().optimizedPlan().toString()
     assert "events.parquet" not in plan and masks.count() == v.events(spark, "/root/testdata/sf0.001").count()
+
+
+def test_a_range_of_scenes_reads_its_months_alone(spark):
+    from emberframe.session import new_path
+    from emberframe.sources import tables
+
+    months = scene(spark, 6).unionByName(scene(spark, 6).withColumn("scene_epoch", F.lit(1709251200)))
+    path = new_path(spark, "pixels")
+    tables.write_pixels(months, path)
+    found = tables.read_pixels(spark, path, 1704067200, 1704067200 + 600, ["r"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    filters = plan[plan.index("PartitionFilters"):].split("]")[0]
+    assert "yyyymm" in filters and "region" in filters and found.count() == 36
+    assert not tables.csv_to_parquet(spark, path, path, "x int", skip_existing=True)
+    assert tables.read_features(spark, path, "nowhere", "x int").count() == 72
+
+
+def test_a_split_is_checked_when_it_is_loaded(spark):
+    rows = [("a", 1, "train"), ("a", 1, "train"), ("a", 2, "test")]
+    split = lambda more: spark.createDataFrame([*rows, *more], "split_id string, scene int, side string")
+    assert features.load_split(split([])).count() == 2
+    for wrong in ([("a", 1, "test")], [("b", 3, "train")]):
+        with pytest.raises(ValueError):
+            features.load_split(split(wrong))
