@@ -55,7 +55,7 @@ def cumulative(df: DataFrame, groups: Sequence[str], value: str, sums: Sequence[
     cuts = [k / buckets for k in range(1, buckets)]
     edges = marked.groupBy(*groups).agg(F.percentile_approx("_pos", cuts, 2000).alias("_edges"))
     slot = F.size(F.filter("_edges", lambda edge: edge < F.col("_pos")))
-    placed = by_group(marked, edges, groups).withColumn("_slot", slot).drop("_edges")
+    placed = by_group(marked, edges, groups, F.col(value)).withColumn("_slot", slot).drop("_edges")
     keys = [*groups, "_slot"]
     totals = placed.groupBy(*keys).agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
     earlier = W.partitionBy(*groups).orderBy("_slot").rowsBetween(W.unboundedPreceding, -1)
@@ -80,7 +80,7 @@ def percentiles(df: DataFrame, groups: Sequence[str], value: str, probs: dict[st
     counted = counted.withColumn("_key", F.struct(*keys))
     ordered = cumulative(counted, ["_key"], value, ["_n"])
     sizes = counted.groupBy("_key").agg(F.sum("_n").alias("_total"))
-    placed = by_group(ordered, sizes, ["_key"])
+    placed = by_group(ordered, sizes, ["_key"], F.col(value))
     aggs = []
     for name, p in probs.items():
         at = (F.col("_total") - 1) * F.lit(float(p))

@@ -113,13 +113,13 @@ def vapour_climatology(px: DataFrame, ts: str = "ts") -> DataFrame:
     base = F.when(month.isin(12, 1, 2), 40.0).when(month.isin(3, 4, 5), 30.0).when(month.isin(6, 7, 8), 20.0).otherwise(25.0)
     span = px.groupBy("region", "scene").agg(F.min("lat").alias("_lo"), F.max("lat").alias("_hi"))
     ramp = (F.col("lat") - F.col("_lo")) / F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1e-6))
-    return by_group(px, span, ["region", "scene"]).withColumn("tpw_climatology", base + ramp * 10.0).drop("_lo", "_hi")
+    return by_group(px, span, ["region", "scene"], F.struct("i", "j")).withColumn("tpw_climatology", base + ramp * 10.0).drop("_lo", "_hi")
 
 
 def choose_vapour(px: DataFrame, field: str = "tpw_field", fallback: str = "tpw_climatology") -> DataFrame:
     """The field where the scene has any value of it, else the climatology."""
     has = px.groupBy("region", "scene").agg(F.bool_or(F.col(field).isNotNull()).alias("_has"))
-    return by_group(px, has, ["region", "scene"]).withColumn("tpw", F.when(F.col("_has"), F.col(field)).otherwise(F.col(fallback))).drop("_has")
+    return by_group(px, has, ["region", "scene"], F.struct("i", "j")).withColumn("tpw", F.when(F.col("_has"), F.col(field)).otherwise(F.col(fallback))).drop("_has")
 
 
 def in_box(lat: Column, lon: Column, lat_min, lat_max, lon_min, lon_max) -> Column:

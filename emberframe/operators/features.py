@@ -51,7 +51,7 @@ def split_by_class(scenes: DataFrame, test_size: float, seed: int = 42, minimum:
     """`side` per scene: of each class a rounded share goes to test, at least `minimum` on either side; one scene trains."""
     sizes = scenes.groupBy(label_col).agg(F.count("*").alias("_n"))
     ranked = rank_by_hash(scenes, [label_col], hash_order(F.col("scene"), seed=seed), "_k").drop("_n")
-    ranked = by_group(ranked, sizes, [label_col])
+    ranked = by_group(ranked, sizes, [label_col], F.col("scene"))
     share = F.bround(F.col("_n") * F.lit(float(test_size)))
     n_test = F.when(F.col("_n") == 1, 0).otherwise(F.greatest(F.lit(minimum), F.least(F.col("_n") - minimum, share)))
     short = (F.col("_n") > 1) & (F.col("_n") < 2 * minimum)
@@ -108,7 +108,7 @@ def balanced_sample(rows: DataFrame, groups: Sequence[str], per_group: int, key:
 def stratified_rows(rows: DataFrame, label_col: str, test_size: float, key: Column, seed: int = 42) -> DataFrame:
     """`side` per row: the same share of every class."""
     sizes = rows.groupBy(label_col).agg(F.bround(F.count("*") * F.lit(float(test_size))).alias("_t"))
-    ranked = by_group(rank_by_hash(rows, [label_col], hash_order(key, seed=seed), "_k").drop("_n"), sizes, [label_col])
+    ranked = by_group(rank_by_hash(rows, [label_col], hash_order(key, seed=seed), "_k").drop("_n"), sizes, [label_col], key)
     return ranked.withColumn("side", F.when(F.col("_k") <= F.col("_t"), "test").otherwise("train")).drop("_k", "_t")
 
 

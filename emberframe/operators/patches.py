@@ -30,7 +30,7 @@ def to_patches(px: DataFrame, size: int = 64, stride: int = 32) -> DataFrame:
         first = F.greatest(F.ceil((F.col(name) - size + 1) / stride), F.lit(0))
         return F.explode(F.sequence(first.cast("int"), F.floor(F.col(name) / stride).cast("int")))
 
-    rows = by_group(px, extent, ["region", "scene"]).withColumn("py", covering("i")).withColumn("px", covering("j"))
+    rows = by_group(px, extent, ["region", "scene"], F.struct("i", "j")).withColumn("py", covering("i")).withColumn("px", covering("j"))
     fits = (F.col("py") * stride + size <= F.col("_h")) & (F.col("px") * stride + size <= F.col("_w"))
     return rows.where(fits).drop("_h", "_w")
 

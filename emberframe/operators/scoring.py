@@ -52,7 +52,7 @@ def average_precision(rows: DataFrame, by: Sequence[str] = (), truth: str = "y",
     rows = rows if by else rows.withColumn("_one", F.lit(0))
     graded = rows.groupBy(*groups, score).agg(F.sum(F.col(truth).cast("long")).alias("_tp"), F.count("*").alias("_n"))
     total = graded.groupBy(*groups).agg(F.sum("_tp").alias("_pos"))
-    run = by_group(cumulative(graded, groups, score, ["_tp", "_n"], descending=True), total, groups)
+    run = by_group(cumulative(graded, groups, score, ["_tp", "_n"], descending=True), total, groups, F.col(score))
     part = ratio(F.col("_tp"), F.col("_pos")) * F.col("cum__tp") / F.col("cum__n")
     return run.groupBy(*groups).agg(F.sum(part).alias("average_precision")).drop("_one")
 

@@ -99,7 +99,7 @@ def test_salted_groups_give_the_same_rows(spark):
 
     rows = spark.range(200).select("id", (F.col("id") % 3).alias("g"))
     groups = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "g long, name string")
-    found, plain = small.by_group(rows, groups, ["g"], salts=5), rows.join(groups, "g")
+    found, plain = small.by_group(rows, groups, ["g"], F.col("id"), salts=5), rows.join(groups, "g")
     assert plain.exceptAll(found.select(*plain.columns)).count() == 0 and found.count() == 200
 
 
