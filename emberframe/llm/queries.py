@@ -68,14 +68,15 @@ SQL: dict[str, str] = {
     "op5_substring_dedup": r"""
         with texts as (
             select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents
-        ), starts as (
-            select doc_id, unnest(generate_series(1, len(words) - 19)) as start, words from texts where len(words) >= 20
+        ), places as materialized (
+            select doc_id, unnest(words) as word, generate_subscripts(words, 1) as place from texts
         ), windows as (
-            select doc_id, start, row_number() over (partition by array_to_string(words[start:start + 19], ' ') order by doc_id, start) as nth from starts
+            select doc_id, place as start, string_agg(word, ' ') over following as sequence, count(*) over following as n from places
+            window following as (partition by doc_id order by place rows between current row and 19 following)
+        ), ranked as (
+            select doc_id, start, row_number() over (partition by sequence order by doc_id, start) as nth from windows where n = 20
         ), gone as (
-            select distinct doc_id, unnest(generate_series(start, start + 19)) as place from windows where nth > 1
-        ), places as (
-            select doc_id, unnest(words) as word, generate_subscripts(words, 1) as place from texts
+            select distinct doc_id, unnest(generate_series(start, start + 19)) as place from ranked where nth > 1
         ), kept as (
             select p.doc_id, count(*) filter (g.place is not null) as n_removed,
                 coalesce(string_agg(p.word, ' ' order by p.place) filter (g.place is null), '') as kept
