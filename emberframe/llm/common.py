@@ -14,8 +14,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def lean_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Fewer rows an Arrow batch in this session: texts are long, and a batch lies off the heap on both sides of the pipe."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def raw_columns(docs: DataFrame, text: str = "text") -> list[Column]:
     """doc_id and the text as UTF-8 bytes; a null text is empty."""
+    lean_batches(docs.sparkSession)
     return [docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs[text].cast("string").cast("binary"), F.lit(b"")).alias("text")]
 
 

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberframe.llm.common import parallelism
+from emberframe.llm.common import lean_batches, parallelism
 
 BITS = 256
 WORDS = BITS // 64
@@ -69,6 +69,7 @@ def in_order(docs: DataFrame) -> DataFrame:
 
     Bounds are quantiles of the ids, one a partition; only ids are read to find them and each partition's first document.
     """
+    lean_batches(docs.sparkSession)
     parts = parallelism(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     known = rows.select("doc_id").where("doc_id is not null")
