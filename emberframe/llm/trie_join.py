@@ -87,8 +87,8 @@ def _levels(points: np.ndarray, depth: int) -> list[tuple[np.ndarray, np.ndarray
     return [*levels, (prefixes, np.empty(0, np.int64))]
 
 
-def trie_links(a: np.ndarray, b: np.ndarray, depth: int, radius: int, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
-    """Indices (i, j) of linked sorted distinct points under two nodes of a depth; b is a for a node with itself (then i < j).
+def trie_links(a: np.ndarray, b: np.ndarray, depth: int, radius: int, most: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Indices (i, j) of linked sorted distinct points under two nodes of a depth, in parts; b is a for a node with itself (then i < j).
 
     Frontiers of node pairs are cut so that no step holds many more than `most` child pairs.
     """
@@ -96,11 +96,11 @@ def trie_links(a: np.ndarray, b: np.ndarray, depth: int, radius: int, most: int
     depths = [depth]
     while depths[-1] < BITS:
         depths.append(next_depth(depths[-1], 8))
-    found, stack = [], [(0, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+    stack = [(0, np.zeros(1, np.int64), np.zeros(1, np.int64))]
     while stack:
         level, i, j = stack.pop()
         if depths[level] == BITS:
-            found.append((i[i < j], j[i < j]) if same else (i, j))
+            yield (i[i < j], j[i < j]) if same else (i, j)
             continue
         ca, cb = la[level][1], lb[level][1]
         na, nb = ca[i + 1] - ca[i], cb[j + 1] - cb[j]
@@ -117,9 +117,17 @@ def trie_links(a: np.ndarray, b: np.ndarray, depth: int, radius: int, most: int
             keep &= x <= y
         if keep.any():
             stack.append((level + 1, x[keep], y[keep]))
-    if not found:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
+def joined(count: int, parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Smallest index reachable of each point, over links that come in parts: only the labels are kept."""
+    label = np.arange(count)
+    for i, j in parts:
+        left, right = label[i], label[j]
+        apart = left != right
+        if apart.any():
+            label = local_components(count, left[apart], right[apart])[label]
+    return label
 
 
 def _prefix(key: str, depth: int) -> F.Column:
@@ -175,13 +183,12 @@ def links(prints: DataFrame, radius: int = 3, leaf: int = 1024) -> DataFrame:
         depth, turn = group.column("depth")[0].as_py(), group.column("turn")[0].as_py()
         first, last = (np.uint64(group.column(c)[0].as_py() & (2**64 - 1)) for c in ("a", "b"))
         if first == last:
-            i, j = trie_links(key, key, depth, radius)
+            root = joined(len(key), trie_links(key, key, depth, radius))
         else:
             side = key >> np.uint64(BITS - depth) == last
             left, right = key[~side], key[side]
-            i, j = trie_links(left, right, depth, radius)
-            key, j = np.concatenate([left, right]), j + len(left)
-        root = local_components(len(key), i, j)
+            key = np.concatenate([left, right])
+            root = joined(len(key), ((i, j + len(left)) for i, j in trie_links(left, right, depth, radius)))
         child = np.flatnonzero(root != np.arange(len(key)))
         if turn:
             key = (key << np.uint64(HALF)) | (key >> np.uint64(HALF))
