@@ -26,15 +26,25 @@ from emberframe.session import cut_lineage
 
 END = 2  # fixed value: the id that closes a document
 DIMENSIONS, BITS, HASHED = 4, 10, 64
-CACHED_WORDS = 1_000_000
-#: The tokenizer's own pieces of a lower-cased ASCII word (fixed value, from its pre-tokenizer).
-PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+CACHED = 300_000
+#: The tokenizer's own pieces of lower-cased text in ASCII and accented Latin letters (fixed value, from its pre-tokenizer).
+PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ž]+|[0-9]|[^ \t-\ra-z0-9ß-öø-ž]+")
+#: Characters beyond those: a word that has one goes to the tokenizer as it is. Letters up to ž lower and compose alike everywhere.
+OTHER = re.compile(r"[^\x00-\x7fÀ-ÖØ-öø-įı-ž]")
 
 
-class WordIds(dict):
-    """Ids of words between ASCII white space, as packed bytes; each word is encoded once and kept while there is room.
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if it is printable, else the next one from 256 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {**{b: chr(b) for b in plain}, **{b: chr(256 + k) for k, b in enumerate(rest)}}
 
-    The tokenizer drops white space and never joins what it separates, so ids of a text are those of its words.
+
+class PieceIds(dict):
+    """Ids of pieces of text as packed bytes, each encoded once while it is in use.
+
+    A text's ids are those of its pieces, which the tokenizer never joins. When the pieces are many, those not used since
+    the last time they were many are forgotten.
     """
 
     def __init__(self, path: str):
@@ -43,30 +53,34 @@ class WordIds(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # strings of special tokens are ordinary text
+        self.merges, self.letters = self.tokenizer.model, byte_letters()
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.end = np.array([END], self.kind).tobytes()
-        self.pieces: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.before.get(piece)
+        if ids is None:
+            ids = np.array([t.id for t in self.merges.tokenize("".join(map(self.letters.__getitem__, piece.encode())))], self.kind).tobytes()
+        if len(piece) <= 64:
+            self[piece] = ids
+        return ids
 
-    def _encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+    def _mixed(self, text: str) -> bytes:
+        """A text with other characters, word by word."""
+        whole = lambda word: np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, self.kind).tobytes()
+        return b"".join(whole(w) if OTHER.search(w) else b"".join(map(self.__getitem__, PIECES.findall(w.lower()))) for w in WORD.findall(text))
 
-    def _piece(self, piece: str) -> bytes:
-        if piece not in self.pieces:
-            self.pieces[piece] = self._encode(piece)
-        return self.pieces[piece]
+    def of(self, text: str) -> bytes:
+        if len(self) > CACHED:
+            self.before = dict(self)
+            self.clear()
+        if not text.isascii() and OTHER.search(text):
+            return self._mixed(text) + self.end
+        return b"".join(map(self.__getitem__, PIECES.findall(text.lower()))) + self.end
 
-    def __missing__(self, word: bytes) -> bytes:
-        text = word.decode("utf-8", "replace")
-        ids = b"".join(map(self._piece, PIECES.findall(text.lower()))) if text.isascii() else self._encode(text)
-        if len(word) <= 64:
-            self[word] = ids
-        return ids
 
-    def of(self, text: bytes) -> bytes:
-        if len(self) + len(self.pieces) > CACHED_WORDS:
-            self.clear()
-            self.pieces.clear()
-        return b"".join(map(self.__getitem__, text.split())) + self.end
+WORD = re.compile(r"[^ \t-\r]+")
 
 
 def tokenizer_path(tokenizer: str) -> str:
@@ -79,8 +93,8 @@ def tokenizer_path(tokenizer: str) -> str:
 
 
 @cache
-def word_ids(tokenizer: str) -> WordIds:
-    return WordIds(tokenizer_path(tokenizer))
+def piece_ids(tokenizer: str) -> PieceIds:
+    return PieceIds(tokenizer_path(tokenizer))
 
 
 @cache
@@ -122,12 +136,12 @@ def encoded(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Each row's ids (packed, compressed), their number and the projected vector, as a table in the shared folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, squeeze = word_ids(tokenizer), zstandard.ZstdCompressor(level=1)
+        pieces, squeeze = piece_ids(tokenizer), zstandard.ZstdCompressor(level=1)
         for batch in batches:
             counts, points, packed = [], [], []
             for text in batch.column("text"):
-                data = words.of(text.as_buffer().to_pybytes())
-                ids = np.frombuffer(data, words.kind)
+                data = pieces.of(text.as_buffer().to_pybytes().decode("utf-8", "replace"))
+                ids = np.frombuffer(data, pieces.kind)
                 counts.append(len(ids))
                 points.append(project(ids))
                 packed.append(squeeze.compress(data))
@@ -196,7 +210,7 @@ def pack(docs: DataFrame, length: int = 4096, tokenizer: str = "word_bpe_49k.jso
     stored = encoded(docs, tokenizer)
     total = stored.agg(F.sum("tokens")).first()[0] or 0
     tail = sequence_starts(total, length)
-    kind = word_ids(tokenizer).kind
+    kind = piece_ids(tokenizer).kind
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdDecompressor()
