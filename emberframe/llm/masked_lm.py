@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from emberframe.llm.common import parallelism, raw_text, slices
 
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 400_000
 PIECES = 16
 
 
@@ -56,7 +56,7 @@ class WordClasses(dict):
 
     def __missing__(self, word: bytes) -> bytes:
         h = word_hash(word)
-        packed = np.array([self.frequent.get(h, 1 + self.shape.frequent + h % self.shape.hashed)], "<u2").tobytes()
+        packed = self.frequent.get(h, 1 + self.shape.frequent + h % self.shape.hashed).to_bytes(2, "little")
         if len(word) <= 64:
             self[word] = packed
         return packed

@@ -23,7 +23,7 @@ from emberframe.llm.langid import remainder
 from emberframe.session import cut_lineage
 
 TOKENS = re.compile(r"\w+|[^\w\s]+")
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 400_000
 RANGE = 64  # rows of the vector table that travel together
 
 
@@ -51,7 +51,7 @@ class WordRows(dict):
 
     def __missing__(self, run: bytes) -> bytes:
         found = TOKENS.findall(run.decode("utf-8", "replace"))
-        rows = np.array([zlib.crc32(t.encode()) % self.words for t in found], "<u4").tobytes()
+        rows = b"".join([(zlib.crc32(t.encode()) % self.words).to_bytes(4, "little") for t in found])
         if len(run) <= 64:
             self[run] = rows
         return rows
