@@ -57,16 +57,19 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS)
     the rounds allow.
     """
     total = cells.agg(F.sum("t")).first()[0] or 0
-    shares = {m: cut_lineage(t.select(m, "share")) for m, t in targets.items()}
-    cells = cut_lineage(cells.withColumn("w", F.lit(1.0)))
-    names = cells.columns
+    names = [*targets, "t", "w"]
+    cells = cells.withColumn("w", F.lit(1.0))
+    for margin, target in targets.items():
+        cells = cells.join(target.select(margin, F.col("share").alias(f"share_{margin}")), margin, "left")
+    cells = cut_lineage(cells)
+    columns = cells.columns
     for _ in range(rounds):
-        for margin, share in shares.items():
-            sums = cells.groupBy(margin).agg(F.sum(F.col("t") * F.col("w")).alias("held")).join(share, margin, "left")
-            factor = F.when(F.col("held") > 0, F.coalesce("share", F.lit(0.0)) * F.lit(float(total)) / F.col("held")).otherwise(0.0)
-            cells = cells.join(sums.select(margin, factor.alias("factor")), margin).withColumn("w", F.col("w") * F.col("factor")).select(*names)
+        for margin in targets:
+            sums = cells.groupBy(margin).agg(F.sum(F.col("t") * F.col("w")).alias("held"))
+            factor = F.when(F.col("held") > 0, F.coalesce(f"share_{margin}", F.lit(0.0)) * F.lit(float(total)) / F.col("held")).otherwise(0.0)
+            cells = cells.join(sums, margin).withColumn("w", F.col("w") * factor).select(*columns)
         cells = cut_lineage(cells)
-    return cells
+    return cells.select(*names)
 
 
 def decide(docs: DataFrame, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS, seed: str = SEED) -> DataFrame:
