@@ -3,8 +3,8 @@
 Tokens are words in classes: the most frequent ones of the corpus by themselves, the others by a hash. A window network embeds
 the classes before and after a token, and a hidden layer predicts the token's group and then its class within the group, which
 is a proper distribution over all classes. It is trained in numpy by rounds of averaged descent: in each round every task takes the
-current network through its share of documents, a fixed part of the corpus chosen by hash, so what is learned from grows
-with the input; the tasks' networks are averaged by their number of tokens. Counting covers all documents, and so does scoring.
+current network through its share of documents, and the tasks' networks are averaged by their number of tokens. A hash deals the
+documents over the rounds, so each enters training once. Counting covers all documents, and so does scoring.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from emberframe.llm.common import parallelism, raw_text, slices
 
 CACHED_WORDS = 400_000
 PIECES = 16
+#: Batches grow with the tokens that a task has seen, up to so many times the first: large ones cost less a token.
+GROWTH, LARGEST = 64, 16
 
 
 @dataclass(frozen=True)
@@ -107,13 +109,18 @@ class Network:
         _, h, by_group = self.forward(context)
         group, member = target // self.shape.members, target % self.shape.members
         out = by_group[np.arange(len(target)), group]
-        for k, rows in _runs(group):
-            out[rows] += log_softmax(h[rows] @ m[k] + d[k])[np.arange(len(rows)), member[rows]]
+        order, runs = _runs(group)
+        h, member, inner = h[order], member[order], np.empty(len(target), np.float32)
+        for k, lo, hi in runs:
+            inner[lo:hi] = log_softmax(h[lo:hi] @ m[k] + d[k])[np.arange(hi - lo), member[lo:hi]]
+        out[order] += inner
         return out
 
     def learn(self, target: np.ndarray, context: np.ndarray, rate: float) -> None:
         """One step of descent on the mean loss of a batch."""
         e, w, b, g, c, m, d = self.weights
+        order, runs = _runs(target // self.shape.members)
+        target, context = target[order], context[order]
         x, h, by_group = self.forward(context)
         n, group, member = len(target), target // self.shape.members, target % self.shape.members
         error = np.exp(by_group)
@@ -121,17 +128,19 @@ class Network:
         back = error @ g.T
         g -= rate / n * (h.T @ error)
         c -= rate / n * error.sum(axis=0)
-        for k, rows in _runs(group):
-            inner = np.exp(log_softmax(h[rows] @ m[k] + d[k]))
-            inner[np.arange(len(rows)), member[rows]] -= 1
-            back[rows] += inner @ m[k].T
-            m[k] -= rate / n * (h[rows].T @ inner)
+        for k, lo, hi in runs:
+            inner = np.exp(log_softmax(h[lo:hi] @ m[k] + d[k]))
+            inner[np.arange(hi - lo), member[lo:hi]] -= 1
+            back[lo:hi] += inner @ m[k].T
+            m[k] -= rate / n * (h[lo:hi].T @ inner)
             d[k] -= rate / n * inner.sum(axis=0)
         back *= 1 - np.square(h)
-        far = (back @ w.T).reshape(len(target), context.shape[1], -1)
+        far = (back @ w.T).reshape(-1, e.shape[1])
         w -= rate / n * (x.T @ back)
         b -= rate / n * back.sum(axis=0)
-        np.subtract.at(e, context, rate / n * far)
+        near = context.ravel()
+        for k in range(e.shape[1]):
+            e[:, k] -= rate / n * np.bincount(near, far[:, k], len(e))
 
 
 def log_softmax(x: np.ndarray) -> np.ndarray:
@@ -139,12 +148,11 @@ def log_softmax(x: np.ndarray) -> np.ndarray:
     return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
 
 
-def _runs(group: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Rows of each group that occurs."""
-    order = np.argsort(group, kind="stable")
-    for rows in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
-        if len(rows):
-            yield int(group[rows[0]]), rows
+def _runs(group: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """An order that puts each group's rows together, and where those of each group that occurs then stand."""
+    order = np.argsort(group.astype(np.uint16), kind="stable")
+    ends = np.cumsum(np.bincount(group)).tolist()
+    return order, [(k, lo, hi) for k, (lo, hi) in enumerate(zip([0, *ends], ends)) if lo < hi]
 
 
 @dataclass
@@ -187,8 +195,11 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(run, "word long, times long").groupBy("word").agg(F.sum("times").alias("times"))
 
 
-def train(docs: DataFrame, shape: Shape = Shape(), rounds: int = 2, one_in: int = 16, batch: int = 256, rate: float = 2.0) -> Model:
-    """Counts all words, then `rounds` rounds, each over one in `one_in` documents chosen by hash."""
+def train(docs: DataFrame, shape: Shape = Shape(), rounds: int = 2, one_in: int | None = None, batch: int = 256, rate: float = 2.0) -> Model:
+    """Counts all words, then `rounds` rounds, each over one part of `one_in` by hash; every part has its turn (`rounds` parts if not given)."""
+    one_in = one_in or max(rounds, 1)
+    if rounds and one_in > rounds:
+        raise ValueError(f"{rounds} rounds over one document in {one_in} leave documents out")
     spark, texts = docs.sparkSession, raw_text(docs)
     counts = word_counts(texts)
     top = counts.orderBy(F.desc("times"), "word").limit(shape.frequent).collect()  # the shape's number of rows
@@ -199,7 +210,7 @@ def train(docs: DataFrame, shape: Shape = Shape(), rounds: int = 2, one_in: int
     times[1 + shape.frequent :] = (total - times.sum()) / shape.hashed
     model = Model(Network.start(shape, times), frequent)
     for turn in range(rounds):
-        chosen = texts.where(F.pmod(F.xxhash64(F.lit(turn), F.coalesce("doc_id", F.crc32("text"))), F.lit(one_in)) == 0)
+        chosen = texts.where(F.pmod(F.xxhash64(F.coalesce("doc_id", F.crc32("text"))), F.lit(one_in)) == turn % one_in)
         model = Model(_averaged(spark, chosen, model, batch, rate / (1 + turn)), frequent)
     return model
 
@@ -215,10 +226,11 @@ def _averaged(spark, texts: DataFrame, model: Model, batch: int, rate: float) ->
         draw = np.random.Generator(np.random.PCG64(7))
         for part in slices(batches, "text", 2 << 20):
             target, context, _ = net.windows([known.of(t.as_buffer().to_pybytes()) for t in part.column("text")])
-            order = draw.permutation(len(target))
-            for lo in range(0, len(order), batch):
-                rows = order[lo : lo + batch]
-                net.learn(target[rows], context[rows], rate * len(rows) / batch)
+            order, lo = draw.permutation(len(target)), 0
+            while lo < len(order):
+                rows = order[lo : lo + min(max(batch, (seen + lo) // GROWTH), LARGEST * batch)]
+                net.learn(target[rows], context[rows], rate * min(1, len(rows) / batch))
+                lo += len(rows)
             seen += len(target)
         flat = np.concatenate([w.ravel() for w in net.weights]).astype(np.float64) * seen
         pieces = np.array_split(flat, PIECES)
