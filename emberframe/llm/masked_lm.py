@@ -5,24 +5,33 @@ the classes before and after a token, and a hidden layer predicts the token's gr
 is a proper distribution over all classes. It is trained in numpy by rounds of averaged descent: in each round every task takes the
 current network through its share of documents, and the tasks' networks are averaged by their number of tokens. A hash deals the
 documents over the rounds, so each enters training once. Counting covers all documents, and so does scoring.
+
+What a document is scored by is its words: a word in a hashed class adds the share that its own count has in the class. Counts of all
+words are a table in the shared folder. Words that are at least one in `COMMON` tokens, so `COMMON` at most, are looked up in the
+tasks; a document's other words meet the table in a join, summed by document first. None of those is a hot key, being rarer.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from math import isqrt, log
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberframe.llm.common import parallelism, raw_text, slices
+from emberframe.session import cut_lineage
 
 CACHED_WORDS = 400_000
 PIECES = 16
+COMMON = 1 << 20
 #: Batches grow with the tokens that a task has seen, up to so many times the first: large ones cost less a token.
 GROWTH, LARGEST = 64, 16
 
@@ -44,29 +53,60 @@ class Shape:
     def members(self) -> int:
         return -(-self.classes // self.groups)
 
+    def grown(self, distinct: int) -> "Shape":
+        """For a corpus of so many distinct words: frequent ones grow with their root, groups with the root of the classes."""
+        larger = replace(self, frequent=max(self.frequent, 2 * isqrt(distinct)))
+        return replace(larger, groups=max(self.groups, isqrt(larger.classes)))
+
 
 def word_hash(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word.lower(), 6) >> 1
 
 
+#: A word's class, its own term in a hashed class, and its hash if that term lacks the word's count, else -1.
+CODE = np.dtype([("class", "<u4"), ("term", "<f4"), ("rare", "<i8")])
+
+
 class WordClasses(dict):
-    """The class of each word, as packed bytes."""
+    """The code of each word, as packed bytes."""
 
-    def __init__(self, shape: Shape, frequent: dict[int, int]):
+    def __init__(self, shape: Shape, frequent: dict[int, int], words: "Words | None" = None):
         super().__init__()
-        self.shape, self.frequent = shape, frequent
+        self.shape, self.frequent, self.words = shape, frequent, words
 
     def __missing__(self, word: bytes) -> bytes:
         h = word_hash(word)
-        packed = self.frequent.get(h, 1 + self.shape.frequent + h % self.shape.hashed).to_bytes(2, "little")
+        own, term, rare = self.frequent.get(h), 0.0, -1
+        if own is None:
+            own = 1 + self.shape.frequent + h % self.shape.hashed
+            if self.words:
+                times = self.words.times(h)
+                term, rare = log((times or 1) / (int(self.words.by_class[h % self.shape.hashed]) + 1)), -1 if times else h
+        packed = pack("<Ifq", own, term, rare)
         if len(word) <= 64:
             self[word] = packed
         return packed
 
-    def of(self, text: bytes) -> np.ndarray:
+    def codes(self, text: bytes) -> np.ndarray:
         if len(self) > CACHED_WORDS:
             self.clear()
-        return np.frombuffer(b"".join(map(self.__getitem__, text.split())), "<u2").astype(np.int64)
+        return np.frombuffer(b"".join(map(self.__getitem__, text.split())), CODE)
+
+    def of(self, text: bytes) -> np.ndarray:
+        return self.codes(text)["class"].astype(np.int64)
+
+
+@dataclass
+class Words:
+    """Counts of the common words, by sorted hash, and the tokens of each hashed class."""
+
+    common: np.ndarray
+    counts: np.ndarray
+    by_class: np.ndarray
+
+    def times(self, h: int) -> int:
+        k = int(np.searchsorted(self.common, h))
+        return int(self.counts[k]) if k < len(self.common) and self.common[k] == h else 0
 
 
 @dataclass
@@ -159,6 +199,7 @@ def _runs(group: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
 class Model:
     network: Network
     frequent: dict[int, int]
+    words: Words
 
 
 _CLASSES: dict[int, WordClasses] = {}
@@ -166,10 +207,10 @@ _CLASSES: dict[int, WordClasses] = {}
 
 def word_classes(model: Model) -> WordClasses:
     """The classes of a model, kept from task to task in a worker."""
-    key = hash((model.network.shape, tuple(model.frequent)))
+    key = hash((model.network.shape, tuple(model.frequent), model.words.common.tobytes(), model.words.counts.tobytes(), model.words.by_class.tobytes()))
     if key not in _CLASSES:
         _CLASSES.clear()
-        _CLASSES[key] = WordClasses(model.network.shape, model.frequent)
+        _CLASSES[key] = WordClasses(model.network.shape, model.frequent, model.words)
     return _CLASSES[key]
 
 
@@ -195,23 +236,36 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(run, "word long, times long").groupBy("word").agg(F.sum("times").alias("times"))
 
 
-def train(docs: DataFrame, shape: Shape = Shape(), rounds: int = 2, one_in: int | None = None, batch: int = 256, rate: float = 2.0) -> Model:
-    """Counts all words, then `rounds` rounds, each over one part of `one_in` by hash; every part has its turn (`rounds` parts if not given)."""
+def train(docs: DataFrame, shape: Shape | None = None, rounds: int = 2, one_in: int | None = None, batch: int = 256, rate: float = 2.0, counts: DataFrame | None = None) -> Model:
+    """Counts all words, then `rounds` rounds, each over one part of `one_in` by hash; every part has its turn (`rounds` parts if not given).
+
+    Without a shape, the usual one grown to the distinct words. `counts` are the documents' `word_counts`, if they are known.
+    """
     one_in = one_in or max(rounds, 1)
     if rounds and one_in > rounds:
         raise ValueError(f"{rounds} rounds over one document in {one_in} leave documents out")
     spark, texts = docs.sparkSession, raw_text(docs)
-    counts = word_counts(texts)
-    top = counts.orderBy(F.desc("times"), "word").limit(shape.frequent).collect()  # the shape's number of rows
-    total = counts.agg(F.sum("times")).first()[0] or 0
-    frequent = {r["word"]: 1 + k for k, r in enumerate(top)}
+    counts = cut_lineage(word_counts(texts)) if counts is None else counts
+    total, distinct = counts.agg(F.sum("times"), F.count("*")).first()
+    shape = shape or Shape().grown(distinct)
+    common = counts.where(F.col("times") * COMMON >= (total or 0)).toArrow()  # COMMON rows at most
+    word, often = (common.column(c).to_numpy() for c in ("word", "times"))
+    order = np.lexsort((word, -often))
+    word, often = word[order], often[order]
+    frequent = {int(h): 1 + k for k, h in enumerate(word[: shape.frequent])}
+    by_class = np.zeros(shape.hashed, np.int64)
+    for r in counts.groupBy((F.col("word") % shape.hashed).alias("k")).agg(F.sum("times").alias("times")).collect():  # the shape's number of rows
+        by_class[r["k"]] = r["times"]
+    np.subtract.at(by_class, word[: shape.frequent] % shape.hashed, often[: shape.frequent])
     times = np.zeros(shape.classes)
-    times[1 : 1 + len(top)] = [r["times"] for r in top]
-    times[1 + shape.frequent :] = (total - times.sum()) / shape.hashed
-    model = Model(Network.start(shape, times), frequent)
+    times[1 : 1 + len(frequent)] = often[: shape.frequent]
+    times[1 + shape.frequent :] = by_class
+    order = np.argsort(word)
+    words = Words(word[order], often[order], by_class)
+    model = Model(Network.start(shape, times), frequent, words)
     for turn in range(rounds):
         chosen = texts.where(F.pmod(F.xxhash64(F.coalesce("doc_id", F.crc32("text"))), F.lit(one_in)) == turn % one_in)
-        model = Model(_averaged(spark, chosen, model, batch, rate / (1 + turn)), frequent)
+        model = Model(_averaged(spark, chosen, model, batch, rate / (1 + turn)), frequent, words)
     return model
 
 
@@ -255,23 +309,60 @@ def _averaged(spark, texts: DataFrame, model: Model, batch: int, rate: float) ->
     return Network(model.network.shape, [p.reshape(w.shape) for p, w in zip(parts, model.network.weights)])
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, n_tokens, log_likelihood, mean_log_likelihood) of every row: natural logs, whole texts; no tokens give zeros."""
+def _scored(docs: DataFrame, model: Model) -> DataFrame:
+    """(row, doc_id, n_tokens, of_classes, of_words, rare, times) of every row.
+
+    `of_words` has all of the words' own terms but the logs of the counts of rare ones, which come with their times in the row. `row`
+    holds only in a copy, as tasks number their rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model, row = shared.value, TaskContext.get().partitionId() << 40
         net, known = model.network, word_classes(model)
         for part in slices(batches, "text", 1 << 18):
-            target, context, owner = net.windows([known.of(t.as_buffer().to_pybytes()) for t in part.column("text")])
+            codes = [known.codes(t.as_buffer().to_pybytes()) for t in part.column("text")]
+            target, context, owner = net.windows([c["class"].astype(np.int64) for c in codes])
+            flat = np.concatenate([np.empty(0, CODE), *codes])
             logs = np.concatenate([np.empty(0), *(net.log_probabilities(target[lo : lo + (1 << 15)], context[lo : lo + (1 << 15)]) for lo in range(0, len(target), 1 << 15))])
-            total = np.bincount(owner, logs, part.num_rows)
             count = np.bincount(owner, minlength=part.num_rows)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(count), pa.array(total), pa.array(total / np.maximum(count, 1))], names=["doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood"])
+            at = np.flatnonzero(flat["rare"] >= 0)
+            at = at[np.lexsort((flat["rare"][at], owner[at]))]
+            word, whose = flat["rare"][at], owner[at]
+            first = np.flatnonzero(np.r_[True, (word[1:] != word[:-1]) | (whose[1:] != whose[:-1])][: len(at)])
+            ends = np.searchsorted(whose[first], np.arange(part.num_rows + 1)).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (word[first], np.diff(np.r_[first, len(at)]))]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(row, row + part.num_rows)), part.column("doc_id"), pa.array(count), pa.array(np.bincount(owner, logs, part.num_rows)), pa.array(np.bincount(owner, flat["term"], part.num_rows)), *lists],
+                names=["row", "doc_id", "n_tokens", "of_classes", "of_words", "rare", "times"],
+            )
+            row += part.num_rows
+
+    return raw_text(docs).mapInArrow(run, "row long, doc_id long, n_tokens long, of_classes double, of_words double, rare array<long>, times array<long>")
+
+
+def _summed(scored: DataFrame, total) -> DataFrame:
+    return scored.select("doc_id", "n_tokens", total.alias("log_likelihood"), (total / F.greatest("n_tokens", F.lit(1))).alias("mean_log_likelihood"))
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, n_tokens, log_likelihood, mean_log_likelihood) of every row, of its tokens' classes alone: natural logs, whole texts; no tokens give zeros."""
+    return _summed(_scored(docs, model), F.col("of_classes"))
+
+
+def score_words(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
+    """The same of the words: a word of a hashed class adds log(times / (1 + tokens of the class)).
 
-    return raw_text(docs).mapInArrow(run, "doc_id long, n_tokens long, log_likelihood double, mean_log_likelihood double")
+    The one in the denominator is what all unseen words of a class share: such a word counts as one seen once.
+    """
+    scored = cut_lineage(_scored(docs, model))
+    rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("at")).select("row", F.col("at.rare").alias("word"), F.col("at.times").alias("n"))
+    logs = counts.where("times > 1").select("word", F.log("times").alias("log"))  # the log of one adds nothing
+    more = rare.join(logs, "word").groupBy("row").agg(F.sum(F.col("n") * F.col("log")).alias("more"))
+    return _summed(scored.drop("rare", "times").join(more, "row", "left"), F.col("of_classes") + F.col("of_words") + F.coalesce("more", F.lit(0.0)))
 
 
-def score_documents(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
-    """Trains on the documents and scores them all. Null and empty texts have no tokens; ids are not looked at but to choose."""
-    return score(docs, train(docs, shape))
+def score_documents(docs: DataFrame, shape: Shape | None = None) -> DataFrame:
+    """Trains on the documents and scores the words of them all. Null and empty texts have no tokens; ids are not looked at but to choose."""
+    counts = cut_lineage(word_counts(raw_text(docs)))
+    return score_words(docs, train(docs, shape, counts=counts), counts)

@@ -1,5 +1,6 @@
 """Operators do the whole job with the settings of production: nothing is sampled, cut or left uncounted."""
 
+import math
 from collections import Counter
 
 import pytest
@@ -27,3 +28,41 @@ def test_every_document_trains_once(docs, monkeypatch):
     assert seen == Counter((r[0], (r[1] or "").encode()) for r in ROWS)
     with pytest.raises(ValueError):
         masked_lm.train(docs, rounds=2, one_in=16)
+
+
+def test_words_are_scored_by_their_own_counts(spark, monkeypatch):
+    shape = masked_lm.Shape(frequent=3, hashed=2, groups=2, size=2, hidden=2)
+    rows = [(k, f"the of and the of and w{k % 7} w{k % 3} only{k}", "en", "s") for k in range(40)]
+    frame = brute.frame(spark, rows)
+    counts = Counter(w for r in rows for w in r[1].split())
+    asked = brute.frame(spark, [*rows, (100, "the w0 unseen", "en", "s"), (101, "w0 w0 w5 w0", "en", "s"), (None, None, "en", "s"), (102, "the w0 unseen", "en", "s")])
+    monkeypatch.setattr(masked_lm, "_averaged", lambda spark, texts, model, *_: model.network)
+    for common in (1 << 20, 10):  # all words looked up in tasks, or nearly all of them joined
+        monkeypatch.setattr(masked_lm, "COMMON", common)
+        model = masked_lm.train(frame, shape)
+        assert len(model.frequent) == 3
+        held = Counter()
+        for w, n in counts.items():
+            if masked_lm.word_hash(w.encode()) not in model.frequent:
+                held[masked_lm.word_hash(w.encode()) % 2] += n
+
+        def term(word):
+            h = masked_lm.word_hash(word.encode())
+            return 0.0 if h in model.frequent else math.log(counts[word] or 1) - math.log(held[h % 2] + 1)
+
+        table = masked_lm.word_counts(masked_lm.raw_text(frame))
+        classes = {r.doc_id: r.log_likelihood for r in masked_lm.score(asked, model).collect()}
+        found = masked_lm.score_words(asked, model, table).collect()
+        assert len(found) == 44
+        texts = {r.doc_id: r.text or "" for r in asked.collect()}
+        for r in found:
+            own = texts[r.doc_id].split()
+            assert r.n_tokens == len(own)
+            wanted = classes[r.doc_id] + sum(map(term, own))
+            assert abs(r.log_likelihood - wanted) < 1e-4 and abs(r.mean_log_likelihood - wanted / max(1, len(own))) < 1e-4
+    assert sum(math.exp(term(w)) for w in counts if 0 < len(w) and term(w)) + sum(1 / (n + 1) for n in held.values()) == pytest.approx(2)
+
+
+def test_frequent_words_grow_with_the_distinct_ones():
+    small, large = (masked_lm.Shape().grown(n) for n in (1000, 10_000_000))
+    assert small == masked_lm.Shape() and large.frequent > 6000 and large.groups > 64
