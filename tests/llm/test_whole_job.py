@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 
 import brute
+import corpus_pipeline
 from emberframe.llm import masked_lm
 
 ROWS = brute.awkward()
@@ -66,3 +67,16 @@ def test_words_are_scored_by_their_own_counts(spark, monkeypatch):
 def test_frequent_words_grow_with_the_distinct_ones():
     small, large = (masked_lm.Shape().grown(n) for n in (1000, 10_000_000))
     assert small == masked_lm.Shape() and large.frequent > 6000 and large.groups > 64
+
+
+def test_near_copies_of_the_pipeline_are_alike_to_four_fifths(spark):
+    words = lambda k: [f"w{k}x{j}" for j in range(300)]
+    rows = []
+    for k in range(30):
+        own = words(k)
+        rows.append((10 * k, " ".join(own), "en", "s"))
+        for n, edits in ((1, 4), (2, 5), (3, 12)):  # likeness 0.87, 0.84 and 0.66
+            rows.append((10 * k + n, " ".join("new" + w if j % (300 // edits) == 10 else w for j, w in enumerate(own)), "en", "s"))
+    rows += [(1000, None, "en", "s"), (1001, "", "en", "s"), (1002, "few words", "en", "s"), (1003, "FEW  words", "en", "s"), (None, "few words", "en", "s")]
+    kept = corpus_pipeline.drop_near_duplicates(spark, brute.frame(spark, rows), "").collect()
+    assert Counter(r.doc_id for r in kept) == Counter([*(10 * k + n for k in range(30) for n in (0, 3)), 1000, 1002, None])
