@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberframe.llm import attribution, langid, masked_lm, mixing, packing, pivots, quality, repeats, simhash, trie_join
+from emberframe.llm import attribution, counterfactual, hyperplane_tree, langid, masked_lm, mixing, packing, pivots, quality, repeats, reversed_search, simhash, trie_join
 from emberframe.llm.common import table
 from emberframe.session import cut_lineage
 
@@ -56,11 +56,25 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counterfactual.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reversed_search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hyperplane_tree.hard_negatives(vectors.withColumn("label", noisy), F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_mixing, op2_token_counts, op3_language_id, op4_packing, op5_substring_dedup, op6_lm_scoring, op7_simhash_dedup, op8_fingerprints,
-        op9_topk_search, op10_quality,
+        op9_topk_search, op10_quality, op11_toxicity, op12_lexical_search, op13_hard_negatives,
     )
 }
 SQL: dict[str, str] = {
@@ -97,4 +111,21 @@ SQL: dict[str, str] = {
         )
         select * from ranked where rank <= 10
     """,
+    "op12_lexical_search": reversed_search.SQL,
+    "op13_hard_negatives": """
+        with usable as (
+            select row_number() over () as r, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+                list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
+            where embedding is not null and label is not null and vec_id is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+        ), scored as (
+            select a.r, a.vec_id as anchor_id, c.vec_id, a.label = c.label as same, list_dot_product(a.v, c.v)::bigint as score
+            from usable a join usable c on a.vec_id % 100 = 0 and c.vec_id <> a.vec_id and len(a.v) = len(c.v)
+        ), positives as (
+            select r, anchor_id, vec_id as positive_id, score as positive_score, row_number() over (partition by r order by score desc, vec_id) as nth from scored where same
+        ), negatives as (
+            select p.*, n.vec_id as negative_id, n.score as negative_score, row_number() over (partition by p.r, nth order by n.score desc, n.vec_id) as rank
+            from positives p join scored n on p.r = n.r and nth <= 5 and not n.same and 80 * positive_score <= 100 * n.score and n.score <= positive_score
+        )
+        select anchor_id, positive_id, rank::int as rank, negative_id, positive_score, negative_score from negatives where rank <= 5
+    """,
 }
