@@ -144,7 +144,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, learn: Column, target: s
     known = cut_lineage(texts.select("doc_id", "h").distinct().join(marked, "doc_id"))
     unit = F.pmod(F.xxhash64(F.lit("sample"), "doc_id", "h"), F.lit(1 << 30)) / float(1 << 30)
     picked = known.where(unit < most / max(known.count(), 1))  # about `most` rows
-    return cut_lineage(texts.join(picked.select("doc_id", "h").distinct(), ["doc_id", "h"], "left_semi").dropDuplicates(["doc_id", "h"]).join(picked, ["doc_id", "h"]).select("doc_id", "y", "text"))
+    return cut_lineage(texts.join(F.broadcast(picked.select("doc_id", "h").distinct()), ["doc_id", "h"], "left_semi").dropDuplicates(["doc_id", "h"]).join(picked, ["doc_id", "h"]).select("doc_id", "y", "text"))
 
 
 def telling_features(sample: DataFrame, most: int, least: int = 3, telling: float = 3.3) -> list[int]:

@@ -16,11 +16,13 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberframe.llm.common import lean_batches
 from emberframe.llm.repeats import mix
+from emberframe.session import cut_lineage
 
 UNKNOWN = "und"  # fixed value: ISO code of an undetermined language
 MASK_BITS = 63
@@ -74,6 +76,7 @@ class Model:
     masks: np.ndarray  # (words of MASK_BITS languages, slots)
     n: int
     probes: int
+    expected: np.ndarray | None = None  # coverage of an unseen text of each language, where it was asked for
 
     @property
     def false_rates(self) -> np.ndarray:
@@ -110,12 +113,13 @@ def _texts(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[tuple[int, li
         yield at, texts
 
 
-def fit(docs: DataFrame, learn: Column, n: int = 4, size: int = 1 << 20, probes: int = 3, per_language: int = 2000, share: float = 0.2, least: int = 2, most_languages: int = 2048) -> Model:
+def fit(docs: DataFrame, learn: Column, n: int = 4, size: int = 1 << 20, probes: int = 3, per_language: int = 2000, share: float = 0.2, least: int = 2, most_languages: int = 2048, estimate: bool = False) -> Model:
     """Profiles from documents where `learn` holds and lang is not null.
 
     `per_language` bounds the sample: of a language with more documents, each is taken with that probability by a hash of its
     id, so that about that many are read. The filter's size is a parameter too, and so is the number of languages, of which those with
-    the most documents are learned. Without any labelled text there are no languages.
+    the most documents are learned. Without any labelled text there are no languages. `estimate` asks for the coverage that each
+    profile should have of a text it has not seen: the share of n-grams whose other occurrences would still be in the profile.
     """
     lean_batches(docs.sparkSession)
     labelled = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), learn.alias("learn")).where("learn and lang is not null")
@@ -139,8 +143,12 @@ def fit(docs: DataFrame, learn: Column, n: int = 4, size: int = 1 << 20, probes:
                     yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(np.full(len(gram), code, np.int32)), pa.array(times)], names=["gram", "lang", "times"])
 
     counts = sample.mapInArrow(count, "gram long, lang int, times long").groupBy("gram", "lang").agg(F.sum("times").alias("times"))
-    totals = counts.groupBy("lang").agg(F.sum("times").alias("total"))
-    rates = counts.join(F.broadcast(totals), "lang").select("gram", "lang", "times", (F.col("times") / F.col("total")).alias("rate"))
+    counts = cut_lineage(counts) if estimate else counts
+    totals = counts.groupBy("lang").agg(F.sum("times").alias("total"), F.sum(F.when(F.col("times") > least, F.col("times")).otherwise(0)).alias("again"))
+    expected = np.zeros(len(languages))
+    for r in totals.collect() if estimate else ():  # one row a language
+        expected[r["lang"]] = r["again"] / r["total"]
+    rates = counts.join(F.broadcast(totals.drop("again")), "lang").select("gram", "lang", "times", (F.col("times") / F.col("total")).alias("rate"))
     uses = rates.groupBy("gram").agg(F.max("rate").alias("top"), F.collect_list(F.struct("lang", "times", "rate")).alias("uses"))  # one entry a language
     kept = uses.select("gram", "top", F.explode("uses").alias("u")).where((F.col("u.rate") >= share * F.col("top")) & (F.col("u.times") >= least))
     bits = kept.groupBy("gram", (F.col("u.lang") / MASK_BITS).cast("int").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("u.lang") % MASK_BITS)).alias("mask"))
@@ -153,7 +161,7 @@ def fit(docs: DataFrame, learn: Column, n: int = 4, size: int = 1 << 20, probes:
     filled = bits.mapInArrow(place, "slot long, word int, mask long").groupBy("slot", "word").agg(F.bit_or("mask").alias("mask")).toPandas()  # at most `size` rows a word
     masks = np.zeros(((len(languages) - 1) // MASK_BITS + 1, size), np.uint64)
     masks[filled["word"], filled["slot"]] = filled["mask"].to_numpy().view(np.uint64)
-    return Model(languages, masks, n, probes)
+    return Model(languages, masks, n, probes, expected if estimate else None)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -200,9 +208,28 @@ def identify(docs: DataFrame, folds: int = 3, fold: int = 1) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, least_coverage: float = 0.3) -> DataFrame:
-    """The documents whose language is told: not `und`, and known to the language's profile for `least_coverage` of the text.
+    """The documents whose language is told: not `und`, and known to the language's profile for a share of the text.
 
-    Rows with null doc_id can't be matched with their prediction and stay.
+    The share is `least_coverage` of what the profile should hold of a text it has not seen, so small profiles of rare languages ask
+    for less. All labelled documents teach, each row is judged on its own, ids play no part, and a null lang becomes the language told.
     """
-    told = identify(docs).where((F.col("lang_pred") != UNKNOWN) & (F.col("coverage") >= least_coverage)).select("doc_id").distinct()
-    return docs.join(told, "doc_id", "left_semi").union(docs.where("doc_id is null"))
+    model = fit(docs, F.lit(True), estimate=True)
+    if not model.languages:
+        return docs.where("false")
+    shared, names = docs.sparkSession.sparkContext.broadcast(model), docs.columns
+    typed = docs.select(*(docs[c].cast("string").alias(c) if c in ("text", "lang") else docs[c] for c in names))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        told = np.array(model.languages, object)
+        for batch in batches:
+            for at, texts in _texts(batch):
+                part = batch.slice(at, len(texts))
+                rates, letters = model.rates(texts)
+                best = rates.argmax(axis=1)
+                keep = (letters > 0) & (rates.max(axis=1) >= np.maximum(least_coverage * model.expected[best], 1e-9))
+                lang = pc.coalesce(part.column("lang"), pa.array(told[best], part.column("lang").type))
+                yield part.set_column(part.schema.get_field_index("lang"), "lang", lang).filter(pa.array(keep))
+
+    kept = typed.mapInArrow(run, typed.schema)
+    return kept.select(*(kept[f.name].cast(f.dataType).alias(f.name) if f.name in ("text", "lang") else kept[f.name] for f in docs.schema))
