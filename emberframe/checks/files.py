@@ -118,10 +118,10 @@ def _(spark, sf):
 
 @add("s10_detection_csv", px_sql(f"""
     select {srd('lat', 2)} latitude, {srd('lon', 2)} longitude, {srd('bt7', 2)} bright_ti4, {srd('value', 2)} frp, case when value > 200 then 'h' else 'n' end confidence,
-      cast(event_id % 2400 // 100 * 100 + event_id % 60 as int) acq_time from px where value > 150"""))
+      cast(event_id % 2400 // 100 * 100 + event_id % 60 as int) acq_time from px"""))
 def _(spark, sf):
     path = new_path(spark, "detections")
-    px = views.pixels(spark, sf).where("value > 150")
+    px = views.pixels(spark, sf)
     empty = lambda kind: F.lit(None).cast(kind)
     px.select(
         F.col("lat").alias("latitude"), F.col("lon").alias("longitude"), F.col("bt7").alias("bright_ti4"), empty("double").alias("scan"), empty("double").alias("track"),

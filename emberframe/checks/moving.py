@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from emberframe.checks.common import Book, px_sql
+from emberframe.checks.oracle import upto
 from emberframe.operators import matching, temporal
 from emberframe.session import new_path
-from emberframe.sources import views
+from emberframe.sources import scenes, views
 from emberframe.streaming import fire_state, windows
 
 BOOK = Book.empty()
@@ -96,6 +97,73 @@ def _(spark, sf):
     return found.select("region", "i", "j", "scene_epoch", "final_code")
 
 
+BANDS = {
+    "B02": ["refl2"], "B07": ["bt7", "rad7"], "B13": ["bt13", "rad13"], "B14": ["bt14", "rad14"], "B15": ["bt15"],
+    "ground": ["scene", "event_id", "value", "sza", "lza", "glint", "azimuth", "tpw", "emiss7", "emiss14", "eco_byte", "land", "in_roi", "fpt", "lat", "lon", "area_km2", "ref_code",
+               *[f"{c}_{b}" for b in (7, 14, 13) for c in ("fk1", "fk2", "bc1", "bc2")]],
+}
+CLOSING_EPOCH = 4_102_444_800
+
+
+def scene_store(spark, sf):
+    """All scenes of the pixel view, every band of every scene in two parts written by two jobs, announced in one go, and their columns."""
+    px, root = views.scene_pixels(spark, sf), new_path(spark, "scenes")
+    for half in (0, 1):
+        scenes.write_bands(px.where(F.col("event_id") % 2 == half), root, f"half-{half}", BANDS)
+    scenes.announce(root, "00000000000000000001", ["half-0", "half-1"])
+    kinds = {f.name: f.dataType.simpleString() for f in px.schema}
+    return root, ", ".join(f"{c} {kinds[c]}" for names in BANDS.values() for c in names)
+
+
+@add("s1_scene_source", px_sql("select region, scene_epoch, i, j, event_id, round(bt7 + 1.7e-9, 4) bt7, round(rad14 + 1.7e-9, 4) rad14 from px where region = 'r0' and scene_epoch >= 1704067200 and scene_epoch < 1704067200 + 900 and bt7 is not null and bt14 is not null"))
+def _(spark, sf):
+    root, columns = scene_store(spark, sf)
+    rows = scenes.read_scenes(spark, root, columns, regions=["r0"], bands=["B07", "B14", "ground"], start=1704067200, end=1704067200 + 900)
+    return scenes.assemble(rows, ["B07", "B14"]).select("region", "scene_epoch", "i", "j", "event_id", F.round(F.col("bt7") + 1.7e-9, 4).alias("bt7"), F.round(F.col("rad14") + 1.7e-9, 4).alias("rad14"))
+
+
+@add("t7_detect_stream", upto("fin", "select region, i, j, cast(1704067200 + scene * 600 as bigint) scene_epoch, final_code from fin where confirmed"))
+def _(spark, sf):
+    """Scenes in split files to confirmed fires to final codes: two streams, the second over what the first announces."""
+    root, columns = scene_store(spark, sf)
+    fires_at, out = new_path(spark, "stream-fires"), new_path(spark, "stream-codes")
+    fire_state.detect_stream(scenes.stream_scenes(spark, root, columns), views.lut(spark), fires_at, new_path(spark, "detect-progress"), bands=["ground"]).awaitTermination()
+    # a scene far ahead lets the watermark pass all others, and one more lets the stream see it
+    progress = new_path(spark, "codes-progress")
+    for epoch in (None, CLOSING_EPOCH, CLOSING_EPOCH + 600):
+        if epoch:
+            closing = spark.createDataFrame([("closing", epoch, "fires", -9, -9, 10)], f"{scenes.KEY_SCHEMA}, category int")
+            closing.write.partitionBy("region", "scene_epoch", "band").parquet(f"{fires_at}/closing-{epoch}")
+            scenes.announce(fires_at, f"closing-{epoch}", [f"closing-{epoch}"])
+        found = scenes.stream_scenes(spark, fires_at, fire_state.FIRES).select("region", "i", "j", "scene_epoch", "category")
+        fire_state.to_table(fire_state.temporal_stream(found), out, progress)
+    codes = spark.read.schema(T.StructType.fromDDL(fire_state.OUT)).parquet(out).where("region <> 'closing'")
+    return codes.select("region", "i", "j", "scene_epoch", "final_code")
+
+
+def fire_stream(spark, sf):
+    """Fires of the pixel view as a stream of timed rows, and a last row far ahead that closes it."""
+    folder = new_path(spark, "fires-in")
+    rows = fires(spark, sf).select("region", "i", "j", "scene_epoch", F.timestamp_seconds("scene_epoch").alias("ts"))
+    rows.write.parquet(folder)
+    stream = lambda: spark.readStream.schema(rows.schema).parquet(folder).withWatermark("ts", "12 hours")
+
+    def close():
+        spark.createDataFrame([("closing", -9, -9, CLOSING_EPOCH)], "region string, i int, j int, scene_epoch bigint").withColumn("ts", F.timestamp_seconds("scene_epoch")).write.mode("append").parquet(folder)
+
+    return stream, close
+
+
+def closed_windows(spark, sf, name, over):
+    """The windows that `over` makes of the fire stream, each written once when the watermark has passed it."""
+    stream, close = fire_stream(spark, sf)
+    out, progress = new_path(spark, name), new_path(spark, f"{name}-progress")
+    fire_state.to_table(over(stream()), out, progress)
+    close()
+    fire_state.to_table(over(stream()), out, progress)
+    return windows.bounds(spark.read.parquet(out)).where("region <> 'closing'")
+
+
 @add("t8_tumbling_windows", "select floor(epoch(ts))::bigint // 600 * 600 from_epoch, floor(epoch(ts))::bigint // 600 * 600 + 600 to_epoch, event_type, count(*) n from events group by all")
 def _(spark, sf):
     out = new_path(spark, "tumbling")
@@ -104,19 +172,21 @@ def _(spark, sf):
     return windows.bounds(spark.read.parquet(out))
 
 
-@add("t8_sliding_windows", """
-    select s from_epoch, s + 43200 to_epoch, event_type, count(*) n from (select event_type, unnest(generate_series(floor(epoch(ts))::bigint // 3600 * 3600 - 11 * 3600, floor(epoch(ts))::bigint // 3600 * 3600, 3600)) s from events) group by all""")
+@add("t8_sliding_windows", px_sql(f"""
+    , {_FIRES_SQL} select s from_epoch, s + 43200 to_epoch, region, i, j, count(*) n from (
+      select region, i, j, unnest(generate_series((scene_epoch // 600 - 71) * 600, scene_epoch // 600 * 600, 600)) s from fires) group by all"""))
 def _(spark, sf):
-    return windows.bounds(windows.sliding(views.events(spark, sf), "event_type", step="1 hour"))
+    """Fires of each pixel in 12 hours, every 10 minutes, as a stream."""
+    return closed_windows(spark, sf, "sliding", lambda f: windows.sliding(f, "region", "i", "j"))
 
 
-@add("t8_fire_episodes", """
-    select floor(epoch(ts))::bigint from_epoch, n, user_id from (select user_id, min(ts) ts, count(*) n from (select *, sum(brk) over (partition by user_id order by ts) g from
-      (select *, case when ts - lag(ts) over (partition by user_id order by ts) <= interval 6 hours then 0 else 1 end brk from events)) group by user_id, g)""")
+@add("t8_fire_episodes", px_sql(f"""
+    , {_FIRES_SQL} select min(scene_epoch) from_epoch, max(scene_epoch) + 30000 to_epoch, region, i, j, count(*) n from (
+      select *, sum(case when scene_epoch - before < 30000 then 0 else 1 end) over (partition by region, i, j order by scene_epoch) g from (
+        select *, lag(scene_epoch) over (partition by region, i, j order by scene_epoch) before from fires)) group by region, i, j, g"""))
 def _(spark, sf):
-    # A window ends one gap after its last event, so an event exactly one gap later opens a new one; the data has none.
-    table = windows.bounds(windows.episodes(views.events(spark, sf), "user_id", gap="6 hours"))
-    return table.select("from_epoch", "user_id", "n")
+    """Episodes of each pixel: fires less than 30,000 s apart, as a stream."""
+    return closed_windows(spark, sf, "episodes", lambda f: windows.episodes(f, "region", "i", "j", gap="30000 seconds"))
 
 
 @add("t9_previous_scenes", """

@@ -182,11 +182,12 @@ def _(spark, sf):
 
 
 @add("e15_scene_discovery", """
-    with inv as (select distinct event_type product, epoch(date_trunc('hour', ts))::bigint scene from events where value > 10)
+    with inv as (select distinct event_type product, user_id * 10 + floor(epoch(ts))::bigint // 604800 % 10 scene from events)
     select scene from inv group by scene having count(*) = (select count(distinct event_type) from events)""")
 def _(spark, sf):
-    ev = views.events(spark, sf).select(F.col("event_type").alias("product"), F.unix_timestamp(F.date_trunc("hour", "ts")).alias("scene"), "value")
-    return audit.discover(ev.where("value > 10"), ev.select("product"))
+    """A user's events of a week as the inventory of a scene: a product is absent where there is no event of its type."""
+    ev = views.events(spark, sf).select(F.col("event_type").alias("product"), F.expr("user_id * 10 + unix_timestamp(ts) div 604800 % 10").alias("scene"))
+    return audit.discover(ev, ev.select("product"))
 
 
 @add("e17_padded_comparison", upto("mask", f"""

@@ -80,12 +80,16 @@ def _(spark, sf):
 
 
 @add("i5_same_missing_set", """
-    with g as (select distinct concat(event_type, '-', user_id % 3) product, floor(epoch(ts))::bigint // 604800 slot from events where value > 250)
+    with e as (select concat(event_type, '-', user_id) product, floor(epoch(ts))::bigint // 259200 slot from events),
+    g as (select product, slot from (select distinct product from e), (select distinct slot from e) except select product, slot from e)
     select n_missing, string_agg(product, ',' order by product) products from (select product, count(*) n_missing, list(slot order by slot) s from g group by product) group by s, n_missing""")
 def _(spark, sf):
-    ev = views.events(spark, sf).where("value > 250")
-    gaps = ev.select(F.expr("concat(event_type, '-', user_id % 3)").alias("product"), F.floor(F.unix_timestamp("ts") / 604800).alias("slot")).distinct()
-    return inventory.same_missing_set(gaps)
+    """Products are a user's events of one type, slots three days; a slot without such an event is missing."""
+    seen = views.events(spark, sf).select(F.expr("concat(event_type, '-', user_id)").alias("product"), F.floor(F.unix_timestamp("ts") / 259200).alias("slot")).distinct()
+    # every slot there is, dealt to the products by the few slots there are
+    slots = seen.select("slot").distinct().agg(F.collect_list("slot").alias("slots"))
+    wanted = seen.select("product").distinct().join(F.broadcast(slots)).select("product", F.explode("slots").alias("slot"))
+    return inventory.same_missing_set(inventory.missing(wanted, seen))
 
 
 _RESULTS = """

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -13,6 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from emberframe import codes as k
 from emberframe.operators import confirm
 from emberframe.plans import detect
+from emberframe.sources import scenes
 
 OUT = "region string, i int, j int, scene_epoch bigint, category int, last_fire bigint, final_code int"
 STATE = "fires array<bigint>, epochs array<bigint>, categories array<int>"
@@ -71,19 +72,27 @@ def temporal_stream(confirmed: DataFrame, lookback: int = k.LOOKBACK_SECONDS, la
     )
 
 
-def detect_stream(pixels: DataFrame, lut: DataFrame, out: str, checkpoint: str, policy: str = "atbd") -> StreamingQuery:
-    """Scenes in, confirmed candidates out: the batch detector runs on each micro-batch of whole scenes.
+def detect_stream(pixels: DataFrame, lut: DataFrame, out: str, checkpoint: str, policy: str = "atbd", bands: Sequence[str] | None = None) -> StreamingQuery:
+    """Scenes in, confirmed candidates out: the batch detector runs on each micro-batch, which must hold whole scenes.
 
-    A batch that is retried overwrites its own folder, so the sink holds each scene once.
+    `scenes.stream_scenes` gives such batches; its rows are of single bands, and `bands` names those that a pixel must have. The sink is
+    a scene store again, announced batch by batch: a batch that is retried replaces its own files and marker, so each scene is there once.
     """
 
     def one_batch(batch: DataFrame, number: int) -> None:
-        found = confirm.confirm(detect.part_one(batch, lut).where("candidate"), policy).where("confirmed")
-        found.select(*detect.KEY, "category", "flag", "final_area", "final_frp").write.mode("overwrite").parquet(f"{out}/batch={number}")
+        px = batch if bands is None else scenes.assemble(batch, bands)
+        found = confirm.confirm(detect.part_one(px, lut).where("candidate"), policy).where("confirmed")
+        part = f"batch-{number:020d}"
+        rows = found.select(*detect.KEY, F.lit("fires").alias("band"), "category", "flag", "final_area", "final_frp")
+        rows.write.mode("overwrite").partitionBy("region", "scene_epoch", "band").parquet(f"{out}/{part}")
+        scenes.announce(out, part, [part])
 
     return pixels.writeStream.foreachBatch(one_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+FIRES = "scene int, category int, flag int, final_area double, final_frp double"
+
+
 def to_table(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") -> None:
     """Run what is available into a parquet folder and wait."""
     query = stream.writeStream.format("parquet").outputMode(mode).option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -3,6 +3,7 @@
 
 from emberframe.operators import temporal
 from emberframe.session import new_path
+from emberframe.sources import scenes
 from emberframe.streaming import fire_state
 
 T0 = 1704067200
@@ -70,3 +71,55 @@ def test_detection_on_a_stream_of_scenes(spark):
     fire_state.detect_stream(pixels, mild_lut(spark), out, new_path(spark, "progress")).awaitTermination()
     found = spark.read.parquet(out).collect()
     assert [(r.i, r.j) for r in found] == [(20, 20)]
+
+
+def test_a_scene_in_two_files_is_detected_whole(spark):
+    from test_physics import mild_lut, scene
+
+    px, root = scene(spark, fire=(20, 20)), new_path(spark, "store")
+    bands = {"B07": ["bt7", "rad7"], "B14": ["bt14", "rad14"], "ground": [c for c in px.columns if c not in ("region", "scene_epoch", "i", "j", "bt7", "rad7", "bt14", "rad14")]}
+    columns = ", ".join(f"{c} {px.schema[c].dataType.simpleString()}" for names in bands.values() for c in names)
+    out, progress = new_path(spark, "fires"), new_path(spark, "progress")
+
+    def run():
+        fire_state.detect_stream(scenes.stream_scenes(spark, root, columns), mild_lut(spark), out, progress, bands=["ground"]).awaitTermination()
+        return [(r.region, r.i, r.j) for r in scenes.read_scenes(spark, out, fire_state.FIRES).collect()]
+
+    # the upper half alone has another background; nothing is seen until the whole scene is announced
+    scenes.write_bands(px.where("i < 21"), root, "first", bands)
+    assert run() == []
+    scenes.write_bands(px.where("i >= 21"), root, "second", bands)
+    assert run() == [] and scenes.announce(root, "1", ["first", "second"], ["B07", "B14"]) == []
+    assert run() == [("r", 20, 20)]
+    assert run() == [("r", 20, 20)]
+
+
+def test_only_parts_within_the_bounds_are_planned(spark):
+    rows = [(r, T0 + 600 * s, i, 0, float(i), None if s == 2 else 1.0) for r in ("north/1", "south") for s in range(3) for i in range(4)]
+    px, root = spark.createDataFrame(rows, "region string, scene_epoch bigint, i int, j int, a double, b double"), new_path(spark, "store")
+    scenes.write_bands(px, root, "p", {"A": ["a"], "B": ["b"]})
+    assert scenes.read_scenes(spark, root, "a double").count() == 0
+    # the scenes without band B stay out
+    assert sorted(scenes.announce(root, "1", ["p"], ["A", "B"])) == [("north/1", T0 + 1200), ("south", T0 + 1200)]
+    everything = scenes.read_scenes(spark, root, "a double, b double")
+    some = scenes.read_scenes(spark, root, "a double, b double", regions=["north/1"], start=T0 + 600, bands=["A"])
+    assert everything.rdd.getNumPartitions() == 8 and some.rdd.getNumPartitions() == 1
+    assert some.count() == 4 and everything.count() == 32 and {r.region for r in some.collect()} == {"north/1"}
+    pixels = scenes.assemble(everything, ["A", "B"])
+    want = px.where("b is not null").select(pixels.columns)
+    assert pixels.exceptAll(want).count() == 0 and want.exceptAll(pixels).count() == 0
+
+
+def test_late_fires_of_windows_are_dropped(spark):
+    from pyspark.sql import functions as F
+
+    from emberframe.streaming import windows
+
+    folder, out, progress = new_path(spark, "in"), new_path(spark, "out"), new_path(spark, "progress")
+    schema = "region string, i int, j int, scene_epoch bigint"
+    for number, epoch in enumerate((T0, T0 + 300, T0 + 86400, T0, T0 + 10**7)):  # the second T0 is a day late
+        spark.createDataFrame([("r", 1, 1, epoch)], schema).coalesce(1).write.mode("append").parquet(f"{folder}/{number}")
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(folder).withColumn("ts", F.timestamp_seconds("scene_epoch")).withWatermark("ts", "1 hour")
+        fire_state.to_table(windows.sliding(stream, "region", "i", "j"), out, progress)
+    found = {(r.from_epoch - T0, r.n) for r in windows.bounds(spark.read.parquet(out)).collect()}
+    assert found == {(600 * k - 43200 + 600, 2) for k in range(72)} | {(600 * k + 43200 + 600, 1) for k in range(72)}
