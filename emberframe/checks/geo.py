@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from emberframe.checks.common import Book, px_sql, rd, rds, srd, srds
+from emberframe.checks.common import Book, product, px_sql, rd, rds, srd, srds
 from emberframe.checks.oracle import upto
 from emberframe.functions import sky
 from emberframe.functions.nulls import recover_unsigned
@@ -225,18 +225,19 @@ def departments(spark, sf):
 
 
 def inside(spark, sf):
-    return ancillary.in_polygons(views.pixels(spark, sf).select(F.col("event_id").alias("key"), "lat", "lon"), departments(spark, sf))
+    """Shapes of every pixel of a region: static, so found once and kept."""
+    return product(spark, sf, "departments", lambda: ancillary.in_cells(views.region_geometry(spark, sf), ancillary.polygon_cells(departments(spark, sf))))
 
 
 @add("g15_polygon_mask", px_sql(f", {_EDGES} select event_id, shape from hits"))
 def _(spark, sf):
-    return inside(spark, sf).select(F.col("key").alias("event_id"), "shape")
+    return views.pixels(spark, sf).select("region", "i", "j", "event_id").join(inside(spark, sf), ["region", "i", "j"]).select("event_id", "shape")
 
 
 @add("i12_fires_by_department", px_sql(f", {_EDGES} select shape, count(*) n from hits join px using (event_id) where value > 150 group by shape"))
 def _(spark, sf):
-    fires = views.pixels(spark, sf).where("value > 150").select(F.col("event_id").alias("key"), "lat", "lon")
-    return ancillary.in_polygons(fires, departments(spark, sf)).groupBy("shape").agg(F.count("*").alias("n")).orderBy(F.desc("n"))
+    fires = views.pixels(spark, sf).where("value > 150").select("region", "i", "j")
+    return fires.join(inside(spark, sf), ["region", "i", "j"]).groupBy("shape").agg(F.count("*").alias("n")).orderBy(F.desc("n"))
 
 
 @add("g16_surface_masks", px_sql("""

@@ -140,18 +140,55 @@ def polygon_edges(vertices: DataFrame) -> DataFrame:
     )
 
 
-def in_polygons(points: DataFrame, edges: DataFrame, band: float = 0.1) -> DataFrame:
-    """(point key, shape) for each point inside a shape, by the even-odd rule.
+def polygon_cells(edges: DataFrame, cell: float = 0.1) -> DataFrame:
+    """The grid cells (row, col) that a shape covers: (shape, odd, edges).
 
-    Points meet only the edges of their own latitude band: an equi-join, not points times edges. `points` has key, lat, lon.
+    `edges` are those that pass through the cell, so cells wholly inside have none; `odd` tells whether the cell's lower right corner
+    lies inside. An edge is cut by rows and then spread over the columns of its piece, so it meets the cells it passes and no others.
+    Between two border cells of a row all cells are alike, and the left one's corner tells which kind they are. Static: store it.
     """
-    at = lambda c: F.floor(c / band)
-    banded = edges.withColumn("_band", F.explode(F.sequence(at(F.least("y0", "y1")), at(F.greatest("y0", "y1")))))
-    pairs = points.withColumn("_band", at(F.col("lat"))).join(banded, "_band")
-    straddles = (F.col("y0") > F.col("lat")) != (F.col("y1") > F.col("lat"))
-    right = F.col("lon") < (F.col("x1") - F.col("x0")) * (F.col("lat") - F.col("y0")) / (F.col("y1") - F.col("y0")) + F.col("x0")
-    crossings = pairs.where(straddles).where(right).groupBy("key", "shape").agg(F.count("*").alias("_n"))
-    return crossings.where("_n % 2 = 1").select("key", "shape")
+    at = lambda c: F.floor(c / cell)
+    slack = 1e-9
+    rows = edges.withColumn("row", F.explode(F.sequence(at(F.least("y0", "y1")), at(F.greatest("y0", "y1")))))
+    flat = F.col("y0") == F.col("y1")
+    cross = lambda y: F.when(flat, F.col("x0")).otherwise((F.col("x1") - F.col("x0")) * F.try_divide(y - F.col("y0"), F.col("y1") - F.col("y0")) + F.col("x0"))
+    low, high = F.greatest(F.least("y0", "y1"), F.col("row") * cell), F.least(F.greatest("y0", "y1"), (F.col("row") + 1) * cell)
+    ends = [F.when(flat, F.col("x1")).otherwise(cross(low)), cross(high)]
+    pieces = rows.withColumn("col", F.explode(F.sequence(at(F.least(*ends) - slack), at(F.greatest(*ends) + slack))))
+    border = pieces.groupBy("shape", "row", "col").agg(F.collect_list(F.struct("y0", "x0", "y1", "x1")).alias("edges"))
+    corner = pieces.select("shape", "row", "col").distinct().join(rows, ["shape", "row"])
+    bottom = F.col("row") * cell
+    right_of = ((F.col("y0") > bottom) != (F.col("y1") > bottom)) & (cross(bottom) > (F.col("col") + 1) * cell)
+    odd = corner.groupBy("shape", "row", "col").agg((F.count_if(right_of) % 2 == 1).alias("odd"))
+    border = border.join(odd, ["shape", "row", "col"])
+    after = border.withColumn("_next", F.lead("col").over(W.partitionBy("shape", "row").orderBy("col"))).where(F.col("odd") & (F.col("_next") > F.col("col") + 1))
+    inner = after.select("shape", "row", F.explode(F.sequence(F.col("col") + 1, F.col("_next") - 1)).alias("col"), F.lit(True).alias("odd"), F.array_except("edges", "edges").alias("edges"))
+    return border.select("shape", "row", "col", "odd", "edges").unionByName(inner)
+
+
+def in_cells(points: DataFrame, cells: DataFrame, cell: float = 0.1) -> DataFrame:
+    """(the points' other columns, shape) for each point (lat, lon, ..) inside a shape, by the even-odd rule.
+
+    One equi-join by cell: a point meets the shapes of its own cell only, and of their edges those in that cell. The way from the point
+    goes right to the cell's end and down to its corner, whose side is known.
+    """
+    lat, lon, right, bottom = F.col("lat"), F.col("lon"), (F.col("_col") + 1) * cell, F.col("_row") * cell
+
+    def crossings(e):
+        level = F.when((e["y0"] > lat) != (e["y1"] > lat), (e["x1"] - e["x0"]) * (lat - e["y0"]) / (e["y1"] - e["y0"]) + e["x0"])
+        upright = F.when((e["x0"] > right) != (e["x1"] > right), (e["y1"] - e["y0"]) * (right - e["x0"]) / (e["x1"] - e["x0"]) + e["y0"])
+        count = lambda hit: F.when(hit, 1).otherwise(0)
+        return count((lon < level) & (level <= right)) + count((upright > bottom) != (upright > lat))
+
+    placed = points.withColumns({"_row": F.floor(lat / cell), "_col": F.floor(lon / cell)})
+    met = placed.join(cells.withColumnsRenamed({"row": "_row", "col": "_col"}), ["_row", "_col"])
+    times = F.aggregate("edges", F.when(F.col("odd"), 1).otherwise(0), lambda n, e: n + crossings(e))
+    return met.where(times % 2 == 1).select(*(c for c in points.columns if c not in ("lat", "lon")), "shape")
+
+
+def in_polygons(points: DataFrame, edges: DataFrame, cell: float = 0.1) -> DataFrame:
+    """(point key, shape) for each point inside a shape, by the even-odd rule. `points` has key, lat, lon."""
+    return in_cells(points.select("key", "lat", "lon"), polygon_cells(edges, cell), cell)
 
 
 def surface_masks(px: DataFrame, estuary: bool = False) -> DataFrame:
