@@ -343,6 +343,47 @@ def _(spark, sf):
     return clusters.centroids(clusters.fire_clusters(fires, 50)).select("region", "scene", "label", "n", *rds("ci cj"))
 
 
+def _components(name: str, where: str) -> str:
+    """SQL of the clusters of a mask: pixels with the smallest pixel number reachable."""
+    near = "a.region = b.region and a.scene = b.scene and abs(a.i - b.i) <= 1 and abs(a.j - b.j) <= 1"
+    return f"""
+    {name}_f as materialized (select region, scene, i, j, i * 50 + j id from mask where {where}),
+    {name}_e as materialized (select a.region, a.scene, a.id a, b.id b from {name}_f a join {name}_f b on {near}),
+    {name}_w as (select region, scene, id, id label from {name}_f union select w.region, w.scene, e.b, w.label from {name}_w w join {name}_e e on e.region = w.region and e.scene = w.scene and e.a = w.id),
+    {name} as materialized (select region, scene, id, min(label) label from {name}_w group by all),
+    {name}_c as materialized (select region, scene, label, count(*) n, avg(id // 50) ci, avg(id % 50) cj from {name} group by all)"""
+
+
+def cluster_masks(spark, sf):
+    px = trace(spark, sf)
+    return [clusters.fire_clusters(px.where(c), 50, tile=16) for c in (ref(), F.col("final_code").isin(*k.FIRE_CODES))]
+
+
+_MATCH = f"""
+    , {_components('rc', REF)}, {_components('pc', f'final_code in {FIRES}')},
+    shared as (select rc.region, rc.scene, rc.label ref, pc.label pred, count(*) n from rc join pc using (region, scene, id) group by all),
+    best as (select region, scene, ref, arg_max(pred, (n, -pred)) pred, max(n) n from shared group by all),
+    matched as (select r.region, r.scene, r.label, r.n, coalesce(b.n, 0) shared, case when b.n >= 5e-1 * r.n then b.pred end other,
+        case when b.n >= 5e-1 * r.n then sqrt((r.ci - p.ci) * (r.ci - p.ci) + (r.cj - p.cj) * (r.cj - p.cj)) end distance
+      from rc_c r left join best b on r.region = b.region and r.scene = b.scene and r.label = b.ref left join pc_c p on p.region = b.region and p.scene = b.scene and p.label = b.pred)"""
+
+
+@add("e29_cluster_match", upto("mask", f"{_MATCH} select region, scene, label::bigint label, n, shared, other::bigint as other, {srd('distance')} distance from matched"))
+def _(spark, sf):
+    reference, predicted = cluster_masks(spark, sf)
+    return clusters.match_clusters(reference, predicted, 0.5).select("region", "scene", "label", "n", "shared", "other", rd("distance").alias("distance"))
+
+
+@add("e29_cluster_scores", upto("mask", f"""{_MATCH},
+    hits as (select region, scene, count(*) n_ref, count(other) n_hit, avg(distance) distance from matched group by all),
+    found as (select region, scene, count(*) n_pred, count(*) filter (where label not in (select pred from shared s where s.region = c.region and s.scene = c.scene)) n_false from pc_c c group by all)
+    select coalesce(h.region, f.region) region, coalesce(h.scene, f.scene) scene, coalesce(n_ref, 0) n_ref, coalesce(n_hit, 0) n_hit, coalesce(n_pred, 0) n_pred, coalesce(n_false, 0) n_false,
+      {srd('n_hit / n_ref')} hit_rate, {srd('distance')} distance from hits h full join found f on h.region = f.region and h.scene = f.scene"""))
+def _(spark, sf):
+    reference, predicted = cluster_masks(spark, sf)
+    return clusters.cluster_scores(reference, predicted, 0.5).select("region", "scene", "n_ref", "n_hit", "n_pred", "n_false", *rds("hit_rate distance"))
+
+
 # Scenario -------------------------------------------------------------------------------------------------------------
 def variant_masks(spark, sf):
     """The detector over three variants at once; each is checked against its own run of the oracle."""
