@@ -101,13 +101,13 @@ SQL: dict[str, str] = {
     """,
     "op9_topk_search": """
         with usable as (
-            select distinct vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) as v from embeddings
+            select row_number() over () as r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) as v from embeddings
             where embedding is not null and vec_id is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
         ), scored as (
-            select q.vec_id as query_id, c.vec_id, list_dot_product(q.v, c.v)::bigint as score
-            from usable q join usable c on q.vec_id % 100 = 0 and c.vec_id <> q.vec_id and len(q.v) = len(c.v)
+            select q.r, q.vec_id as query_id, c.vec_id, list_dot_product(q.v, c.v)::bigint as score
+            from usable q join usable c on q.vec_id % 100 = 0 and c.r <> q.r and len(q.v) = len(c.v)
         ), ranked as (
-            select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score from scored
+            select query_id, row_number() over (partition by r order by score desc, vec_id)::int as rank, vec_id, score from scored
         )
         select * from ranked where rank <= 10
     """,
