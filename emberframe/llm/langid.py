@@ -113,17 +113,17 @@ def _texts(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[tuple[int, li
         yield at, texts
 
 
-def fit(docs: DataFrame, learn: Column, n: int = 4, size: int = 1 << 20, probes: int = 3, per_language: int = 2000, share: float = 0.2, least: int = 2, most_languages: int = 2048, estimate: bool = False) -> Model:
+def fit(docs: DataFrame, learn: Column, n: int = 4, size: int = 1 << 20, probes: int = 3, per_language: int = 2000, share: float = 0.2, least: int = 2, estimate: bool = False) -> Model:
     """Profiles from documents where `learn` holds and lang is not null.
 
     `per_language` bounds the sample: of a language with more documents, each is taken with that probability by a hash of its
-    id, so that about that many are read. The filter's size is a parameter too, and so is the number of languages, of which those with
-    the most documents are learned. Without any labelled text there are no languages. `estimate` asks for the coverage that each
+    id, so that about that many are read. The filter's size is a parameter too; all languages are learned, each `MASK_BITS` of
+    them a further word of every slot. Without any labelled text there are no languages. `estimate` asks for the coverage that each
     profile should have of a text it has not seen: the share of n-grams whose other occurrences would still be in the profile.
     """
     lean_batches(docs.sparkSession)
     labelled = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), learn.alias("learn")).where("learn and lang is not null")
-    held = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()}
+    held = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # one row a language
     languages = sorted(held)
     if not languages:
         return Model([], np.zeros((1, size), np.uint64), n, probes)

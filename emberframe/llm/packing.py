@@ -43,7 +43,8 @@ def byte_letters() -> dict[int, str]:
 class PieceIds(dict):
     """Ids of pieces of text as packed bytes, each encoded once while it is in use.
 
-    A text's ids are those of its pieces, which the tokenizer never joins. When the pieces are many, those not used since
+    A text's ids are those of its pieces, which the tokenizer never joins. Strings of special tokens are their ids, and what lies
+    between them is text of its own, as for the tokenizer. When the pieces are many, those not used since
     the last time they were many are forgotten.
     """
 
@@ -52,7 +53,9 @@ class PieceIds(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # strings of special tokens are ordinary text
+        added = {t.content: n for n, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.special = {text: np.array([n], "<u4") for text, n in added.items()}
+        self.splits = re.compile("(" + "|".join(re.escape(t) for t in sorted(added, key=len, reverse=True)) + ")") if added else None
         self.merges, self.letters = self.tokenizer.model, byte_letters()
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.end = np.array([END], self.kind).tobytes()
@@ -75,9 +78,16 @@ class PieceIds(dict):
         if len(self) > CACHED:
             self.before = dict(self)
             self.clear()
+        if self.splits and any(s in text for s in self.special):
+            parts = (self.special[p].astype(self.kind).tobytes() if p in self.special else self._plain(p) for p in self.splits.split(text))
+            return b"".join(parts) + self.end
+        return self._plain(text) + self.end
+
+    def _plain(self, text: str) -> bytes:
+        """The ids of a text without special tokens."""
         if not text.isascii() and OTHER.search(text):
-            return self._mixed(text) + self.end
-        return b"".join(map(self.__getitem__, PIECES.findall(text.lower()))) + self.end
+            return self._mixed(text)
+        return b"".join(map(self.__getitem__, PIECES.findall(text.lower())))
 
 
 WORD = re.compile(r"[^ \t-\r]+")
@@ -201,7 +211,7 @@ def sequence_starts(total: int, length: int) -> np.ndarray:
 def pack(docs: DataFrame, length: int = 4096, tokenizer: str = "word_bpe_49k.json", ids: bool = True) -> DataFrame:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and the ids if asked for.
 
-    A document is the tokenizer's ids of its whole text (null: none) and the closing id. Pieces of a sequence follow each other
+    A document is the tokenizer's ids of its whole text (null: none; a special token's string: its id) and the closing id. Pieces of a sequence follow each other
     from offset 0; all sequences are full, but for the last few, whose lengths are distinct powers of two. Rows with null or
     repeated doc_id are documents of their own. An empty table gives no rows. Other columns are not looked at.
     """

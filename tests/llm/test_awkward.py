@@ -89,7 +89,6 @@ def test_trie_links_against_all_pairs(spark, leaf):
 
 def test_packing(docs, nothing):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    tokenizer.encode_special_tokens = True
     ids = [[*e.ids, 2] for e in tokenizer.encode_batch([r[1] or "" for r in ROWS], add_special_tokens=False)]
     for length in (64, 4096):
         pieces = packing.pack(docs, length).toPandas()
@@ -107,6 +106,26 @@ def test_packing(docs, nothing):
     assert packing.pack(nothing).count() == 0
 
 
+def test_ids_of_special_tokens():
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    pieces = packing.piece_ids("word_bpe_49k.json")
+    texts = [
+        "a <|endoftext|> b", "<|startoftext|>", "<|endoftext|><|endoftext|>", "<|EndOfText|> <|endoftext", "e<|endoftext|>\u0301x", "Ελλάδα<|startoftext|>I'<|endoftext|>ll",
+        "don<|endoftext|>'t \n<|endoftext|>\t", "<<|endoftext|>|endoftext|>", "",
+    ]
+    for text in texts:
+        assert list(np.frombuffer(pieces.of(text), pieces.kind)) == [*tokenizer.encode(text, add_special_tokens=False).ids, 2], text
+
+
+def test_no_language_is_left_out(spark):
+    rows = [(k, "".join(chr(0x4E00 + k * 4 + j) for j in (0, 1, 2, 3, 0, 1, 2, 3, 0, 1, 2, 3)), f"l{k:04}") for k in range(2200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs, F.lit(True), size=1 << 14)
+    assert len(model.languages) == 2200 and model.masks.shape == (-(-2200 // langid.MASK_BITS), 1 << 14)
+    told = langid.predict(docs.where("doc_id % 40 = 0 or doc_id > 2150"), model).select("doc_id", "lang_pred").collect()
+    assert len(told) > 90 and all(r.lang_pred == f"l{r.doc_id:04}" for r in told)
+
+
 @pytest.mark.parametrize("dimensions,bits", [(2, 4), (3, 3), (4, 2)])
 def test_hilbert_curve_visits_neighbours(dimensions, bits):
     grid = np.stack(np.meshgrid(*[np.arange(1 << bits)] * dimensions, indexing="ij"), -1).reshape(-1, dimensions)
