@@ -10,7 +10,7 @@ from emberframe.checks.oracle import lum, tmp, upto
 from emberframe.functions import radiometry as rm
 from emberframe.functions.nulls import recover_unsigned
 from emberframe.functions.settle import settle
-from emberframe.operators import background, confirm, corrections, gates, retrieval, thresholds
+from emberframe.operators import background, confirm, corrections, gates, newton, retrieval, thresholds
 from emberframe.plans import detect
 from emberframe.sources import views
 
@@ -413,6 +413,60 @@ def _(spark, sf):
     return rows.select("event_id", rd("p_50", 6).alias("p"), rd("t_50", 2).alias("t"))
 
 
+def _start_sql(name: str, p: str, t: str) -> str:
+    return f"select '{name}' start, event_id, {p} p, {t} t, bt14_bkg_corr tb, r7_diff r7, r14_diff r14, b7, bl, {_K14} from dz join root using (region, scene, i, j)"
+
+
+_K14 = ", ".join(f"{n}_{b}" for b in (7, 14) for n in ("fk1", "fk2", "bc1", "bc2"))
+_KEPT = f"start, event_id, tb, r7, r14, b7, bl, {_K14}"
+#: Each start of the refinement: from the bisection, far from the root, outside the domain, and where the two bands cannot be told apart.
+_STARTS = {"bisected": ("root.p", "root.t"), "far": ("5e-1", "2e3"), "outside": ("2e0", "6e2"), "background": ("1e-2", "bt14_bkg_corr")}
+
+
+def _worst(p: str, t: str) -> str:
+    off = [f"abs({p} * {lum(b, t)} + (1 - {p}) * {cold} - {seen}) / greatest(abs({seen}), 1)" for b, cold, seen in (("7", "b7", "r7"), ("14", "bl", "r14"))]
+    return f"greatest({off[0]}, {off[1]})"
+
+
+def _slope_sql(b: str) -> str:
+    x = f"(fk2_{b} / (t * bc2_{b} + bc1_{b}))"
+    return f"fk1_{b} * fk2_{b} * bc2_{b} * exp({x}) / (pow(t * bc2_{b} + bc1_{b}, 2) * pow(exp({x}) - 1, 2))"
+
+
+# One row a start and step; a step is tried at nine lengths and the longest that helps is taken.
+_NEWTON = f"""
+    , newton as (
+      select {_KEPT}, 0 step, p, t, case when p between 1e-6 and 1 and t > 0 and tb > 0 and r7 > 0 and r14 > 0 then 'moving' else 'failed' end state
+      from ({" union all ".join(_start_sql(name, p, t) for name, (p, t) in _STARTS.items())})
+      union all
+      select {_KEPT}, step + 1, case when worst > 1e-6 then coalesce(pick.p, p) else p end, case when worst > 1e-6 then coalesce(pick.t, t) else t end,
+        case when worst <= 1e-6 then 'converged' when pick is null then 'failed' else 'moving' end
+      from (select *, list_filter(list_transform(range(9), lambda h: {{'p': p - dp / pow(2, h), 't': t - dt / pow(2, h)}}),
+              lambda s: abs(det) >= 1e-15 and s.p between 1e-6 and 1 and s.t > 0 and {_worst('s.p', 's.t')} < worst)[1] pick
+        from (select *, (d * f7 - b * f14) / nullif(det, 0) dp, (a * f14 - c * f7) / nullif(det, 0) dt
+          from (select *, a * d - b * c det from (select * replace (a / size as a, b / size as b, c / size as c, d / size as d, f7 / size as f7, f14 / size as f14)
+            from (select *, greatest(abs(a), abs(b), abs(c), abs(d)) size
+              from (select *, {_worst('p', 't')} worst, {lum('7', 't')} - b7 a, p * {_slope_sql('7')} b, {lum('14', 't')} - bl c, p * {_slope_sql('14')} d,
+                  p * {lum('7', 't')} + (1 - p) * b7 - r7 f7, p * {lum('14', 't')} + (1 - p) * bl - r14 f14
+                from newton where state = 'moving' and step < 50)))))))
+    select start, event_id, converged, case when converged then round(p + 1.7e-9, 5) + 0e0 end p, case when converged then round(t + 1.7e-9, 1) + 0e0 end t, case when not converged then 6 end fail_char
+    from (select start, event_id, arg_max(state, step) = 'converged' converged, arg_max_null(p, step) p, arg_max_null(t, step) t from newton group by all)
+"""
+
+
+@add("c3_newton", _mix_sql(15, _NEWTON))
+def _(spark, sf):
+    rows = settle(retrieval.bisect_fraction(spark.sql(_MIX, px=views.pixels(spark, sf)), 15))
+    starts = {"bisected": (F.col("p_15"), F.col("t_15")), "far": (F.lit(0.5), F.lit(2000.0)), "outside": (F.lit(2.0), F.lit(600.0)), "background": (F.lit(0.01), F.col("bt14_bkg_corr"))}
+    each = F.inline(F.array(*(F.struct(F.lit(n).alias("start"), p.cast("double").alias("sp"), t.cast("double").alias("st")) for n, (p, t) in starts.items())))
+    found = newton.refined(rows.select("*", each), F.col("sp"), F.col("st"))
+    solved = F.col("newton.converged")
+    return found.select(
+        "start", "event_id", solved.alias("converged"), F.when(solved, rd("newton.p", 5)).alias("p"), F.when(solved, rd("newton.t", 1)).alias("t"),
+        F.when(~solved, 6).alias("fail_char"),
+    )
+
+
 @add("c4_retrieval_classes", on_states("ret1", "select fail_char, good valid, count(*) n from ret1 group by all"))
 def _(spark, sf):
     rows = settle(corrections.correct(classified(spark, sf), views.lut(spark))).where("path = 'open'")

@@ -10,6 +10,7 @@ from emberframe.functions.nulls import holds
 from emberframe.functions.settle import settle
 from emberframe.functions.radiometry import BandCoefficients, native_to_si, radiance_of, temperature_of
 from emberframe.operators.corrections import long_coefficients
+from emberframe.operators.newton import refined
 
 
 def fire_radiance(total: Column, background: Column, p: Column) -> Column:
@@ -64,11 +65,19 @@ def bisect_fraction(px: DataFrame, steps: int, where: Column | None = None) -> D
     return px.withColumn(f"t_{steps}", hot(F.col(f"p_{steps}"))).drop("_b7", "_b14", "_lo", "_hi")
 
 
-def retrieve(px: DataFrame, steps: int = k.REFINED_STEPS) -> DataFrame:
-    """fire_temp, fire_frac, flag and validity after the retrieval of `open` pixels; the fold runs for no others."""
+def retrieve(px: DataFrame, steps: int = k.REFINED_STEPS, newton: bool = False) -> DataFrame:
+    """fire_temp, fire_frac, flag and validity after the retrieval of `open` pixels; the fold runs for no others.
+
+    With `newton`, the published bisection gives the start of Newton's method, and a pixel that does not converge has no solution.
+    """
+    if newton:
+        steps = k.BISECTION_STEPS
     c = F.col
     px = px.withColumn("_tried", (c("path") == "open") & ~c("skip_retrieval") & ~c("sat_flag"))
     px = bisect_fraction(px, steps, c("_tried"))
+    if newton:
+        px = refined(px, c(f"p_{steps}"), c(f"t_{steps}"), "_newton")
+        px = px.withColumns({f"{n}_{steps}": F.when(c("_newton.converged"), c(f"_newton.{n}")) for n in ("p", "t")}).drop("_newton")
     p, t = c(f"p_{steps}"), c(f"t_{steps}")
     solved = holds(t > 0)
     cool = solved & holds(t < k.MIN_FIRE_TEMP)
