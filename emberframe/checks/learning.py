@@ -339,6 +339,30 @@ def _(spark, sf):
     return parts
 
 
+def _nearest_sql(long: str, groups: str) -> str:
+    """Every row against all rows of its group, from rows (groups, value, target); digamma as harmonic sums."""
+    psi = lambda n: f"list_sum(list_transform(range(1, {n}), lambda x: 1e0 / x))"
+    psi = lambda n, of=psi: f"(coalesce({of(n)}, 0) - 5772156649015329e-16)"
+    return f"""l as materialized (select {groups}, target, round(value * 1e6)::bigint v, row_number() over () id, count(*) over (partition by {groups}, target) size
+        from ({long}) where value is not null and target is not null),
+      d as (select {groups}, a.id, least(3, a.size - 1) k, a.size, list_sort(list(abs(a.v - b.v)))[least(3, a.size - 1)] r
+        from l a join l b using ({groups}, target) where a.id <> b.id group by {groups}, a.id, a.size),
+      m as (select {groups}, d.id, d.k, d.size, count(*) m from d join l a using ({groups}, id) join l b using ({groups}) where b.size > 1 and (abs(a.v - b.v) < r or a.v = b.v) group by {groups}, d.id, d.k, d.size),
+      i as (select {groups}, count(*) n, greatest(0, {psi("count(*)")} + avg({psi("k")}) - avg({psi("size")}) - avg({psi("m")})) mi from m group by {groups})"""
+
+
+_NEAREST_LONG = " union all ".join(
+    f"select '{feature}' feature, {lead} lead, {lag} lag, lag({feature}, {lag}) over x as value, lead(any_fire, {lead}) over x target from f window x as (partition by region, py, px order by scene_epoch)"
+    for feature in patches.PATCH_FEATURES for lead in _LEADS for lag in _LAGS
+)
+
+
+@add("x6_nearest_information", f"{_PATCH}, {_nearest_sql(_NEAREST_LONG, 'feature, lead, lag')} select feature, lead, lag, n, {srd('mi', 6)} mi from i")
+def _(spark, sf):
+    found = patches.nearest_information_by_lag(product(spark, sf, "patches", lambda: patch_table(spark, sf)), _LAGS, _LEADS)
+    return found.select("feature", "lead", "lag", "n", rd("mi", 6).alias("mi"))
+
+
 _OF = lambda groups: f"sum(n / tot * ln((n / tot) / ((nb / tot) * (nt / tot)))) from (select *, sum(n) over (partition by {groups}) tot, sum(n) over (partition by {groups}, bin) nb, sum(n) over (partition by {groups}, target) nt"
 
 
@@ -357,6 +381,22 @@ def _(spark, sf):
     return table.select("n_shuffles", *rds("null_mean null_std observed", 6), rd("z", 3).alias("z"))
 
 
+_SHUFFLED = f"""select shuffle, value, target from
+      (select shuffle, mean as value, row_number() over (partition by shuffle order by {MD5("region || '|' || scene || '|' || py || '|' || px", '42-x')}) k from f, (select unnest(range(1, 51)) shuffle) where mean is not null)
+      join (select shuffle, any_fire target, row_number() over (partition by shuffle order by {MD5("shuffle || '|' || region || '|' || scene || '|' || py || '|' || px", '42-y')}) k
+        from f, (select unnest(range(1, 51)) shuffle) where mean is not null) using (shuffle, k)
+      union all select 0, mean, any_fire from f"""
+
+
+@add("x7_nearest_permutation", f"""{_PATCH}, {_nearest_sql(_SHUFFLED, 'shuffle')},
+    z as (select count(*) filter (shuffle > 0) n_shuffles, avg(mi) filter (shuffle > 0) null_mean, stddev_pop(mi) filter (shuffle > 0) null_std, max(mi) filter (shuffle = 0) observed from i)
+    select n_shuffles, {srd('null_mean', 6)} null_mean, {srd('null_std', 6)} null_std, {srd('observed', 6)} observed, {srd('(observed - null_mean) / nullif(null_std, 0)', 3)} z from z""")
+def _(spark, sf):
+    rows = product(spark, sf, "patches", lambda: patch_table(spark, sf))
+    table = patches.nearest_permutation_test(rows, ["region", "scene", "py", "px"], "mean", "any_fire")
+    return table.select("n_shuffles", *rds("null_mean null_std observed", 6), rd("z", 3).alias("z"))
+
+
 @add("x8_chronological_split", px_sql("""
     select scene, case when rank() over (order by scene) <= 8e-1 * count(*) over () then 'train' else 'test' end side, n from (select scene, count(*) n from px group by scene)"""))
 def _(spark, sf):

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from emberframe.functions.nulls import ratio
 from emberframe.functions.order import cumulative, hash_order, percentiles, rank_by_hash
 from emberframe.functions.small import by_group
+from emberframe.operators.neighbours import nearest_information
 
 PATCH_FEATURES = ("mean", "std", "high", "low", "p95", "p99", "excess")
 
@@ -87,6 +88,32 @@ def information_by_lag(features: DataFrame, lags: Sequence[int], lead: int, bins
     return mutual_information(long, ["lag"])
 
 
+def nearest_information_by_lag(features: DataFrame, lags: Sequence[int], leads: Sequence[int], values: Sequence[str] = PATCH_FEATURES, k: int = 3) -> DataFrame:
+    """As `information_by_lag` for several features and leads at once, from nearest neighbours instead of bins."""
+    line = W.partitionBy("region", "py", "px").orderBy("scene_epoch")
+    targets = F.array(*[F.struct(F.lit(lead).alias("lead"), F.lead("any_fire", lead).over(line).alias("target")) for lead in leads])
+    seen = [F.struct(F.lit(v).alias("feature"), F.lit(lag).alias("lag"), F.lag(v, lag).over(line).alias("value")) for v in values for lag in lags]
+    wide = features.select(targets.alias("_t"), F.array(*seen).alias("_s"))
+    long = wide.select(F.inline("_t"), "_s").where("target is not null").select("lead", "target", F.inline("_s"))
+    return nearest_information(long, ["feature", "lead", "lag"], "value", "target", k)
+
+
+def nearest_permutation_test(rows: DataFrame, key: Sequence[str], value: str, label: str, shuffles: int = 50, seed: int = 42, k: int = 3) -> DataFrame:
+    """As `permutation_test`, from nearest neighbours: the observed information is shuffle 0, whose labels stay."""
+    names = [F.col(c) for c in key]
+    kept = rows.where(F.col(value).isNotNull() & F.col(label).isNotNull()).select(*key, value, label)
+    many = kept.withColumn("shuffle", F.explode(F.sequence(F.lit(1), F.lit(shuffles))))
+    left = rank_by_hash(many, ["shuffle"], hash_order(*names, seed=f"{seed}-x"), "_k").select("shuffle", "_k", value)
+    right = rank_by_hash(many, ["shuffle"], hash_order(F.col("shuffle"), *names, seed=f"{seed}-y"), "_k").select("shuffle", "_k", F.col(label).alias("target"))
+    paired = left.join(right, ["shuffle", "_k"]).drop("_k")
+    both = paired.unionByName(kept.select(F.lit(0).alias("shuffle"), value, F.col(label).alias("target")))
+    null, real = (lambda x: F.when(F.col("shuffle") > 0, x)), F.max(F.when(F.col("shuffle") == 0, F.col("mi"))).alias("observed")
+    table = nearest_information(both, ["shuffle"], value, "target", k).agg(
+        F.avg(null(F.col("mi"))).alias("null_mean"), F.stddev_pop(null(F.col("mi"))).alias("null_std"), F.count(null(F.col("mi"))).alias("n_shuffles"), real
+    )
+    return table.withColumn("z", ratio(F.col("observed") - F.col("null_mean"), F.col("null_std")))
+
+
 def permutation_test(rows: DataFrame, key: Sequence[str], label: str, shuffles: int = 50, seed: int = 42) -> DataFrame:
     """Observed information against labels paired anew by two hash orders; ranks are found without a global sort in one task."""
     real = mutual_information(rows.withColumnRenamed(label, "target")).withColumnRenamed("mi", "observed")
