@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from emberframe.checks.common import Book, product, px_sql, rd, rds, srd, srds, trace
 from emberframe.checks.oracle import upto
-from emberframe.operators import audit, features, models, patches, scoring
+from emberframe.operators import audit, features, models, patches, scoring, splits
 from emberframe.sources import views
 
 BOOK = Book.empty()
@@ -122,6 +122,49 @@ def _(spark, sf):
     return feature_rows(spark, sf).select("timestamp", "i", "j", "ref_fire", "ref_code", *rds("bt7 bt7_bkg albedo refl bt14_eff", 3), "n_passes")
 
 
+# Exact trees ------------------------------------------------------------------------------------------------------------
+_TREE_FEATURES, _TREE_DEPTH, _TREE_LEAF = ("bt7", "bt7_bkg", "bt14_eff", "albedo", "refl", "n_passes"), 3, 5
+
+
+def _tree_sql(body: str) -> str:
+    """Level by level: t<d> the rows with their node, b<d> the best boundary of each node."""
+    exact = ", ".join(f"coalesce({srd('bt14e' if f == 'bt14_eff' else f, 3)}, '-inf'::double) {f}" for f in _TREE_FEATURES)
+    parts = [f"""t0 as materialized (select 1 node, ref_fire y, {", ".join(_TREE_FEATURES)} from (select ({FIRE})::int ref_fire, {exact} from mask where in_roi)),
+      w as (select count(*) / (2e0 * sum(1 - y)) w0, count(*) / (2e0 * sum(y)) w1 from t0)"""]
+    gini = lambda a, b: f"(1 - ({a} * {a} + {b} * {b}) / (({a} + {b}) * ({a} + {b})))"
+    for d in range(_TREE_DEPTH):
+        long = " union all ".join(f"select node, {k} place, '{f}' feature, {f} as value, y from t{d}" for k, f in enumerate(_TREE_FEATURES))
+        parts.append(f"""b{d} as materialized (select node, arg_max(struct_pack(feature := feature, threshold := (value + above) / 2, gain := gain), (gain, -place, -value)) s
+          from (select *, round({gini('e', 'f')} - ((a + b) * {gini('a', 'b')} + (c + d) * {gini('c', 'd')}) / (e + f), 10) gain
+            from (select node, place, feature, value, above, l0 * w0 a, l1 * w1 b, (n0 - l0) * w0 c, (n1 - l1) * w1 d, n0 * w0 e, n1 * w1 f
+              from (select *, sum(c0) over o l0, sum(c1) over o l1, sum(c0) over (partition by node, place) n0, sum(c1) over (partition by node, place) n1, lead(value) over o above
+                from (select node, place, feature, value, sum(1 - y) c0, sum(y) c1 from ({long}) group by all) window o as (partition by node, place order by value)), w
+              where l0 + l1 >= {_TREE_LEAF} and n0 + n1 - l0 - l1 >= {_TREE_LEAF})) where gain > 0 group by node)""")
+        value = " ".join(f"when '{f}' then {f}" for f in _TREE_FEATURES)
+        parts.append(f"t{d + 1} as materialized (select 2 * node + (case s.feature {value} end > s.threshold)::int node, y, {', '.join(_TREE_FEATURES)} from t{d} join b{d} using (node))")
+    nodes = " union all ".join(
+        f"select node, {d} depth, {'s.feature, s.threshold, s.gain' if d < _TREE_DEPTH else 'null feature, null::double threshold, null::double gain'}, n, n0 * w0 + n1 * w1 weight, n1 * w1 / (n0 * w0 + n1 * w1) share "
+        f"from (select node, count(*) n, sum(1 - y) n0, sum(y) n1 from t{d} group by node) {f'left join b{d} using (node)' if d < _TREE_DEPTH else ''}, w" for d in range(_TREE_DEPTH + 1)
+    )
+    return upto("mask", f", {', '.join(parts)}, nodes as ({nodes}) {body}")
+
+
+def exact_tree(spark, sf):
+    return product(spark, sf, "exact_tree", lambda: splits.grow(
+        feature_rows(spark, sf).select("ref_fire", *(rd(f, 3).alias(f) for f in _TREE_FEATURES)), _TREE_FEATURES, "ref_fire", _TREE_DEPTH, _TREE_LEAF
+    ))
+
+
+@add("m1_exact_tree", _tree_sql(f"select node, depth, feature, {srd('threshold', 4)} threshold, n, {srd('weight', 4)} weight, {srd('share', 6)} share, {srd('gain', 6)} gain from nodes"))
+def _(spark, sf):
+    return exact_tree(spark, sf).select("node", "depth", "feature", "n", rd("threshold", 4).alias("threshold"), rd("weight", 4).alias("weight"), *rds("share gain", 6))
+
+
+@add("m9_exact_importances", _tree_sql(f"select feature, {srd('sum(weight * gain) / any_value(al)', 6)} importance from (select *, sum(weight * gain) over () al from nodes where feature is not null) group by feature"))
+def _(spark, sf):
+    return splits.importances(exact_tree(spark, sf)).select("feature", rd("importance", 6).alias("importance"))
+
+
 # Model metrics over the labels: the score is a function of the document's length -----------------------------------------
 _SCORED = "select doc_id % 20 scene, quality y, (n_chars % 997) / 1e3 score, case when (n_chars % 997) / 1e3 > 4e-1 then 1 else 0 end p from {labels} join {documents} using (doc_id)"
 _SCORED_SQL = _SCORED.format(labels="labels", documents="documents")
