@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from emberframe.checks.common import Book, product, px_sql, rd, rds, srd, srds
 from emberframe.checks.learning import feature_rows
 from emberframe.functions.nulls import recover_unsigned
 from emberframe.operators import scenario, scoring
-from emberframe.session import new_path
-from emberframe.sources import tables, views
+from emberframe.session import cut_lineage, new_path
+from emberframe.sources import colocated, tables, views
 
 BOOK = Book.empty()
 add = BOOK.add
@@ -33,6 +34,37 @@ def _(spark, sf):
     return tables.join_bands(*bands(spark, sf)).select("event_id", *rds("rad7 rad14 bt15"))
 
 
+def lying_together(spark, sf, name, rows):
+    """A band table of its own name, laid out by scan line in the shared folder."""
+    path = new_path(spark, name)
+    table = path.rsplit("/", 1)[-1].replace("-", "_")
+    colocated.write_band(rows, table, path, buckets=16)
+    return table
+
+
+@add("s1_colocated_bands", px_sql(f"""
+    , b as (select *, rad7 - lag(rad7) over (partition by region, scene, i order by j) step from px where bt7 is not null and bt14 is not null and not (scene = 1 and i > 40))
+    select event_id, {srds('rad7 rad14 step')}, {srd('case when scene <> 1 then bt15 end')} bt15 from b"""))
+def _(spark, sf):
+    """Three bands and the difference along the scan line, from buckets alone."""
+    required, optional = ({n: lying_together(spark, sf, n.lower(), rows) for n, rows in named.items()} for named in bands(spark, sf))
+    with colocated.joined_by_line(spark):
+        px = colocated.read_bands(spark, required, optional)
+        px = px.withColumn("step", F.col("rad7") - F.lag("rad7").over(W.partitionBy(*colocated.LINE).orderBy("j")))
+        return cut_lineage(px).select("event_id", *rds("rad7 rad14 step bt15"))
+
+
+@add("q9_colocated_write_back", px_sql("select event_id, case when value > 150 then ref_code + 100 else ref_code end code from px"))
+def _(spark, sf):
+    """Codes of the hot pixels alone, written back onto all pixels."""
+    px = views.pixels(spark, sf).select("region", "scene", "i", "j", "event_id", F.col("ref_code").alias("code"), "value")
+    codes = lying_together(spark, sf, "codes", px.drop("value"))
+    masks = lying_together(spark, sf, "masks", px.where("value > 150").select("region", "scene", "i", "j", (F.col("code") + 100).alias("code")))
+    with colocated.joined_by_line(spark):
+        colocated.same_layout(spark, [codes, masks])
+        return cut_lineage(colocated.write_back(spark.table(codes), spark.table(masks))).select("event_id", "code")
+
+
 _FROM, _TO = 1704067200, 1704067200 + 900
 
 
@@ -186,20 +218,38 @@ def _(spark, sf):
     return spark.read.schema("scene long, n long, mean_value double").json(path).select("scene", "n", *rds("mean_value"))
 
 
-@add("s17_metrics_json", """
-    select concat('run-', event_type) run, round(avg(value) / 100 + 1.7e-09, 3) + 0e0 average_precision, round(max(value) / 500 + 1.7e-09, 3) + 0e0 recall,
-      round(avg(user_id) + 1.7e-09, 3) + 0e0 scene_macro_recall from events group by event_type""")
-def _(spark, sf):
+# Runs are a user's events of one type. Documents differ: some lack a section or a metric, some have one more, text or a clash of names.
+_RUNS = """
+  select concat('run-', event_type, '-', user_id) as run, count(*) as n, avg(value) as mean, max(value) as high, min(value) as low, sum(event_id % 2) as odd from {ev} group by event_type, user_id"""
+_METRICS = """select run, 'average_precision' as metric, mean / 100 as value from r union all select run, 'recall', high / 500 from r where n % 3 <> 0
+  union all select run, 'support', case when n % 7 = 0 then odd else n end from r union all select run, 'worst', low from r where (n % 5 <> 0 or n % 7 = 0) and low < 50"""
+_SHORT = {"average_precision": "ap", "recall": "recall", "support": "n", "worst": "worst"}
+
+
+def metric_documents(spark, sf):
+    """Documents as JSON lines: `support` is in both sections where n % 7 = 0, and the second section's counts."""
     path = new_path(spark, "metrics")
-    runs = views.events(spark, sf).groupBy(F.concat(F.lit("run-"), "event_type").alias("run")).agg(
-        F.struct((F.avg("value") / 100 + 1.7e-9).alias("average_precision"), (F.max("value") / 500 + 1.7e-9).alias("recall")).alias("global"),
-        F.struct((F.avg("user_id") + 1.7e-9).alias("scene_macro_recall")).alias("scene_level"),
+    runs = spark.sql(_RUNS, ev=views.events(spark, sf))
+    first = F.struct(
+        (F.col("mean") / 100).alias("average_precision"), F.expr("case when n % 3 <> 0 then high / 500 end").alias("recall"), F.col("n").alias("support"),
+        F.expr("case when n % 2 = 0 then 'a note' end").alias("note"), F.array(F.lit(1), F.lit(2)).alias("history"),
     )
-    runs.write.json(path)
-    schema = "run string, global struct<average_precision: double, recall: double>, scene_level struct<scene_macro_recall: double>"
-    return scoring.compare_runs(spark.read.schema(schema).json(path))
+    second = F.struct(F.expr("case when n % 7 = 0 then odd end").alias("support"), F.expr("case when low < 50 then low end").alias("worst"))
+    document = F.to_json(F.struct("run", first.alias("global"), F.when(F.expr("n % 5 <> 0 or n % 7 = 0"), second).alias("scene_level")))
+    runs.select(document.alias("value")).write.text(path)
+    return tables.read_metrics(spark, path)
+
+
+_LONG = f"with r as ({_RUNS.format(ev='events')}), m as ({_METRICS})"
 
 
-# The comparison of model runs is the same query under its own name.
-BOOK.queries["m11_run_comparison"] = BOOK.queries["s17_metrics_json"]
-BOOK.sql["m11_run_comparison"] = BOOK.sql["s17_metrics_json"]
+@add("s17_metrics_json", f"{_LONG} select run, metric, {srd('value', 6)} as value from m")
+def _(spark, sf):
+    return scoring.run_metrics(metric_documents(spark, sf)).select("run", "metric", rd("value", 6).alias("value"))
+
+
+@add("m11_run_comparison", f"""{_LONG} select run, row_number() over (order by ap desc nulls last, run) place, {srds('ap recall n worst', 3)} from
+    (select run, {", ".join(f"max(value) filter (metric = '{name}') as {short}" for name, short in _SHORT.items())} from m group by run)""")
+def _(spark, sf):
+    table = scoring.compare_runs(scoring.run_metrics(metric_documents(spark, sf)), _SHORT, "average_precision", digits=9)
+    return table.select("run", "place", *rds("ap recall n worst", 3))

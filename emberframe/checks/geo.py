@@ -32,23 +32,38 @@ def _(spark, sf):
     return grid.groupBy("event_type").agg(F.count("*").alias("n"), F.min(F.unix_timestamp("grid_ts")).alias("first_epoch"), F.max(F.unix_timestamp("grid_ts")).alias("last_epoch"))
 
 
-_FIX = f"""
-    select event_id, x, y, {H + A!r}::double hh, sin(x) * sin(x) + cos(x) * cos(x) * (cos(y) * cos(y) + sin(y) * sin(y) * ({A}::double * {A}::double / ({B}::double * {B}::double))) qa,
-      -2e0 * ({H + A!r}::double) * cos(x) * cos(y) qb, ({H + A!r}::double) * ({H + A!r}::double) - {A}::double * {A}::double qc
-    from (select event_id, -152e-4 + 56e-6 * j x, 865e-4 + 2e-3 * i y from px)"""
+_ANGLES = ("-152e-4 + 56e-6 * j", "865e-4 + 2e-3 * i")
+_FRAME = ("-16e-2 + 65e-4 * j", "-16e-2 + 65e-4 * i")  # the whole frame: its corners look past the disk
 
 
-@add("g2_fixed_grid_position", px_sql(f"""
-    select event_id, {srd(f'degrees(atan(({A}::double * {A}::double / ({B}::double * {B}::double)) * sz / sqrt((hh - sx) * (hh - sx) + sy * sy)))')} lat,
-      {srd(f'{LON0} - degrees(atan(sy / (hh - sx)))')} lon
-    from (select event_id, hh, r * cos(x) * cos(y) sx, -r * sin(x) sy, r * cos(x) * sin(y) sz from
-      (select *, case when qb * qb - 4 * qa * qc >= 0 then (-qb - sqrt(abs(qb * qb - 4 * qa * qc))) / (2 * qa) end r from ({_FIX})))"""))
-def _(spark, sf):
-    px = views.pixels(spark, sf).withColumns({"x": F.expr("-152e-4 + 56e-6 * j"), "y": F.expr("865e-4 + 2e-3 * i")})
+def _position_sql(x: str, y: str) -> str:
+    fixed = f"""
+        select event_id, x, y, {H + A!r}::double hh, sin(x) * sin(x) + cos(x) * cos(x) * (cos(y) * cos(y) + sin(y) * sin(y) * ({A}::double * {A}::double / ({B}::double * {B}::double))) qa,
+          -2e0 * ({H + A!r}::double) * cos(x) * cos(y) qb, ({H + A!r}::double) * ({H + A!r}::double) - {A}::double * {A}::double qc
+        from (select event_id, {x} x, {y} y from px)"""
+    return px_sql(f"""
+        select event_id, {srd(f'degrees(atan(({A}::double * {A}::double / ({B}::double * {B}::double)) * sz / sqrt((hh - sx) * (hh - sx) + sy * sy)))')} lat,
+          {srd(f'{LON0} - degrees(atan(sy / (hh - sx)))')} lon
+        from (select event_id, hh, r * cos(x) * cos(y) sx, -r * sin(x) sy, r * cos(x) * sin(y) sz from
+          (select *, case when qb * qb - 4 * qa * qc >= 0 then (-qb - sqrt(abs(qb * qb - 4 * qa * qc))) / (2 * qa) end r from ({fixed})))""")
+
+
+def _positions(spark, sf, x: str, y: str):
+    px = views.pixels(spark, sf).withColumns({"x": F.expr(x), "y": F.expr(y)})
     at = sky.fixed_grid_position(F.col("x"), F.col("y"), LON0, H, A, B)
     return px.select("event_id", *[rd(c).alias(n) for n, c in at.items()])
 
 
+@add("g2_fixed_grid_position", _position_sql(*_ANGLES))
+def _(spark, sf):
+    return _positions(spark, sf, *_ANGLES)
+
+
+@add("g2_off_disk", _position_sql(*_FRAME))
+def _(spark, sf):
+    return _positions(spark, sf, *_FRAME)
+
+
 _SUN0 = f"""
     select *, radians(2345e-2 * sin(b)) de, radians(15 * (hour(t) + minute(t) / 60e0 + (4 * lon + 987e-2 * sin(2 * b) - 753e-2 * cos(b) - 15e-1 * sin(b)) / 60e0 - 12)) ha
     from (select *, radians(360e0 / 365 * (dayofyear(t) - 81)) b from (select *, make_timestamp(({SPREAD}) * 1000000) t from px))"""

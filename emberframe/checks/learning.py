@@ -77,6 +77,13 @@ def _(spark, sf):
     return features.split_problems(labels.select(F.lit("a").alias("split_id"), F.expr("doc_id % 50").alias("scene"), F.explode(sides).alias("side")))
 
 
+@add("f6_split_load", f"with sp as ({_SPLIT}) select distinct 'a' split_id, scene, side from sp")
+def _(spark, sf):
+    """The split as labels name it, a row a label, loaded as a split of scenes."""
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select(F.expr("doc_id % 50").alias("scene"))
+    return features.load_split(split_table(spark, sf).join(labels, "scene"))
+
+
 @add("f7_balanced_sample", px_sql(f"""
     select event_id from (select event_id, row_number() over (partition by region, scene, {FIRE} order by {MD5('event_id')}) k from px where bt7 is not null and bt14 is not null) where k <= 40"""))
 def _(spark, sf):
@@ -97,9 +104,21 @@ def _(spark, sf):
     return features.empty_features(night, _NIGHT_NAMES)
 
 
-@add("f10_dataset_manifest")
+_WHOLE = ", ".join(["i", "j", f"({FIRE})::int ref_fire", "ref_code", *(f"round({srd(n, 3)} * 1000)::bigint {n}" for n in features.FEATURE_COLUMNS)])
+_TEXT = ", ".join(f"coalesce({n}::varchar, 'null')" for n in ("i", "j", "ref_fire", "ref_code", *features.FEATURE_COLUMNS))
+
+
+@add("f10_dataset_manifest", upto("mask", f"""
+    , named as (select *, bt14e bt14_eff, glint glint_angle, bt7 - bt14e diff_bt7_bt14, bt7 - bt7_bkg bt7_minus_bkg7, bt14e - bt14_bkg bt14_minus_bkg14, refl - reflb refl_minus_reflb
+      from mask where in_roi),
+    whole as (select strftime(make_timestamp(scene_epoch * 1000000), '%Y%m%d_%H%M') as timestamp, {_WHOLE} from named),
+    marked as (select timestamp, ref_fire, ('0x' || substr(md5(concat_ws('|', {_TEXT})), 1, 15))::bigint digits from whole)
+    select timestamp, count(*) n_rows, sum(ref_fire)::bigint n_positive, sha1(sum(digits)::varchar) content_hash from marked group by timestamp"""))
 def _(spark, sf):
-    return features.dataset_manifest(feature_rows(spark, sf), features.FINAL_COLUMNS)
+    """Values enter in whole thousandths, which engines print alike."""
+    names = features.FEATURE_COLUMNS
+    whole = feature_rows(spark, sf).select("timestamp", "i", "j", "ref_fire", "ref_code", *[F.round(rd(n, 3) * 1000).cast("long").alias(n) for n in names])
+    return features.dataset_manifest(whole, ("i", "j", "ref_fire", "ref_code", *names))
 
 
 @add("f11_scene_coverage", f"with sp as ({_SPLIT}) select 'a' split_id, scene, side from sp where scene not in (select distinct event_id // 500 from events)")
@@ -291,10 +310,12 @@ def _(spark, sf):
 
 @add("m3_categorical_tree")
 def _(spark, sf):
+    """Fitted on three quarters of each class, scored on the rest."""
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang", "source", F.col("n_chars").cast("double").alias("n_chars"))
-    rows = docs.join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
-    model = models.categorical_pipeline(["lang", "source"], ["n_chars"], "quality").fit(rows)
-    return scoring.macro_metrics(model.transform(rows).withColumn("prediction", F.col("prediction").cast("int")), truth="quality", pred="prediction")
+    rows = features.stratified_rows(docs.join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id"), "quality", 0.25, F.col("doc_id"))
+    model = models.categorical_pipeline(["lang", "source"], ["n_chars"], "quality").fit(rows.where("side = 'train'"))
+    scored = model.transform(rows.where("side = 'test'")).withColumn("prediction", F.col("prediction").cast("int"))
+    return scoring.macro_metrics(scored, truth="quality", pred="prediction")
 
 
 @add("m9_importances")
@@ -303,6 +324,15 @@ def _(spark, sf):
     return models.importances(model, names, feature_rows(spark, sf))
 
 
+@add("m10_balanced_folds", """
+    with s as (select doc_id // 20 scene, count(*) n_rows, count(*) filter (quality = 1) n_positive from labels group by 1),
+    k as (select *, (row_number() over (order by n_positive desc, n_rows desc, scene) - 1) % 10 turn from s)
+    select scene, n_rows, n_positive, (case when turn < 5 then turn else 9 - turn end)::int fold from k""")
+def _(spark, sf):
+    """Scenes are runs of twenty ids of the labels."""
+    return models.balanced_folds(spark.read.parquet(f"{sf}/labels.parquet").withColumn("scene", F.expr("doc_id div 20")), "quality")
+
+
 @add("m10_out_of_fold")
 def _(spark, sf):
     rows = _training(spark, sf)

@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from emberframe.functions.small import by_group
+from emberframe.session import cut_lineage
 
 HASH_DIGITS = 3  # 4,096 buckets of equal size, as the digits of a hash are uniform
 
@@ -41,6 +42,20 @@ def rank_by_hash(df: DataFrame, groups: Sequence[str], order: Column, name: str)
     )
 
 
+def rank_by_range(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """`row_number` over the whole table in `order`, which must tell all rows apart, without one task for it.
+
+    Rows are dealt by ranges and written with the number of their range, so that a task that is run again finds the same ranges;
+    the ranges' sizes, one row a partition, are accumulated, and each range is ranked on its own.
+    """
+    parts = cut_lineage(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    sizes = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    local = F.row_number().over(W.partitionBy("_part").orderBy(*order))
+    return parts.withColumn("_local", local).join(offsets, "_part").withColumn(name, F.col("_before") + F.col("_local")).drop("_part", "_local", "_before")
+
+
 def cumulative(df: DataFrame, groups: Sequence[str], value: str, sums: Sequence[str], descending: bool = False,
                buckets: int = 128) -> DataFrame:
     """Running totals `cum_<name>` of `sums` in the order of `value`, which is distinct within its group.

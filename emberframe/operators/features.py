@@ -120,10 +120,14 @@ def empty_features(train: DataFrame, names: Sequence[str]) -> DataFrame:
 
 
 def dataset_manifest(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Rows, positives and an order-free content hash per scene."""
-    print_ = F.sum(F.xxhash64(*columns).cast("decimal(38,0)"))
+    """Rows, positives and an order-free content hash per scene: sha1 of the sum of the rows' md5 (60 bits of each).
+
+    Values enter as text, null as the word `null`, so any engine that prints them alike finds the same hash.
+    """
+    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in columns])
+    digits = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("decimal(38,0)")
     return rows.groupBy("timestamp").agg(
-        F.count("*").alias("n_rows"), F.sum("ref_fire").alias("n_positive"), F.sha1(print_.cast("string")).alias("content_hash")
+        F.count("*").alias("n_rows"), F.sum("ref_fire").alias("n_positive"), F.sha1(F.sum(digits).cast("string")).alias("content_hash")
     )
 
 

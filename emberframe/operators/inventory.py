@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from emberframe.functions.nulls import ratio
+from emberframe.session import cut_lineage
 
 GOOD = ("downloaded", "exists")
 PATH = r"^(?:.*/)?([^/]+?)(?:-(\d{6}))?/(\d{8}_\d{4})(_planck|_kappa0|_dqf)?\.(npy|json)$"
@@ -39,14 +40,39 @@ def completeness(expected: DataFrame, found: DataFrame) -> DataFrame:
     return table.withColumn("percent", ratio(F.col("n_found") * 100, F.col("n_expected")))
 
 
-def contiguous_ranges(slots: DataFrame, step: int) -> DataFrame:
-    """Runs of neighbouring slots per product (gaps and islands); slots are distinct, so rows are bounded by time."""
-    line = W.partitionBy("product").orderBy("slot")
-    jump = (F.col("slot") - F.lag("slot").over(line) != step).cast("int")
-    runs = slots.withColumn("_new", F.coalesce(jump, F.lit(1))).withColumn("_run", F.sum("_new").over(line))
-    return runs.groupBy("product", "_run").agg(
-        F.min("slot").alias("first_slot"), F.max("slot").alias("last_slot"), F.count("*").alias("n")
-    ).drop("_run")
+def _stretch(at: Column, width: int) -> Column:
+    """Where the stretch of a slot starts."""
+    return at - F.pmod(at, F.lit(width).cast("long"))
+
+
+def _join_runs(runs: DataFrame, keys: Sequence[str], step: int, width: int) -> DataFrame:
+    """Runs (product, first_slot, last_slot, n) of one key that follow each other by one step, over a border of stretches of `width`, become one."""
+    line = W.partitionBy(*keys).orderBy("first_slot")
+    before = F.lag("last_slot").over(line)
+    # Inside a stretch all was joined that follows; slots off the others' grid that keep two runs apart there may be done already.
+    follows = (F.col("first_slot") - before == step) & (_stretch(before, width) != _stretch(F.col("first_slot"), width))
+    marked = runs.withColumn("_new", (~F.coalesce(follows, F.lit(False))).cast("int")).withColumn("_run", F.sum("_new").over(line))
+    return marked.groupBy(*keys, "_run").agg(F.min("first_slot").alias("first_slot"), F.max("last_slot").alias("last_slot"), F.sum("n").alias("n")).drop("_run")
+
+
+def contiguous_ranges(slots: DataFrame, step: int, span: int = 4096, levels: int = 2) -> DataFrame:
+    """Runs of neighbouring slots per product (gaps and islands); slots are distinct, null ones are left out.
+
+    Runs are found per product and stretch of `span` steps, so a task never holds a product. Only runs that touch the border of
+    their stretch go on, at most two of them a stretch, to stretches `span` times as long; after the last level what still touches
+    a border, two rows in `span` to the power of `levels` steps, is joined per product.
+    """
+    runs = slots.where("slot is not null").select("product", F.col("slot").cast("long").alias("first_slot"), F.col("slot").cast("long").alias("last_slot"), F.lit(1).cast("long").alias("n"))
+    done, width = None, 1  # every slot a stretch of its own
+    for level in range(1, levels + 1):
+        earlier, width = width, step * span**level
+        own = _stretch(F.col("first_slot"), width)
+        joined = _join_runs(runs.withColumn("_at", own), ["product", "_at"], step, earlier).drop("_at")
+        joined = cut_lineage(joined) if level == 1 else joined  # both parts are read again; what follows is small
+        border = (_stretch(F.col("first_slot") - step, width) != own) | (_stretch(F.col("last_slot") + step, width) != own)
+        inner, runs = joined.where(~border), joined.where(border)
+        done = inner if done is None else done.unionByName(inner)
+    return done.unionByName(_join_runs(runs, ["product"], step, width))
 
 
 def same_missing_set(gaps: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberframe.functions.nulls import ratio
-from emberframe.functions.order import cumulative, percentiles
+from emberframe.functions.order import cumulative, percentiles, rank_by_range
 from emberframe.functions.small import by_group
 
 
@@ -118,11 +118,32 @@ def choose_threshold(rows: DataFrame, recall_target: float, truth: str = "y", sc
     )
 
 
-def compare_runs(metrics: DataFrame, sort: str = "average_precision", digits: int = 3) -> DataFrame:
-    """Nested run metrics side by side, best first, rounded."""
-    flat = metrics.select("run", "global.*", "scene_level.*")
-    numbers = [c for c, t in flat.dtypes if t in ("double", "float")]
-    return flat.orderBy(F.desc_nulls_last(sort)).withColumns({c: F.round(c, digits) for c in numbers})
+def run_metrics(runs: DataFrame, document: str = "document", sections: Sequence[str] = ("global", "scene_level")) -> DataFrame:
+    """(run, metric, value) of metric documents of any shape, given as VARIANT: the numbers of each section by name.
+
+    Where sections share a name the later one counts. What is no number is left out, as are documents that lack a section or have
+    something else in its place. A run name comes once.
+    """
+    entries = None
+    for rank, section in enumerate(sections):
+        part = runs.select("run", F.try_variant_get(document, f"$.{section}", "map<string, variant>").alias("m"))
+        part = part.select("run", F.lit(rank).alias("section"), F.explode("m").alias("metric", "entry"))
+        entries = part if entries is None else entries.unionByName(part)
+    kind = F.schema_of_variant("entry")
+    number = F.when(~kind.isin("STRING", "BOOLEAN", "VOID"), F.try_variant_get("entry", "$", "double"))
+    return entries.withColumn("value", number).groupBy("run", "metric").agg(F.max_by("value", "section").alias("value")).where("value is not null")
+
+
+def compare_runs(metrics: DataFrame, columns: dict[str, str], sort: str, digits: int = 3) -> DataFrame:
+    """One row per run of (run, metric, value): the metrics that `columns` names, under its short names, rounded; absent ones are NULL.
+
+    `place` counts runs by falling `sort` (a name of a metric), runs without it last, equal ones by name.
+    """
+    if sort not in columns:
+        raise ValueError(f"sorted by {sort!r}, which is not among the columns")
+    wide = metrics.groupBy("run").agg(*[F.max(F.when(F.col("metric") == name, F.col("value"))).alias(short) for name, short in columns.items()])
+    ranked = rank_by_range(wide, [F.desc_nulls_last(columns[sort]), F.asc("run")], "place")
+    return ranked.select("run", "place", *[F.round(short, digits).alias(short) for short in columns.values()])
 
 
 def dry_edge(rows: DataFrame, x: str, y: str, bins: int = 50) -> DataFrame:

@@ -156,3 +156,9 @@ def ragged_union(*tables: DataFrame, preferred: Sequence[str]) -> DataFrame:
         out = out.unionByName(table, allowMissingColumns=True)
     first = [c for c in preferred if c in out.columns]
     return out.select(*first, *sorted(c for c in out.columns if c not in first))
+
+
+def read_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """(run, document) of a folder of metric documents, one JSON object a line, of whatever shape; `run` is its field of that name."""
+    whole = spark.read.option("singleVariantColumn", "document").json(path)
+    return whole.select(F.try_variant_get("document", "$.run", "string").alias("run"), "document").where("run is not null")
