@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable, Iterator, Sequence
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def tumbling(events: DataFrame, *keys: str, width: str = "10 minutes") -> DataFrame:
@@ -11,7 +16,62 @@ def tumbling(events: DataFrame, *keys: str, width: str = "10 minutes") -> DataFr
 
 
 def sliding(events: DataFrame, *keys: str, width: str = "12 hours", step: str = "10 minutes") -> DataFrame:
-    return events.groupBy(F.window("ts", width, step).alias("w"), *keys).agg(F.count("*").alias("n"))
+    """Events of each key in windows of `width`, one every `step`; `bounds` gives them one row a window.
+
+    On a stream the state of a key is its events of open windows, each once, and not their width / step windows; windows with the same
+    events in a row come out as one row, with the first window as `w` and the last one's start in `run`. A window is closed when the
+    watermark has passed its end; an event is late when the last of its windows is closed.
+    """
+    if not events.isStreaming:
+        return events.groupBy(F.window("ts", width, step).alias("w"), *keys).agg(F.count("*").alias("n"))
+    wide, apart = (int(pd.Timedelta(x).total_seconds()) for x in (width, step))
+    delay = events.schema["ts"].metadata.get("spark.watermarkDelayMs")
+    if delay is None:
+        raise ValueError("a stream needs a watermark on ts")
+    at = F.unix_timestamp("ts")
+    # marked as the column that the watermark is held against, so an event counts until its last window is closed
+    until = F.timestamp_seconds(at + wide).alias("until", metadata={"spark.watermarkDelayMs": delay})
+    rows = events.where("ts is not null").select(*keys, at.alias("at"), until)
+    names = ", ".join(f"`{k}` {events.schema[k].dataType.simpleString()}" for k in keys)
+    found = rows.groupBy(*keys).applyInPandasWithState(
+        _runs(keys, wide, apart), f"{names}, first long, last long, n long", "at array<bigint>, n array<bigint>, upto bigint", "append", GroupStateTimeout.EventTimeTimeout
+    )
+    start = F.timestamp_seconds("first")
+    w = F.struct(start.alias("start"), F.timestamp_seconds(F.col("first") + wide).alias("end"))
+    return found.select(w.alias("w"), *keys, "n", F.struct("last", F.lit(apart).cast("long").alias("step")).alias("run"))
+
+
+def _runs(keys: Sequence[str], wide: int, apart: int) -> Callable:
+    """Of one key: the windows closed by now, as runs of windows with the same number of events."""
+
+    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        seen, counts, upto = state.get if state.exists else ((), (), None)
+        at, n = np.array(seen, np.int64), np.array(counts, np.int64)
+        if not state.hasTimedOut:
+            for rows in frames:
+                at, n = np.r_[at, rows["at"].to_numpy(np.int64)], np.r_[n, np.ones(len(rows), np.int64)]
+        at, place = np.unique(at, return_inverse=True)
+        n = np.bincount(place, n, len(at)).astype(np.int64)
+        # starts of windows are multiples of the step; `closed` is the last one whose end the watermark has reached
+        closed = (state.getCurrentWatermarkMs() // 1000 - wide) // apart * apart
+        first, last = ((at - wide) // apart + 1) * apart, at // apart * apart
+        moves = np.r_[first, last + apart]
+        starts, place = np.unique(moves, return_inverse=True)
+        total = np.cumsum(np.bincount(place, np.r_[n, -n], len(starts))).astype(np.int64)
+        lo, hi = starts[:-1] if upto is None else np.maximum(starts[:-1], upto + apart), np.minimum(starts[1:] - apart, closed)
+        due = (total[:-1] > 0) & (lo <= hi)
+        open_ = last > closed
+        if open_.any():
+            state.update((at[open_].tolist(), n[open_].tolist(), int(closed)))
+            following = max(int(first[open_].min()), closed + apart) + wide
+            state.setTimeoutTimestamp(max(following * 1000 - 1, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
+        if due.any():
+            own = {k: pd.Series([None if pd.isna(v) else v] * int(due.sum()), dtype=object) for k, v in zip(keys, key)}
+            yield pd.DataFrame({**own, "first": lo[due], "last": hi[due], "n": total[:-1][due]})
+
+    return step
 
 
 def episodes(events: DataFrame, *keys: str, gap: str = "1 hour") -> DataFrame:
@@ -20,9 +80,13 @@ def episodes(events: DataFrame, *keys: str, gap: str = "1 hour") -> DataFrame:
 
 
 def bounds(table: DataFrame) -> DataFrame:
-    """Window bounds as epoch seconds."""
-    rest = [c for c in table.columns if c != "w"]
-    return table.select(F.unix_timestamp("w.start").alias("from_epoch"), F.unix_timestamp("w.end").alias("to_epoch"), *rest)
+    """Window bounds as epoch seconds, one row a window; runs of windows are unrolled."""
+    rest = [c for c in table.columns if c not in ("w", "run")]
+    start, end = F.unix_timestamp("w.start"), F.unix_timestamp("w.end")
+    if "run" not in table.columns:
+        return table.select(start.alias("from_epoch"), end.alias("to_epoch"), *rest)
+    each = table.select((end - start).alias("wide"), F.explode(F.sequence(start, F.col("run.last"), F.col("run.step"))).alias("from_epoch"), *rest)
+    return each.select("from_epoch", (F.col("from_epoch") + F.col("wide")).alias("to_epoch"), *rest)
 
 
 def run_complete(stream: DataFrame, out: str, checkpoint: str) -> None:
