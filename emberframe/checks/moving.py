@@ -74,6 +74,9 @@ def _(spark, sf):
     return parts
 
 
+STRETCHES = 4
+
+
 def event_stream(spark, sf):
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf).withColumn("ts", F.col("ts").cast("timestamp"))
@@ -82,17 +85,23 @@ def event_stream(spark, sf):
 @add("t7_streaming_filter", px_sql(f"""
     , {_FIRES_SQL} select region, i, j, scene_epoch, case when exists (select 1 from fires b where {_NEAR} and b.scene_epoch >= a.scene_epoch - 43200) then 20 else 0 end + category final_code from fires a"""))
 def _(spark, sf):
-    """Scenes in several files, each scene split over two of them and out of order; a last row far ahead closes the stream."""
-    rows = fires(spark, sf).select("region", "i", "j", "scene_epoch", "category", F.expr("(scene_epoch - 1704067200) div 20000 + event_id % 2").alias("file"))
-    folder, out = new_path(spark, "fires-in"), new_path(spark, "stream")
+    """Fires in a few stretches of time, one micro-batch each; a scene is split over two stretches where they meet, the rows of a stretch
+    lie in several files and out of order, and a last row far ahead closes the stream."""
+    part = F.expr("(scene_epoch - 1704067200) div 20000 + event_id % 2")
     names = ["region", "i", "j", "scene_epoch", "category"]
-    last = rows.agg(F.max("file").alias("file"), F.max("scene_epoch").alias("epoch")).first()
-    for number in range((last["file"] or 0) + 1):  # one file a scene, as they come in
-        rows.where(F.col("file") == number).select(*names).orderBy(F.desc("scene_epoch")).coalesce(1).write.parquet(f"{folder}/{number}")
-    closing = [("closing", -9, -9, (last["epoch"] or 0) + 10**7, 10)]
-    spark.createDataFrame(closing, rows.select(*names).schema).coalesce(1).write.parquet(f"{folder}/closing")
-    stream = spark.readStream.schema(rows.select(*names).schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(folder)
-    fire_state.to_table(fire_state.temporal_stream(stream), out, new_path(spark, "stream-progress"))
+    rows = fires(spark, sf).select(*names, part.alias("part"))
+    folder, out, progress = new_path(spark, "fires-in"), new_path(spark, "stream"), new_path(spark, "stream-progress")
+    ends = rows.agg(F.min("part").alias("first"), F.max("part").alias("last"), F.max("scene_epoch").alias("epoch")).first()
+    first, wide = ends["first"] or 0, ((ends["last"] or 0) - (ends["first"] or 0)) // STRETCHES + 1
+    schema = rows.select(*names).schema
+    stream = lambda: spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(folder)
+    for number in range(STRETCHES + 1):
+        if number < STRETCHES:
+            some = rows.where(F.col("part").between(first + number * wide, first + (number + 1) * wide - 1)).select(*names)
+            some.sortWithinPartitions(F.desc("scene_epoch")).write.parquet(f"{folder}/{number}")
+        else:
+            spark.createDataFrame([("closing", -9, -9, (ends["epoch"] or 0) + 10**7, 10)], schema).coalesce(1).write.parquet(f"{folder}/closing")
+        fire_state.to_table(fire_state.temporal_stream(stream()), out, progress)
     found = spark.read.schema(T.StructType.fromDDL(fire_state.OUT)).parquet(out).where("region <> 'closing'")
     return found.select("region", "i", "j", "scene_epoch", "final_code")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -26,10 +27,10 @@ def _filter_pixel(lookback: int) -> Callable:
             old = state.get
             fires, asked = set(old[0]), list(zip(old[1], old[2]))
         if not state.hasTimedOut:
-            rows = pd.concat(list(frames))
-            fires |= set(int(e) for e in rows.loc[rows["mark"], "scene_epoch"])
-            own = rows[~rows["mark"]]
-            asked += [(int(e), int(c)) for e, c in zip(own["scene_epoch"], own["category"])]
+            for rows in frames:
+                epochs, mark, categories = (rows[c].to_numpy() for c in ("scene_epoch", "mark", "category"))
+                fires.update(epochs[mark].tolist())
+                asked += zip(epochs[~mark].tolist(), categories[~mark].tolist())
         # Up to the watermark no fire can come any more, so a row there knows all fires before it.
         watermark = state.getCurrentWatermarkMs() // 1000
         due, waiting = [a for a in asked if a[0] <= watermark], sorted(a for a in asked if a[0] > watermark)
@@ -43,7 +44,9 @@ def _filter_pixel(lookback: int) -> Callable:
             state.remove()
         if not due:
             return
-        last = [max((f for f in fires if 0 < e - f <= lookback), default=None) for e, _ in due]
+        burnt = sorted(fires)
+        before = [bisect_left(burnt, e) - 1 for e, _ in due]  # the latest fire before each, found in the sorted list
+        last = [burnt[b] if b >= 0 and e - burnt[b] <= lookback else None for (e, _), b in zip(due, before)]
         yield pd.DataFrame({
             "region": key[0], "i": key[1], "j": key[2], "scene_epoch": [e for e, _ in due], "category": [c for _, c in due],
             "last_fire": pd.array(last, dtype="Int64"), "final_code": [c + k.TEMPORAL_OFFSET if f is not None else c for (_, c), f in zip(due, last)],
