@@ -16,6 +16,7 @@ DETECTION_SCHEMA = (
 DETECTION_COLUMNS = ("latitude", "longitude", "bright_ti4", "bright_ti5", "frp", "confidence", "acq_date", "acq_time", "daynight")
 LEGACY_KAPPA0 = 3.141592653589793 / 1622.088
 DEFAULT_KEYS = ("region", "scene", "i", "j")
+SCENE_LINES = 256  # scan lines of a scene that go to one file
 
 
 def join_bands(required: dict[str, DataFrame], optional: dict[str, DataFrame], keys: Sequence[str] = DEFAULT_KEYS) -> DataFrame:
@@ -110,8 +111,8 @@ def read_detections(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_by_scene(rows: DataFrame, path: str, scene: str = "timestamp") -> None:
-    """One partition per scene, compressed; only the scenes in `rows` are replaced."""
-    rows.withColumn("scene", F.col(scene)).repartition("scene", F.pmod(F.xxhash64("i"), F.lit(8))).write.mode("overwrite").option(
+    """One partition per scene, compressed; only the scenes in `rows` are replaced. A scene has one file for each SCENE_LINES lines."""
+    rows.withColumn("scene", F.col(scene)).repartition("scene", F.floor(F.col("i") / SCENE_LINES)).write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("scene").parquet(path)
 
 
