@@ -56,19 +56,28 @@ def rank_by_range(df: DataFrame, order: Sequence[Column], name: str) -> DataFram
     return parts.withColumn("_local", local).join(offsets, "_part").withColumn(name, F.col("_before") + F.col("_local")).drop("_part", "_local", "_before")
 
 
+def fixed_edges(df: DataFrame, groups: Sequence[str], value: str, slots: int) -> DataFrame:
+    """One row a group: `_edges`, approximate quantiles of `value` that cut the group into `slots`.
+
+    A sketch depends on the order in which its parts arrive from other executors, so it comes out otherwise each time it is made. The
+    edges are written once: whoever places rows by them, and whenever, finds the same slots.
+    """
+    cuts = [k / slots for k in range(1, slots)]
+    return cut_lineage(df.groupBy(*groups).agg(F.percentile_approx(value, cuts, 2000).alias("_edges")))
+
+
 def cumulative(df: DataFrame, groups: Sequence[str], value: str, sums: Sequence[str], descending: bool = False,
                buckets: int = 128) -> DataFrame:
     """Running totals `cum_<name>` of `sums` in the order of `value`, which is distinct within its group.
 
     Bucket edges are approximate quantiles of the group's distinct values, so buckets are of like size whatever the
-    distribution; the totals are exact.
+    distribution; the totals are exact. `df` is run at once for the edges, and again when the totals are read.
     """
     groups = list(groups) or ["_all"]
     df = df if "_all" not in groups else df.withColumn("_all", F.lit(0))
     sign = F.lit(-1.0 if descending else 1.0)
     marked = df.withColumn("_pos", F.col(value).cast("double") * sign)
-    cuts = [k / buckets for k in range(1, buckets)]
-    edges = marked.groupBy(*groups).agg(F.percentile_approx("_pos", cuts, 2000).alias("_edges"))
+    edges = fixed_edges(marked, groups, "_pos", buckets)
     slot = F.size(F.filter("_edges", lambda edge: edge < F.col("_pos")))
     placed = by_group(marked, edges, groups, F.col(value)).withColumn("_slot", slot).drop("_edges")
     keys = [*groups, "_slot"]

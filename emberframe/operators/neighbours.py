@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from emberframe.functions.order import cumulative
+from emberframe.functions.order import cumulative, fixed_edges
 from emberframe.functions.small import by_group
 from emberframe.session import cut_lineage
 
@@ -32,7 +32,7 @@ def digamma(n: Column) -> Column:
 
 def _slots(counted: DataFrame, keys: Sequence[str], slots: int) -> DataFrame:
     """`_slot` of every value: approximate quantiles of the distinct values of its group are the edges."""
-    edges = counted.groupBy(*keys).agg(F.percentile_approx("_v", [n / slots for n in range(1, slots)], 2000).alias("_edges"))
+    edges = fixed_edges(counted, keys, "_v", slots)
     slot = F.size(F.filter("_edges", lambda edge: edge < F.col("_v")))
     return by_group(counted, edges, keys, F.col("_v")).withColumn("_slot", slot).drop("_edges")
 
@@ -94,7 +94,8 @@ def nearest_information(rows: DataFrame, by: Sequence[str], value: str, label: s
     reach = F.greatest(F.col("_r") - 1, F.lit(0))
     near = cut_lineage(near.withColumns({"_first": F.col("_v") - reach - 1, "_last": F.col("_v") + reach}))
     asked = near.select("_g", F.explode(F.array("_first", "_last")).alias("_at"), F.lit(0).cast("long").alias("_n"))
-    totals = cumulative(asked.unionByName(near.select("_g", F.col("_v").alias("_at"), "_n")).groupBy("_g", "_at").agg(F.sum("_n").alias("_n")), ["_g"], "_at", ["_n"])
+    places = asked.unionByName(near.select("_g", F.col("_v").alias("_at"), "_n")).groupBy("_g", "_at").agg(F.sum("_n").alias("_n"))
+    totals = cumulative(cut_lineage(places), ["_g"], "_at", ["_n"])
     upto = lambda name, total: totals.select("_g", F.col("_at").alias(name), F.col("cum__n").alias(total))
     within = near.join(upto("_last", "_b"), ["_g", "_last"]).join(upto("_first", "_a"), ["_g", "_first"]).withColumn("_m", F.col("_b") - F.col("_a"))
     n = F.col("_n")

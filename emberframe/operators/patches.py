@@ -12,6 +12,7 @@ from emberframe.functions.nulls import ratio
 from emberframe.functions.order import cumulative, hash_order, percentiles, rank_by_hash
 from emberframe.functions.small import by_group
 from emberframe.operators.neighbours import nearest_information
+from emberframe.session import cut_lineage
 
 PATCH_FEATURES = ("mean", "std", "high", "low", "p95", "p99", "excess")
 
@@ -130,7 +131,7 @@ def permutation_test(rows: DataFrame, key: Sequence[str], label: str, shuffles:
 
 def chronological_split(rows: DataFrame, share: float = 0.8) -> DataFrame:
     """The first `share` of the scenes trains; scenes are ranked in buckets, one row each."""
-    scenes = rows.select("scene").distinct().withColumn("_one", F.lit(1))
+    scenes = cut_lineage(rows.select("scene").distinct().withColumn("_one", F.lit(1)))
     total = scenes.agg(F.count("*").alias("_t"))  # one row
     ranked = cumulative(scenes, [], "scene", ["_one"]).join(F.broadcast(total))
     side = F.when(F.col("cum__one") <= F.col("_t") * share, "train").otherwise("test")
