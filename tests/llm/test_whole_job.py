@@ -3,11 +3,12 @@
 import math
 from collections import Counter
 
+import numpy as np
 import pytest
 
 import brute
 import corpus_pipeline
-from emberframe.llm import masked_lm
+from emberframe.llm import alike, masked_lm
 
 ROWS = brute.awkward()
 
@@ -80,3 +81,15 @@ def test_near_copies_of_the_pipeline_are_alike_to_four_fifths(spark):
     rows += [(1000, None, "en", "s"), (1001, "", "en", "s"), (1002, "few words", "en", "s"), (1003, "FEW  words", "en", "s"), (None, "few words", "en", "s")]
     kept = corpus_pipeline.drop_near_duplicates(spark, brute.frame(spark, rows), "").collect()
     assert Counter(r.doc_id for r in kept) == Counter([*(10 * k + n for k in range(30) for n in (0, 3)), 1000, 1002, None])
+
+
+def test_near_duplicates_of_the_pipeline_hold_what_the_operator_proposes(spark):
+    """Two texts of likeness 20 / 25 that share no fingerprint of minima; the operator's fingerprints of both are equal."""
+    one = " ".join(f"p{j}" for j in range(7)) + " "
+    one = one * 60 + " ".join(f"t34596x{j}" for j in range(13))
+    two = one + " " + " ".join(f"e{j}" for j in range(5))
+    sets = [alike.unique_hashes(t.encode(), 5) for t in (one, two)]
+    assert not np.equal(*alike.band_keys(sets)).any() and len(np.intersect1d(*sets)) == 0.8 * len(np.union1d(*sets))
+    rows = [(7, one, "en", "s"), (8, two, "en", "s"), (9, " ".join(f"q{j}" for j in range(40)), "en", "s"), (None, one, "en", "s"), (None, two, "en", "s")]
+    kept = corpus_pipeline.drop_near_duplicates(spark, brute.frame(spark, rows), "").collect()
+    assert Counter(r.doc_id for r in kept) == Counter([7, 9, None])
