@@ -95,6 +95,20 @@ def radius(square: np.ndarray, top: float, score: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(square + top - 2.0 * score, 0))
 
 
+def lowest(rows: DataFrame, count: int, most: int) -> DataFrame:
+    """Few more than the `most` of `count` rows whose `row` has the smallest hash: all rows below a bound of it.
+
+    A limited sort sends the driver as many rows of each partition as it asks for in all, whatever it keeps of them.
+    """
+    wanted, share, lot = min(most, count), (most + 8 * math.sqrt(most)) / max(count, 1), F.xxhash64("row")
+    while share < 1:
+        below = rows.where(lot < math.floor((share - 0.5) * 2.0**64))
+        if below.select("row").count() >= wanted:
+            return below
+        share *= 2
+    return rows
+
+
 @dataclass
 class Tree:
     """The broadcast part for vectors of one length: split points by level, and ranges once all rows are placed."""
@@ -222,7 +236,7 @@ class Forest:
         top = rows.select("length", "v").mapInArrow(squares, "length int, square double").agg(F.max("square")).first()[0] or 0.0
         depth = min(DEPTH, max(1, math.ceil(math.log(max(count / leaf_rows, 1.0), FAN))))
         sample: dict[int, list[bytes]] = {}
-        for r in rows.select("length", "v", "row").orderBy(F.xxhash64("row"), "row").limit(fit_rows).collect():  # `fit_rows` rows
+        for r in lowest(rows, count, fit_rows).select("length", "v", "row").orderBy(F.xxhash64("row"), "row").limit(fit_rows).collect():  # `fit_rows` rows
             sample.setdefault(r["length"], []).append(bytes(r["v"]))
         self.top = float(top)
         self.trees = {n: Tree.of(np.frombuffer(b"".join(v), "<i8").reshape(len(v), n), self.top, depth) for n, v in sample.items()}
@@ -275,12 +289,13 @@ class Forest:
     def best(self, asked: DataFrame, same: bool, k: int, queries: int = 16_384) -> DataFrame:
         """(row, own, w, tag, high, id, score, rank): the k best of each query's w-th window in the leaves it names.
 
-        A chunk of a leaf meets the queries sent there in lots of `queries`: only leaves that more queries name are copied.
+        A chunk of a leaf meets the queries sent there in lots of `queries`: only leaves that more queries name are copied. What is broadcast
+        is the numbers of lots and chunks; without the hint the planner may take a table of vectors instead.
         """
         top = self.top
         asked = cut_lineage(asked)
-        lots = asked.groupBy("length", "leaf").agg(F.ceil(F.count("*") / queries).cast("int").alias("lots"))  # FAN ** DEPTH rows a length
-        sizes = self.sizes
+        lots = F.broadcast(asked.groupBy("length", "leaf").agg(F.ceil(F.count("*") / queries).cast("int").alias("lots")))  # FAN ** DEPTH rows a length
+        sizes = F.broadcast(self.sizes)
         deal = lambda n: F.pmod(F.xxhash64("row"), F.col(n)).cast("int")
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
         left = asked.join(lots, ["length", "leaf"]).withColumn("lot", deal("lots")).join(sizes, ["length", "leaf"]).withColumn("chunk", every("chunks")).drop("lots", "chunks")
@@ -310,7 +325,7 @@ class Forest:
         home = cut_lineage(self.best(asked, same, k))
         kth = home.where(F.col("rank") == k).groupBy("row").agg(F.collect_list(F.struct("w", "score")).alias("kth"))
         raised_low = F.transform("lows", lambda low, w: F.greatest(low, F.coalesce(F.get(F.filter("kth", lambda x: x["w"] == w), F.lit(0))["score"], low)))
-        narrowed = asked.join(kth, "row", "left").withColumn("lows", raised_low).select(*asked.columns)
+        narrowed = asked.join(kth.hint("merge"), "row", "left").withColumn("lows", raised_low).select(*asked.columns)
         return self.best(self.routed(narrowed), same, k)
 
 
@@ -329,6 +344,6 @@ def hard_negatives(vectors: DataFrame, is_anchor: Column, positives: int = 5, ne
     # 80 p <= 100 n <= 100 p has solutions for p >= 0 alone
     windows = first.where("score >= 0").groupBy("row").agg(F.collect_list(F.struct("id", "score")).alias("w"))
     low = F.expr(f"transform(w, x -> (x.score * {margin} + 99) div 100)")
-    asked = anchors.join(windows, "row").withColumns({"tags": F.col("w.id"), "highs": F.col("w.score"), "lows": low}).drop("w")
+    asked = anchors.join(windows.hint("merge"), "row").withColumns({"tags": F.col("w.id"), "highs": F.col("w.score"), "lows": low}).drop("w")
     found = forest.search(asked, False, negatives)
     return found.select(F.col("own").alias("anchor_id"), F.col("tag").alias("positive_id"), "rank", F.col("id").alias("negative_id"), F.col("high").alias("positive_score"), F.col("score").alias("negative_score"))

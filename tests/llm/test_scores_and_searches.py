@@ -214,3 +214,15 @@ def test_toxicity_of_held_out_documents(spark):
     toxic = [r.predicted for r in found if truth[r.doc_id]]
     clean = [r.predicted for r in found if not truth[r.doc_id]]
     assert np.mean(toxic) > 0.88 and np.mean(clean) < 0.02
+
+
+def test_the_driver_is_sent_few_rows_more_than_it_fits_trees_on(spark):
+    """Every partition used to send as many rows as the driver keeps of all."""
+    rows = spark.range(0, 40_000, 1, 32).withColumnRenamed("id", "row")
+    first = [r.row for r in rows.orderBy(F.xxhash64("row"), "row").limit(500).collect()]
+    few = hyperplane_tree.lowest(rows, 40_000, 500)
+    assert set(first) <= {r.row for r in few.collect()} and few.count() < 1000
+    assert [r.row for r in few.orderBy(F.xxhash64("row"), "row").limit(500).collect()] == first
+    assert hyperplane_tree.lowest(rows, 40_000, 50_000).count() == 40_000 and not hyperplane_tree.lowest(rows.limit(0), 0, 5).count()
+    few = hyperplane_tree.lowest(rows, 4_000_000, 500)  # a count that promises too much: the bound is raised until enough rows pass
+    assert set(first) <= {r.row for r in few.collect()}
