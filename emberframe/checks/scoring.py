@@ -8,7 +8,7 @@ from emberframe import codes as k
 from emberframe.checks.common import Book, gated, px_sql, rd, rds, srd, srds, trace
 from emberframe.checks.oracle import tmp, upto
 from emberframe.operators import audit, background, clusters, scenario
-from emberframe.plans import detect
+from emberframe.plans import variants
 from emberframe.sources import views
 
 BOOK = Book.empty()
@@ -386,14 +386,10 @@ def _(spark, sf):
 
 # Scenario -------------------------------------------------------------------------------------------------------------
 def variant_masks(spark, sf):
-    """The detector over three variants at once; each is checked against its own run of the oracle."""
+    """The detector over all variants at once; each is checked against its own run of the oracle."""
     from emberframe.checks.common import product
 
-    def build():
-        px = scenario.with_variants(views.scene_pixels(spark, sf))
-        return detect.full_trace(px, views.lut(spark)).select("variant", "base_region", "base_scene", "i", "j", "ref_code", "candidate", "final_code")
-
-    return product(spark, sf, "variants", build)
+    return product(spark, sf, "variants", lambda: variants.variant_masks(views.scene_pixels(spark, sf), views.lut(spark)))
 
 
 def _variant_px(name: str) -> str:

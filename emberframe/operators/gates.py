@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from emberframe.functions.nulls import holds
 from emberframe.functions.radiometry import BandCoefficients, radiance_of
 
 SCAN_LINE = ("region", "scene", "i")
+OUTCOME = ("code", "stage", "is_cloudy", "survivor", "sat_flag", "fail_char")
 
 
 def effective_longwave(px: DataFrame) -> DataFrame:
@@ -43,12 +46,12 @@ def day_offset(coefficient: float) -> Column:
     return F.when(F.col("is_day"), F.col("cos_sza") * coefficient).otherwise(F.lit(0.0))
 
 
-def _neighbour(name: str, step: int) -> Column:
+def _neighbour(name: str, step: int, scan_line: Sequence[str]) -> Column:
     """Value `step` columns away on the scan line; beyond an edge, the edge pixel's value.
 
     The value travels in a struct, so a missing value at the neighbour is not taken for a missing neighbour.
     """
-    line = W.partitionBy(*SCAN_LINE).orderBy("j")
+    line = W.partitionBy(*scan_line).orderBy("j")
     whole = line.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     boxed = F.struct(F.col(name).alias("v"))
     near = F.lag(boxed, step).over(line) if step > 0 else F.lead(boxed, -step).over(line)
@@ -56,11 +59,11 @@ def _neighbour(name: str, step: int) -> Column:
     return F.coalesce(near, edge)["v"]
 
 
-def scan_neighbours(px: DataFrame) -> DataFrame:
+def scan_neighbours(px: DataFrame, scan_line: Sequence[str] = SCAN_LINE) -> DataFrame:
     """Reflectivity 2 and 3 columns away: one shuffle by scan line, whose length the sensor bounds."""
     return px.withColumns({
-        "refl_m2": _neighbour("refl", 2), "refl_p2": _neighbour("refl", -2),
-        "refl_m3": _neighbour("refl", 3), "refl_p3": _neighbour("refl", -3),
+        "refl_m2": _neighbour("refl", 2, scan_line), "refl_p2": _neighbour("refl", -2, scan_line),
+        "refl_m3": _neighbour("refl", 3, scan_line), "refl_p3": _neighbour("refl", -3, scan_line),
     })
 
 
@@ -129,7 +132,12 @@ def prepare(px: DataFrame) -> DataFrame:
 
 def apply_gates(px: DataFrame) -> DataFrame:
     """Columns code, stage, is_cloudy, sat_flag, fail_char; `survivor` marks pixels that need a background."""
-    px = scan_neighbours(px).withColumns({"_hard": hard_gate(), "_cloud": cloud_code()})
+    return judge(scan_neighbours(px))
+
+
+def judge(px: DataFrame) -> DataFrame:
+    """The gates of prepared pixels that know their neighbours: the columns of OUTCOME."""
+    px = px.withColumns({"_hard": hard_gate(), "_cloud": cloud_code()})
     px = px.withColumn("_open", F.col("_hard").isNull())
     px = px.withColumn("_scan", F.when(F.col("_open") & F.col("_cloud").isNull(), along_scan_code()))
     saturated = holds((F.col("bt7") >= k.SAT_FLAG_BT7) | (F.col("bt14e") >= k.SAT_FLAG_BT14))

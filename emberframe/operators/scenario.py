@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,25 +31,56 @@ _CHANGES: dict[str, dict[str, object]] = {
 }
 VARIANTS = tuple(_CHANGES)
 
+# Inputs by the first step that reads them: the corrections, the gates' own conditions, or (all others) neighbours and backgrounds.
+LATE = ("tpw", "use_lut", "dqf")
+GATED = ("emiss7", "emiss14", "bt15")
+EARLY = tuple(sorted({c for changes in _CHANGES.values() for c in changes} - {*LATE, *GATED}))
+ALL = (*EARLY, *GATED, *LATE)
+
+
+def changes(name: str, columns: Sequence[str] = ALL) -> dict[str, Column]:
+    """What a variant replaces among the columns."""
+    return {c: value() for c, value in _CHANGES[name].items() if c in columns}
+
+
+def families(names: Sequence[str]) -> dict[str, dict[str, list[str]]]:
+    """The variants by what they replace among EARLY columns, and within such a sight by what they replace among GATED ones.
+
+    Sights and the classes within go by the name of their first variant. All of a sight have the same neighbours and backgrounds, all
+    of a class also the same gates.
+    """
+    same = lambda name, columns: str(sorted((c, str(v)) for c, v in changes(name, columns).items()))
+    sights: dict[str, str] = {}
+    classes: dict[tuple[str, str], str] = {}
+    found: dict[str, dict[str, list[str]]] = {}
+    for name in names:
+        sight = sights.setdefault(same(name, EARLY), name)
+        own = classes.setdefault((sight, same(name, GATED)), name)
+        found.setdefault(sight, {}).setdefault(own, []).append(name)
+    return found
+
 
-def with_variants(px: DataFrame, names: tuple[str, ...] = VARIANTS) -> DataFrame:
+def replaced(px: DataFrame, names: Sequence[str], columns: Sequence[str] = ALL) -> DataFrame:
+    """The rows with what their `variant` replaces among the columns."""
+    changed: dict[str, Column] = {}
+    for name in names:
+        for column, value in changes(name, columns).items():
+            changed[column] = F.when(F.col("variant") == name, value).otherwise(changed.get(column, F.col(column)))
+    return px.withColumns(changed) if changed else px
+
+
+def own_scenes(px: DataFrame) -> DataFrame:
+    """`region` and `scene` of a row's variant, so that windows, tiles and histories of different variants never mix."""
+    return px.withColumns({"scene": F.concat_ws("/", F.col("base_scene").cast("string"), "variant"), "region": F.concat_ws("/", "base_region", "variant")})
+
+
+def with_variants(px: DataFrame, names: Sequence[str] = VARIANTS, columns: Sequence[str] = ALL) -> DataFrame:
     """Each pixel once per variant, with that variant's inputs. `scene` becomes variant-specific, so windows and tiles of
     different variants never mix; `base_scene` keeps the original."""
     defaults = {"use_lut": F.lit(True), "dqf": F.lit(0), "tpw_climatology": F.lit(40.0)}
     px = px.withColumns({n: v for n, v in defaults.items() if n not in px.columns})
-    px = px.withColumn("variant", F.explode(F.array(*[F.lit(n) for n in names])))
-    changed: dict[str, Column] = {}
-    for column in {c for n in names for c in _CHANGES[n]}:
-        value = F.col(column)
-        for name in names:
-            if column in _CHANGES[name]:
-                value = F.when(F.col("variant") == name, _CHANGES[name][column]()).otherwise(value)
-        changed[column] = value
-    px = px.withColumns(changed)
-    return px.withColumns({
-        "base_region": F.col("region"), "base_scene": F.col("scene"), "scene": F.concat_ws("/", F.col("scene").cast("string"), "variant"),
-        "region": F.concat_ws("/", "region", "variant"),
-    })
+    px = replaced(px.withColumn("variant", F.explode(F.array(*[F.lit(n) for n in names]))), names, columns)
+    return own_scenes(px.withColumns({"base_region": F.col("region"), "base_scene": F.col("scene")}))
 
 
 def neutral_lut(lut: DataFrame) -> DataFrame:

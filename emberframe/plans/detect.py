@@ -13,10 +13,14 @@ KEY = ("region", "scene", "scene_epoch", "i", "j")
 GOING_ON = ("open", "quick")  # paths of classified survivors that do not end there
 
 
-def gated_pixels(px: DataFrame) -> DataFrame:
+def prepared(px: DataFrame) -> DataFrame:
     if "eco_code" not in px.columns:
         px = px.withColumn("eco_code", recover_unsigned(F.col("eco_byte")))
-    return gates.apply_gates(gates.prepare(px))
+    return gates.prepare(px)
+
+
+def gated_pixels(px: DataFrame) -> DataFrame:
+    return gates.apply_gates(prepared(px))
 
 
 def survivors(px: DataFrame) -> DataFrame:
