@@ -11,6 +11,7 @@ from emberframe.codes import BASE_FIRE_CODES
 from emberframe.functions.nulls import ratio
 from emberframe.functions.order import medians
 from emberframe.operators.audit import COUNTS, base_code, count_columns, is_fire, scores
+from emberframe.session import cut_lineage
 
 BASELINE = "baseline"
 
@@ -98,22 +99,28 @@ def variant_scores(px: DataFrame, by: tuple[str, ...] = ("variant",)) -> DataFra
 
 
 def against_baseline(px: DataFrame) -> DataFrame:
-    """Decisions each variant changed. One row per pixel carries all its variants, so nothing is joined to itself."""
-    pred = is_fire(F.col("final_code"))
-    wide = px.groupBy("base_region", "base_scene", "i", "j").agg(
+    """Decisions each variant changed. One row per pixel carries all its variants, so nothing is joined to itself.
+
+    Where no variant, the baseline included, sees a fire, no decision differs: only the other pixels' rows are gathered.
+    """
+    keys, pred = ("base_region", "base_scene", "i", "j"), is_fire(F.col("final_code"))
+    names = px.where(F.col("variant") != BASELINE).select("variant").distinct()
+    # keys may be null, so they travel in a struct
+    hot = cut_lineage(px.where(pred).select(F.struct(*keys).alias("_pixel")).distinct())
+    rows = px.withColumn("_pixel", F.struct(*keys)).join(hot, "_pixel", "left_semi")
+    wide = rows.groupBy("_pixel").agg(
         F.max(F.when(F.col("variant") == BASELINE, pred)).alias("base"),
         F.max(is_fire(F.col("ref_code"))).alias("ref"),
         F.collect_list(F.when(F.col("variant") != BASELINE, F.struct("variant", pred.alias("pred")))).alias("others"),
     )
     rows = wide.select("base", "ref", F.inline("others"))
     flipped = F.col("pred") != F.col("base")
-    return rows.groupBy("variant").agg(
-        F.count_if(flipped).alias("changed"),
-        F.count_if(flipped & F.col("ref") & F.col("base")).alias("tp_lost"),
-        F.count_if(flipped & F.col("ref") & F.col("pred")).alias("tp_gained"),
-        F.count_if(flipped & ~F.col("ref") & F.col("base")).alias("fp_removed"),
-        F.count_if(flipped & ~F.col("ref") & F.col("pred")).alias("fp_added"),
-    )
+    counts = {
+        "changed": flipped, "tp_lost": flipped & F.col("ref") & F.col("base"), "tp_gained": flipped & F.col("ref") & F.col("pred"),
+        "fp_removed": flipped & ~F.col("ref") & F.col("base"), "fp_added": flipped & ~F.col("ref") & F.col("pred"),
+    }
+    found = rows.groupBy("variant").agg(*[F.count_if(c).alias(n) for n, c in counts.items()])
+    return names.join(found, "variant", "left").select("variant", *[F.coalesce(n, F.lit(0).cast("long")).alias(n) for n in counts])
 
 
 def variant_rollup(px: DataFrame) -> DataFrame:

@@ -1,11 +1,17 @@
 """Variants that share the steps they do not change, against a whole trace of each."""
 
+from collections import Counter
+
 from pyspark.sql import functions as F
 
+from emberframe import codes as k
 from emberframe.operators import scenario
 from emberframe.plans import detect, variants
 from emberframe.sources import views
 
+KEYS = "variant string, base_region string, base_scene long, i int, j int, ref_code int, final_code int"
+
+
 def test_variants_share_steps_and_keep_every_decision(spark, tmp_path, monkeypatch):
     ids = [*range(7500), *range(100, 160), None, None]
     rows = [(n, None if n is not None and n % 401 == 3 else float((n or 0) * 37 % 211 + (190 if (n or 0) % 53 == 9 else 0))) for n in ids]
@@ -31,3 +37,17 @@ def test_families_go_by_what_is_replaced():
     assert found["baseline"]["baseline"] == ["baseline", "tpw_climatology", "tpw_25", "tpw_minus_10", "tpw_plus_10", "neutral_lut", "no_quality"]
     assert list(found["baseline"]) == ["baseline", "emissivity_one", "emissivity_constant", "no_band_15"]
     assert scenario.families(["no_band_2", "tpw_25"]) == {"no_band_2": {"no_band_2": ["no_band_2"]}, "tpw_25": {"tpw_25": ["tpw_25"]}}
+
+
+def test_only_pixels_with_a_fire_in_some_variant_are_gathered(spark):
+    fire, none = k.FIRE_CODES[0], 100
+    rows = []
+    for place, (ref, base, others) in enumerate([(fire, fire, (none, fire)), (none, none, (fire, none)), (none, fire, (none, None)), (fire, none, (none, fire)), (none, None, (fire, fire))]):
+        rows += [("baseline", None, 1, place, 0, ref, base), ("x", None, 1, place, 0, ref, others[0]), ("y", None, 1, place, 0, ref, others[1])]
+    rows += [(v, "r", None, 7, j, ref, none) for v in ("baseline", "x", "y", "quiet") for j in range(50) for ref in (fire,)]
+    rows += [("x", None, 1, 1, 0, none, fire)]  # a repeated row counts again
+    px = spark.createDataFrame(rows, KEYS)
+    found = {r.variant: tuple(r)[1:] for r in scenario.against_baseline(px).collect()}
+    assert found == {"x": (4, 1, 0, 1, 2), "y": (1, 0, 1, 0, 0), "quiet": (0, 0, 0, 0, 0)}
+    plan = scenario.against_baseline(px)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan and Counter(r.variant for r in px.select("variant").collect())["quiet"] == 50
