@@ -18,9 +18,9 @@ def tumbling(events: DataFrame, *keys: str, width: str = "10 minutes") -> DataFr
 def sliding(events: DataFrame, *keys: str, width: str = "12 hours", step: str = "10 minutes") -> DataFrame:
     """Events of each key in windows of `width`, one every `step`; `bounds` gives them one row a window.
 
-    On a stream the state of a key is its events of open windows, each once, and not their width / step windows; windows with the same
-    events in a row come out as one row, with the first window as `w` and the last one's start in `run`. A window is closed when the
-    watermark has passed its end; an event is late when the last of its windows is closed.
+    On a stream the state of a key is its events of open windows, each once, and not their width / step windows; windows in a row with
+    the same events are a run (`runs`: starts of its first and last window, number of events), and the runs of a key that close together
+    come out as one row. A window is closed when the watermark has passed its end; an event is late when the last of its windows is closed.
     """
     if not events.isStreaming:
         return events.groupBy(F.window("ts", width, step).alias("w"), *keys).agg(F.count("*").alias("n"))
@@ -34,15 +34,14 @@ def sliding(events: DataFrame, *keys: str, width: str = "12 hours", step: str =
     rows = events.where("ts is not null").select(*keys, at.alias("at"), until)
     names = ", ".join(f"`{k}` {events.schema[k].dataType.simpleString()}" for k in keys)
     found = rows.groupBy(*keys).applyInPandasWithState(
-        _runs(keys, wide, apart), f"{names}, first long, last long, n long", "at array<bigint>, n array<bigint>, upto bigint", "append", GroupStateTimeout.EventTimeTimeout
+        _runs(keys, wide, apart), f"{names}, first array<bigint>, last array<bigint>, n array<bigint>", "at array<bigint>, n array<bigint>, upto bigint", "append", GroupStateTimeout.EventTimeTimeout
     )
-    start = F.timestamp_seconds("first")
-    w = F.struct(start.alias("start"), F.timestamp_seconds(F.col("first") + wide).alias("end"))
-    return found.select(w.alias("w"), *keys, "n", F.struct("last", F.lit(apart).cast("long").alias("step")).alias("run"))
+    size = F.struct(F.lit(wide).cast("long").alias("wide"), F.lit(apart).cast("long").alias("step"))
+    return found.select(*keys, F.arrays_zip("first", "last", "n").alias("runs"), size.alias("size"))
 
 
 def _runs(keys: Sequence[str], wide: int, apart: int) -> Callable:
-    """Of one key: the windows closed by now, as runs of windows with the same number of events."""
+    """Of one key: the windows closed by now, as runs of windows with the same number of events, in one row."""
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         seen, counts, upto = state.get if state.exists else ((), (), None)
@@ -68,8 +67,8 @@ def _runs(keys: Sequence[str], wide: int, apart: int) -> Callable:
         elif state.exists:
             state.remove()
         if due.any():
-            own = {k: pd.Series([None if pd.isna(v) else v] * int(due.sum()), dtype=object) for k, v in zip(keys, key)}
-            yield pd.DataFrame({**own, "first": lo[due], "last": hi[due], "n": total[:-1][due]})
+            own = {k: pd.Series([None if pd.isna(v) else v], dtype=object) for k, v in zip(keys, key)}
+            yield pd.DataFrame({**own, "first": [lo[due].tolist()], "last": [hi[due].tolist()], "n": [total[:-1][due].tolist()]})
 
     return step
 
@@ -81,12 +80,13 @@ def episodes(events: DataFrame, *keys: str, gap: str = "1 hour") -> DataFrame:
 
 def bounds(table: DataFrame) -> DataFrame:
     """Window bounds as epoch seconds, one row a window; runs of windows are unrolled."""
-    rest = [c for c in table.columns if c not in ("w", "run")]
-    start, end = F.unix_timestamp("w.start"), F.unix_timestamp("w.end")
-    if "run" not in table.columns:
-        return table.select(start.alias("from_epoch"), end.alias("to_epoch"), *rest)
-    each = table.select((end - start).alias("wide"), F.explode(F.sequence(start, F.col("run.last"), F.col("run.step"))).alias("from_epoch"), *rest)
-    return each.select("from_epoch", (F.col("from_epoch") + F.col("wide")).alias("to_epoch"), *rest)
+    if "runs" not in table.columns:
+        rest = [c for c in table.columns if c != "w"]
+        return table.select(F.unix_timestamp("w.start").alias("from_epoch"), F.unix_timestamp("w.end").alias("to_epoch"), *rest)
+    rest = [c for c in table.columns if c not in ("runs", "size")]
+    each = table.select(*rest, "size", F.inline("runs"))
+    each = each.select(F.explode(F.sequence("first", "last", F.col("size.step"))).alias("from_epoch"), "size", *rest, "n")
+    return each.select("from_epoch", (F.col("from_epoch") + F.col("size.wide")).alias("to_epoch"), *rest, "n")
 
 
 def run_complete(stream: DataFrame, out: str, checkpoint: str) -> None:
